@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 U64 = np.uint64
 
 
@@ -72,9 +72,10 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return raw, offsets
 
 
-def blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def blocks(column: pa.Array, limit: int | None = None) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about `limit` bytes: (first row, end row, bytes, offsets from 0)."""
     raw, offsets = buffers(column)
+    limit = limit or BLOCK_BYTES
     n, lo = len(offsets) - 1, 0
     while lo < n:
         hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + limit, "right")) - 1)
@@ -133,11 +134,11 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 0x20
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Words [^\\x20\\x09-\\x0D]+ of each row: (start, end, row), none across two rows."""
+def words(data: np.ndarray, offsets: np.ndarray, blank: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each row, by default [^\\x20\\x09-\\x0D]+: (start, end, row), none across two rows."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ink = ~SPACE[data]
+    ink = ~blank[data]
     first = ink.copy()
     first[1:] &= ~ink[:-1]
     cuts = offsets[1:-1]
@@ -149,6 +150,25 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return start, end, np.searchsorted(offsets, start, "right") - 1
 
 
+def lower_latin(data: np.ndarray) -> np.ndarray:
+    """Lower case of A-Z and of the two-byte letters U+00C0 to U+00DE."""
+    out = LOWER[data]
+    wide = (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97) & (data[:-1] == 0xC3)
+    out[1:][wide] += 0x20
+    return out
+
+
+def labelled(docs: DataFrame, labels: DataFrame, flag: str, learn: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(label, text) of a bounded sample: of each label value at most `rows` labels, the least by hash of their id.
+
+    The labels that are broadcast to the documents are 2 * rows at most, whatever the input.
+    """
+    known = labels.where(learn & F.col(flag).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(flag).cast("int").alias("label"))
+    picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(rows) for k in (0, 1)]
+    some = F.broadcast(picked[0].union(picked[1]))
+    return docs.join(some, docs[id_col] == some["id"]).select("label", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """start, start + 1, ... of each run, one after another."""
     total = int(lengths.sum())
