@@ -34,9 +34,9 @@ from pyspark.sql import functions as F
 from . import common as c
 
 LENGTH = 50
-WIDTH = 10
+WIDTH = 8
 RANGE_BYTES = 2_000_000
-FLUSH_BYTES = 48 << 20
+FLUSH_BYTES = 40 << 20
 U64 = np.uint64
 
 
@@ -90,7 +90,7 @@ def _pack(parts: list[tuple[np.ndarray, ...]]) -> bytes:
     body = [np.diff(doc, prepend=0).astype("<i8"), *([tag.astype("<i8")] if tag.any() else []), start.astype("<u4"), run.astype("<u4"), raw]
     # the high bytes of sorted numbers are alike: stored byte by byte they compress well
     planes = [x.view(np.uint8).reshape(len(doc), -1).T.tobytes() if x is not raw else raw.tobytes() for x in body]
-    return zstandard.ZstdCompressor(level=3).compress(head + b"".join(planes))
+    return zstandard.ZstdCompressor(level=5).compress(head + b"".join(planes))
 
 
 def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
@@ -142,8 +142,10 @@ def _parse(n_ranges: int, length: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 for marks in (False, True):
                     picked = np.flatnonzero(later == marks)
                     picked = picked[np.argsort(place[picked], kind="stable")]
-                    cuts = np.flatnonzero(np.diff(place[picked], prepend=-1)) if len(picked) else []
-                    for a, b in zip(cuts, [*cuts[1:], len(picked)], strict=True):
+                    if not len(picked):
+                        continue
+                    cuts = np.flatnonzero(np.diff(place[picked], prepend=-1))
+                    for a, b in zip(cuts, np.append(cuts[1:], len(picked)), strict=True):
                         p = picked[a:b]
                         start = first[p] - offsets[row[p]] + base
                         raw = data[c.ranges(first[p], run[p] + length - 1)] if not marks else np.zeros(0, np.uint8)
@@ -193,9 +195,10 @@ def repeats(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, run: np.ndarray
     """Marks of the windows that a smaller document has too, among the phrases of one range."""
     size = run + length - 1
     at = np.cumsum(size) - size
-    sums = c.prefix_sums(data)
     # the dictionary: equal phrases once, with their smallest document
-    content = c.span_hash(sums, at, at + size)
+    content = np.empty(len(doc), U64)
+    for lo, hi, base, sums in _parts(data, at, size):
+        content[lo:hi] = c.span_hash(sums, at[lo:hi] - base, (at + size)[lo:hi] - base)
     order = np.lexsort((doc, content))
     fresh = np.ones(len(order), bool)
     fresh[1:] = content[order][1:] != content[order][:-1]
@@ -206,9 +209,14 @@ def repeats(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, run: np.ndarray
     out = [_marks(doc[whole], tag[whole], start[whole], (start + size)[whole])]
     kept = np.flatnonzero(~whole)
     # the suffixes of its phrases that have a whole window
+    value = []
+    for lo, hi, base, sums in _parts(data, at, size):
+        own = lo + np.flatnonzero(~whole[lo:hi])
+        here = c.ranges(at[own] - base, run[own])
+        value.append(c.mix(c.span_hash(sums, here, here + length)))
+    value = np.concatenate(value)
     window = c.ranges(at[kept], run[kept])
-    owner = np.repeat(kept, run[kept])
-    value = c.mix(c.span_hash(sums, window, window + length))
+    owner = np.repeat(kept.astype(np.int32), run[kept])
     n = len(window)
     if n < 1 << 24:
         packed = np.sort((value & U64(0xFFFFFFFFFF000000)) | np.arange(n, dtype=U64))
@@ -255,6 +263,15 @@ def repeats(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, run: np.ndarray
     return pa.concat_tables(out)
 
 
+def _parts(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(first phrase, end phrase, first byte, prefix sums from there) of about a block each."""
+    lo, stop = 0, at + size
+    while lo < len(at):
+        hi = max(lo + 1, int(np.searchsorted(stop, at[lo] + c.BLOCK_BYTES, "right")))
+        yield lo, hi, at[lo], c.prefix_sums(data[at[lo] : stop[hi - 1]])
+        lo = hi
+
+
 def _same_window(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: int) -> np.ndarray:
     if length < 8:
         return (data[a[:, None] + np.arange(length)] == data[b[:, None] + np.arange(length)]).all(1)
