@@ -158,8 +158,8 @@ class Ranks:
         return self.names[k], 1.0 - float(far[k]) / (self.top * len(own))
 
 
-def identify(docs: DataFrame, known: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), top: int = TOP) -> DataFrame:
-    """doc_id, the columns `keep` by name, lang_pred, score of each row."""
+def identify(docs: DataFrame, known: dict[str, list[int]], id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), top: int = TOP, out: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The id as `doc_id`, the columns `keep` by name, and the language and score, as columns `out`, of each row."""
     ranks = docs.sparkSession.sparkContext.broadcast(known)
     names = [id_col, *keep]
 
@@ -171,5 +171,5 @@ def identify(docs: DataFrame, known: dict[str, list[int]], id_col: str = "doc_id
 
     rows = docs.select(*(F.col(x).alias(f"c{k}") for k, x in enumerate(names)), F.col(text_col).alias("t"))
     schema = ", ".join(f"c{k} {kind}" for k, (_, kind) in enumerate(docs.select(*names).dtypes))
-    out = rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
-    return out.select(*(F.col(f"c{k}").alias(x if k else "doc_id") for k, x in enumerate(names)), "lang_pred", "score")
+    found = rows.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return found.select(*(F.col(f"c{k}").alias(x if k else "doc_id") for k, x in enumerate(names)), F.col("lang_pred").alias(out[0]), F.col("score").alias(out[1]))

@@ -246,7 +246,7 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi]], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
 
-def _among(rows: DataFrame, on: str, ids: DataFrame, how: str) -> DataFrame:
+def among(rows: DataFrame, on: str, ids: DataFrame, how: str) -> DataFrame:
     """Rows whose `on` is (not) among the distinct ids; broadcast if they are few enough."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return rows.join(F.broadcast(ids) if few else ids, rows[on] == ids["id"], how)
@@ -289,8 +289,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     unlike = sets.join(shared.withColumnRenamed("doc", "id"), (F.col("doc") == F.col("id")), "left")
     kept = unlike.groupBy("doc").agg(F.max(F.coalesce(F.col("rep"), F.col("doc")) == F.col("doc")).alias("kept"))
     gone = c.save(kept.where("not kept").select(F.col("doc").alias("id")))
-    words = _among(text.where("doc is not null"), "doc", gone, "left_anti")
-    table = _among(sets, "doc", gone, "left_anti").select(F.col("doc").alias("id"), "n", "bits")
+    words = among(text.where("doc is not null"), "doc", gone, "left_anti")
+    table = among(sets, "doc", gone, "left_anti").select(F.col("doc").alias("id"), "n", "bits")
 
     heavy = (
         words.mapInArrow(_first_columns, "token long, doc long")
@@ -307,7 +307,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         sized = _pairs_with(pairs, table, ["n", "bits"]).where("4 * least(a_n, b_n) >= 3 * greatest(a_n, b_n)")
         left = c.save(sized.mapInArrow(_possible, "a long, b long"))
         ids = left.select(F.col("a").alias("id")).union(left.select(F.col("b"))).distinct()
-        texts = _among(words, "doc", c.save(ids), "left_semi").select(F.col("doc").alias("id"), "text")
+        texts = among(words, "doc", c.save(ids), "left_semi").select(F.col("doc").alias("id"), "text")
         return c.save(_pairs_with(left, texts, ["text"]).mapInArrow(_linked, "a long, b long").distinct())
 
     near = c.save(words.mapInArrow(_heavy_rows(spread), "doc long, n long, hub long, tokens array<long>"))

@@ -8,4 +8,4 @@ from . import common, suffix_dedup
 
 
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"), digest=True)
+    return suffix_dedup.remove_repeats(common.table(spark, sf_dir, "documents"), form="sha256")

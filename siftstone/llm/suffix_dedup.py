@@ -313,7 +313,7 @@ def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start[at], end[np.append(at[1:], len(start)) - 1]
 
 
-def _cut(digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _cut(form: str, carried: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = c.buffers(batch.column(1))
@@ -332,23 +332,29 @@ def _cut(digest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Recor
                     data = data[keep]
                 removed.append(b - a - len(data))
                 count.append(len(start))
-                kept.append(hashlib.sha256(data).hexdigest() if digest else data.tobytes())
+                kept.append(hashlib.sha256(data).hexdigest() if form == "sha256" else data.tobytes() if form == "bytes" else data.tobytes().decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(offsets[1:] - offsets[:-1]), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.string() if digest else pa.binary())],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if digest else "kept"],
+                [batch.column(0), pa.array(offsets[1:] - offsets[:-1]), pa.array(removed, pa.int64()), pa.array(count, pa.int64()), pa.array(kept, pa.binary() if form == "bytes" else pa.string()), *batch.columns[3:]],
+                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256" if form == "sha256" else "kept", *(f"c{k}" for k in range(carried))],
             )
 
     return run
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, digest: bool = False) -> DataFrame:
-    """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, and `kept` (binary) or its SHA-256."""
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, form: str = "bytes", keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of `docs`: doc_id, n_bytes, n_removed, n_spans, and what is kept.
+
+    `form`: "bytes" gives `kept` as binary, "text" as text without the halves of characters that
+    a cut leaves, "sha256" gives `kept_sha256`. The columns `keep` follow as c0, c1, ...
+    """
     marks, again = repeated_spans(docs, id_col, text_col, length)
     text = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *([F.xxhash64(text).alias("own")] if again else []))
+    carried = {f"c{k}": F.col(x).alias(f"c{k}") for k, x in enumerate(keep)}
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *carried.values(), *([F.xxhash64(text).alias("own")] if again else []))
     on = F.col("doc_id") == F.col("doc")
     if again:
         on &= F.col("own") == F.col("tag")
-    joined = rows.join(marks, on, "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"))
-    last = "kept_sha256 string" if digest else "kept binary"
-    return joined.mapInArrow(_cut(digest), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}")
+    joined = rows.join(marks, on, "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<long>")).alias("spans"), *carried)
+    last = {"sha256": "kept_sha256 string", "text": "kept string", "bytes": "kept binary"}[form]
+    kinds = "".join(f", c{k} {kind}" for k, (_, kind) in enumerate(docs.select(*keep).dtypes)) if keep else ""
+    return joined.mapInArrow(_cut(form, len(keep)), f"doc_id long, n_bytes long, n_removed long, n_spans long, {last}{kinds}")

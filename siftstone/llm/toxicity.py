@@ -272,8 +272,8 @@ def fit(docs: DataFrame, labels: DataFrame, flag: str, learn: Column, rows: int
     return network
 
 
-def score(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, the columns `keep` by name, score of each row."""
+def score(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
+    """The id as `doc_id`, the columns `keep` by name, and the score, as column `out`, of each row."""
     spread = docs.sparkSession.sparkContext.broadcast(network)
     names = [id_col, *keep]
 
@@ -286,4 +286,4 @@ def score(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text
 
     rows = docs.select(*(F.col(x).alias(f"c{k}") for k, x in enumerate(names)), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     schema = ", ".join(f"c{k} {kind}" for k, (_, kind) in enumerate(docs.select(*names).dtypes))
-    return rows.mapInArrow(run, f"{schema}, score double").select(*(F.col(f"c{k}").alias(x if k else "doc_id") for k, x in enumerate(names)), "score")
+    return rows.mapInArrow(run, f"{schema}, score double").select(*(F.col(f"c{k}").alias(x if k else "doc_id") for k, x in enumerate(names)), F.col("score").alias(out))
