@@ -136,9 +136,9 @@ def _calls(t: Tables) -> DataFrame:
     return cost.breakdown(cost.priced(calls, book, "m"), "p", "k", "r", "w", c("batch"), c("backend"))
 
 
-@query(f"WITH {CALLS} SELECT l_orderkey, l_linenumber, m, round(a * (1 - x), 7) AS prompt_cost, round(b * (1 - x), 7) AS completion_cost, round(total, 7) AS total_cost, round(save, 7) AS cache_savings, round(bsave, 7) AS batch_savings FROM cost")
+@query(f"WITH {CALLS} SELECT l_orderkey, l_linenumber, m, round(a * (1 - x), 14) AS prompt_cost, round(b * (1 - x), 14) AS completion_cost, round(total, 14) AS total_cost, round(save, 14) AS cache_savings, round(bsave, 14) AS batch_savings FROM cost")
 def llm_cost_model(t: Tables) -> DataFrame:
-    r = lambda x: F.round(x, 7).alias(x)
+    r = lambda x: F.round(x, 14).alias(x)
     return _calls(t).select("l_orderkey", "l_linenumber", "m", r("prompt_cost"), r("completion_cost"), r("total_cost"), r("cache_savings"), r("batch_savings"))
 
 
