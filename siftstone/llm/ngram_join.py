@@ -7,11 +7,12 @@ in one global order, two sets of sizes a >= b that link share a shingle among th
 a - ceil(0.75 a) + 1 of the one and the first b - ceil(6 b / 7) + 1 of the other. Columns that
 many rows have come last in that order, so they seldom decide anything.
 
-* Light columns: a block multiplies each column with itself and keeps the pairs that sizes and
-  places still allow.
-* Heavy columns (rows of near copies): each row is first compared with one row of its column,
-  the smallest; rows that link are one component. Columns whose rows are all of one component
-  are done; the rest are joined across components.
+* Light columns: a block multiplies each column with itself, adds up how many columns a pair shares
+  and keeps the pairs that sizes and places still allow.
+* Heavy columns (rows of near copies) are not multiplied at once. Each row is first compared with one
+  other: the smallest row of most of its heavy columns, and the smaller row with which it shares most
+  light columns. Rows that link are one component. Heavy columns whose rows are all of one component
+  are done; the rest are joined across components, as are the pairs of light columns.
 * A pair that is left is dropped if the parities of its shingles differ in so many places that
   its overlap cannot reach 3 / 7 of both sizes together; then the whole texts are compared.
 
@@ -38,7 +39,7 @@ from . import common as c
 
 SHINGLE = 5
 #: A column is heavy if more rows have it among their first shingles.
-HEAVY_ROWS = 64
+HEAVY_ROWS = 16
 #: At most so many columns are put last, the heaviest; this bounds what is broadcast, and
 #: touches the order of columns only, never the pairs.
 HEAVY_COLUMNS = 1_000_000
@@ -90,6 +91,10 @@ def index_length(n: np.ndarray) -> np.ndarray:
     return n - (6 * n + 6) // 7 + 1
 
 
+#: The same as SQL.
+PROBE, INDEX = "({n} - (3 * {n} + 3) div 4 + 1)", "({n} - (6 * {n} + 6) div 7 + 1)"
+
+
 def parities(sets: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """For each row the parity of its shingles in each of BITS places, packed."""
     n = len(ends) - 1
@@ -122,6 +127,29 @@ def _first_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(sets[at].view(np.int64)), ids.take(pa.array(np.repeat(np.arange(len(n)), size)))], ["token", "doc"])
 
 
+def _columns_beside(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(token, doc) for all shingles of the rows that a crowded column would find."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        crowded = spread.value
+        for ids, sets, ends in _rows(batches):
+            n = np.diff(ends)
+            size = np.where(n > 0, index_length(n), 0)
+            at = c.ranges(ends[:-1], size)
+            row = np.repeat(np.arange(len(n)), size)
+            touched = np.unique(row[_is_in(sets[at], crowded)])
+            at = c.ranges(ends[touched], n[touched])
+            yield pa.RecordBatch.from_arrays([pa.array(sets[at].view(np.int64)), ids.take(pa.array(np.repeat(touched, n[touched])))], ["token", "doc"])
+
+    return run
+
+
+def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
 def _ordered(sets: np.ndarray, ends: np.ndarray, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(token, row, place, size of row, place in `heavy` or -1) of each row's deciding columns."""
     n = np.diff(ends)
@@ -196,8 +224,8 @@ def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield distinct(found)
 
     def distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        both = pd.DataFrame({k: np.concatenate(x) for k, x in zip("ab", zip(*found, strict=True), strict=True)}).drop_duplicates()
-        return pa.RecordBatch.from_arrays([pa.array(both["a"].to_numpy()), pa.array(both["b"].to_numpy())], ["a", "b"])
+        both = pd.DataFrame({k: np.concatenate(x) for k, x in zip("ab", zip(*found, strict=True), strict=True)}).groupby(["a", "b"], sort=False).size().reset_index(name="votes")
+        return pa.RecordBatch.from_arrays([pa.array(both[k].to_numpy(np.int64)) for k in ("a", "b", "votes")], ["a", "b", "votes"])
 
     def take(n: int) -> tuple[np.ndarray, ...]:
         token, doc, packed = (np.concatenate(x) for x in zip(*held, strict=True))
@@ -280,7 +308,7 @@ def _pairs_with(pairs: DataFrame, table: DataFrame, names: list[str]) -> DataFra
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
     spark = docs.sparkSession
-    text = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = c.small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = c.save(text.mapInArrow(_describe, "doc long, n long, key binary, bits binary"))
     sets = rows.where("doc is not null and key is not null")
     least = sets.groupBy("key").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
@@ -292,15 +320,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     words = among(text.where("doc is not null"), "doc", gone, "left_anti")
     table = among(sets, "doc", gone, "left_anti").select(F.col("doc").alias("id"), "n", "bits")
 
-    heavy = (
-        words.mapInArrow(_first_columns, "token long, doc long")
-        .groupBy("token").agg(F.count("*").alias("rows"), F.min("doc").alias("hub"))
-        .where(F.col("rows") > HEAVY_ROWS).orderBy(F.desc("rows"), "token").limit(HEAVY_COLUMNS)
-        .select("token", "hub").toArrow()
-    )
-    tokens, hubs = (heavy.column(k).to_numpy() for k in ("token", "hub"))
-    order = np.argsort(tokens.view(U64))
-    spread = spark.sparkContext.broadcast((tokens.view(U64)[order], hubs[order]))
+    def crowded(columns: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of more than HEAVY_ROWS rows, in order, and the smallest row of each."""
+        found = (
+            columns.groupBy("token").agg(F.count("*").alias("rows"), F.min("doc").alias("hub"))
+            .where(F.col("rows") > HEAVY_ROWS).orderBy(F.desc("rows"), "token").limit(HEAVY_COLUMNS)
+            .select("token", "hub").toArrow()
+        )
+        tokens, hubs = (found.column(k).to_numpy() for k in ("token", "hub"))
+        order = np.argsort(tokens.view(U64))
+        return tokens.view(U64)[order], hubs[order]
+
+    # columns that crowd the places a row is found by; then all that go with them, lest they take those places
+    first = spark.sparkContext.broadcast(crowded(words.mapInArrow(_first_columns, "token long, doc long"))[0])
+    spread = spark.sparkContext.broadcast(crowded(words.mapInArrow(_columns_beside(first), "token long, doc long")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link; a and b are distinct ids."""
@@ -311,21 +344,27 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return c.save(_pairs_with(left, texts, ["text"]).mapInArrow(_linked, "a long, b long").distinct())
 
     near = c.save(words.mapInArrow(_heavy_rows(spread), "doc long, n long, hub long, tokens array<long>"))
-    stars = verified(near.where("hub is not null").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b")).distinct())
+    light = words.mapInArrow(_light_rows(spread), "token long, doc long, size_place long").repartition("token").sortWithinPartitions("token")
+    shared_columns = c.save(light.mapInArrow(_product, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes")))
+    # one partner for each row
+    stars = near.where("hub is not null").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
+    best = shared_columns.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
+    stars = verified(stars.union(best).distinct())
     found = components(stars)
 
     def root(side: Column, name: str) -> Column:
         return F.coalesce(F.col(name), side)
 
-    # heavy columns: across components only, and only where there are several
-    column = near.join(found, near["doc"] == found["id"], "left").select(F.explode("tokens").alias("token"), "doc", "n", root(F.col("doc"), "root").alias("root"))
+    # heavy columns: across components only, where there are several, and only from places that can decide the pair
+    place = F.expr(f"{PROBE.format(n='n')} - size(tokens) + at")
+    column = near.join(found, near["doc"] == found["id"], "left").select(F.posexplode("tokens").alias("at", "token"), "doc", "n", "tokens", root(F.col("doc"), "root").alias("root"))
+    column = column.select("token", "doc", "n", place.alias("place"), "root")
     mixed = column.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
     left = column.join(mixed, "token", "left_semi")
-    right = left.select("token", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("root").alias("root2"))
-    across = left.join(right, "token").where("root < root2 and 4 * least(n, n2) >= 3 * greatest(n, n2)").select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b"))
-    # light columns
-    light = words.mapInArrow(_light_rows(spread), "token long, doc long, size_place long").repartition("token").sortWithinPartitions("token")
-    pairs = light.mapInArrow(_product, "a long, b long").union(across).distinct()
+    right = left.where(f"place < {INDEX.format(n='n')}").select("token", *(F.col(x).alias(f"{x}2") for x in ("doc", "n", "place", "root")))
+    decides = "root <> root2 and (n > n2 or n = n2 and doc < doc2) and 4 * n2 >= 3 * n and 7 * least(n - place, n2 - place2) >= 3 * (n + n2)"
+    across = left.join(right, "token").where(decides).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b"))
+    pairs = shared_columns.select("a", "b").union(across).distinct()
     for side in "ab":
         own = found.select(F.col("id").alias(f"{side}_id"), F.col("root").alias(f"{side}_root"))
         pairs = pairs.join(own, pairs[side] == own[f"{side}_id"], "left")
