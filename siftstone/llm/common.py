@@ -17,11 +17,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BLOCK_BYTES = 1 << 20
+#: Rows that go to Python at once, in place of Spark's 10000, as texts can be long.
+BATCH_ROWS = 2000
 U64 = np.uint64
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """Have the session send texts to Python BATCH_ROWS rows at a time, unless the user chose a size."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, BATCH_ROWS)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -117,7 +117,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), number(), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = c.small_batches(docs).select(F.col(id_col).alias("doc_id"), number(), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.select(id_col).dtypes[0][1]
     return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else ""))
 

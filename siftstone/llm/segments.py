@@ -14,7 +14,7 @@ import pandas as pd
 
 from . import common as c
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
 
 
 class Cache:

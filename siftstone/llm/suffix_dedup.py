@@ -294,7 +294,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     tag = F.xxhash64(text) if again else F.lit(0).cast("long")
     n_ranges = max(1, -(-total // RANGE_BYTES))
     sent = (
-        docs.where(doc.isNotNull())
+        c.small_batches(docs).where(doc.isNotNull())
         .select(doc.cast("long").alias("doc"), tag.alias("tag"), text.alias("text"))
         .mapInArrow(_parse(n_ranges, length), "bin long, marks boolean, blob binary")
     )

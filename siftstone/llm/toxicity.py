@@ -284,6 +284,6 @@ def score(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text
                 found = own.score(data, offsets) if own else np.zeros(hi - lo)
                 yield pa.RecordBatch.from_arrays([*(x[lo:hi] for x in batch.columns[: len(names)]), pa.array(found, pa.float64())], [*(f"c{k}" for k in range(len(names))), "score"])
 
-    rows = docs.select(*(F.col(x).alias(f"c{k}") for k, x in enumerate(names)), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+    rows = c.small_batches(docs).select(*(F.col(x).alias(f"c{k}") for k, x in enumerate(names)), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
     schema = ", ".join(f"c{k} {kind}" for k, (_, kind) in enumerate(docs.select(*names).dtypes))
     return rows.mapInArrow(run, f"{schema}, score double").select(*(F.col(f"c{k}").alias(x if k else "doc_id") for k, x in enumerate(names)), F.col("score").alias(out))
