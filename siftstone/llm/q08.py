@@ -9,3 +9,14 @@ from . import common, ngram_join
 
 def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.link(common.table(spark, sf_dir, "documents"))
+
+
+NAME = "op8_ngram_join"
+SQL = r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sh AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE []::VARCHAR[] END) AS s FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+pr AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+ln AS (SELECT a, b FROM pr JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+ed AS (SELECT a, b FROM ln UNION ALL SELECT b, a FROM ln),
+re(id, root) AS (SELECT doc_id, doc_id FROM documents UNION SELECT re.id, ed.b FROM re JOIN ed ON ed.a = re.root)
+SELECT id AS doc_id, coalesce(any_value(n), 0)::BIGINT AS n_shingles, min(root) AS component_id FROM re LEFT JOIN n ON n.doc_id = id GROUP BY id"""
