@@ -206,8 +206,13 @@ class Network:
         first = first + offset[row]
         sums = np.concatenate([[0], np.cumsum(odds)])
         rank = (sums[first + size] - sums[first]) / 4
-        distinct, codes = np.unique(bins, axis=0, return_inverse=True)
-        codes = codes.ravel()
+        key = np.zeros(len(bins), np.uint64)
+        for k in range(bins.shape[1]):
+            key = c.mix(key + bins[:, k].astype(np.uint64) + np.uint64(1))
+        codes, known = pd.factorize(key.view(np.int64))
+        some = np.empty(len(known), np.int64)
+        some[codes] = np.arange(len(codes))
+        distinct = bins[some]
         moments: dict[str, list] = {}
         step = 0
         for turn in range(ROUNDS):
