@@ -53,6 +53,8 @@ CHROME_WORDS = frozenset(
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+#: End tags of raw elements; what stands before them is not markup.
+RAW_END = {x: re.compile(rf"</{x}(?=[\s/>])[^>]*>", re.I) for x in RAW}
 SPACE = re.compile(r"\s+")
 GONE, OPEN, MAIN = 0, 1, 2
 
@@ -79,7 +81,7 @@ def lines(page: str) -> list[tuple[str, int]]:
     text: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # name, chrome, main
     state = [False, False]
-    at, raw = 0, None
+    at = 0
 
     def flush() -> None:
         line = SPACE.sub(" ", html.unescape("".join(text))).strip()
@@ -90,12 +92,8 @@ def lines(page: str) -> list[tuple[str, int]]:
     def settle() -> None:
         state[0], state[1] = (stack[-1][1], stack[-1][2]) if stack else (False, False)
 
-    for m in TOKEN.finditer(page):
+    while m := TOKEN.search(page, at):
         name = m[2].lower() if m[2] else None
-        if raw:  # only its end tag ends a raw element
-            if name == raw and m[1]:
-                raw, at = None, m.end()
-            continue
         text.append(page[at : m.start()])
         at = m.end()
         if not name:
@@ -110,7 +108,9 @@ def lines(page: str) -> list[tuple[str, int]]:
                 del stack[k:]
                 settle()
         elif name in RAW:
-            raw = None if m[3].endswith("/") and name in ("svg", "math") else name
+            if not (m[3].endswith("/") and name in ("svg", "math")):  # only its end tag ends a raw element
+                end = RAW_END[name].search(page, at)
+                at = end.end() if end else len(page)
         elif name == "br":
             text.append(" ")
         elif name not in VOID:
@@ -124,8 +124,7 @@ def lines(page: str) -> list[tuple[str, int]]:
             if chrome and not state[0]:
                 flush()
             settle()
-    if not raw:
-        text.append(page[at:])
+    text.append(page[at:])
     flush()
     return out
 

@@ -311,6 +311,13 @@ def test_html(spark):
     assert found == {1: ["First story\n\ntext <more"], 2: ["Second\n\nstory"] * 2, 3: ["Menu one\n\nSite line\n\nAlone\n\nhere\n\nBottom line"], 4: [""], 5: ["Ti&tle\n\nOne two\n\nThree bold"], 6: [""]}
 
 
+@pytest.mark.parametrize("raw", ["<script>for(var i=0;i<n;i++){f(i)}</script>", '<script>var s="<!--";</script>', "<style>a:after{content:'<![CDATA['}</STYLE >", "<script>var a='</scripts>', b=\"<x '\"</script\n>", "<svg/>"])
+def test_html_raw_elements_end_at_their_end_tag(raw):
+    found = html_text.lines(f"<body>{raw}<article><h1>Title</h1>{raw}<p>One {raw}two</p></article></body>")
+    assert found == [("Title", html_text.MAIN), ("One two", html_text.MAIN)]
+    assert html_text.lines(f"<p>One</p><script>{'x<y;' * 3}") == [("One", html_text.OPEN)]
+
+
 def test_longest_common_lines():
     rng = random.Random(2)
     for _ in range(100):
