@@ -4,15 +4,22 @@ Parse. A rolling hash of WIDTH bytes runs over the text; the least hash among th
 a window of `length` bytes is its trigger, so equal windows have equal triggers wherever
 they stand. A phrase is a maximal run of windows with one trigger, and overlaps the next
 phrase by length - 1 bytes: every window of the corpus lies in exactly one phrase.
-Dictionary. Phrases are dealt to ranges by their trigger. Equal phrases are kept once, with
+A trigger with HEAVY_BYTES windows or more in the corpus (they are counted first) is told
+apart by what stands around it: of its windows those that begin near it are keyed by the 29
+bytes from its start on, the others by the 30 bytes up to its end; where that key is as heavy
+again, each window is keyed by the whole of its bytes. All keys depend on a window's own bytes
+alone, so equal windows have equal keys.
+Dictionary. Phrases are dealt to ranges by their key. Equal phrases are kept once, with
 the smallest document that has them; the others are repeats as a whole.
 Order. Within a range the suffixes of the dictionary's phrases are sorted by the hash of their
 first `length` bytes, equal suffixes standing together as in a suffix array cut at that depth;
 each such group's smallest document keeps its bytes, the others mark theirs. Bytes are
 compared before anything is marked, so a hash collision cannot remove text.
 
-Only phrases (about three bytes for each byte of input, packed) and marks are shuffled. A
-range holds about RANGE_BYTES windows whatever the size of the corpus.
+Only phrases (about three bytes for each byte of input, packed), marks and counts are shuffled;
+marks are dealt by document, as they need meet nothing. A range holds about RANGE_BYTES windows
+in the mean, and besides them those of its largest key: under HEAVY_BYTES, or windows that are
+equal. Those must meet, but of equal phrases in a block only one is sent.
 
 Rows: null text is empty; rows with a null id are returned as they are and mark nothing;
 rows of one id (repeats too) never mark each other. Texts under `length` bytes stay whole.
@@ -36,6 +43,7 @@ from . import common as c
 LENGTH = 50
 WIDTH = 8
 RANGE_BYTES = 2_000_000
+HEAVY_BYTES = 4 * RANGE_BYTES
 FLUSH_BYTES = 40 << 20
 U64 = np.uint64
 
@@ -59,11 +67,26 @@ def _segments(column: pa.Array, length: int) -> Iterator[tuple[np.ndarray, np.nd
                 yield np.array([lo]), part, np.array([0, len(part)]), at
 
 
-def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """(trigger, first window, windows, row, content hash) of each phrase of these rows."""
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Whether each value is one of the known ones, which ascend."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _around(gram: np.ndarray, sums: np.ndarray, window: np.ndarray, length: int) -> np.ndarray:
+    """A key of each of these windows by its trigger and the bytes behind or before it, whichever are more."""
+    places = (gram.astype(U64) << U64(32)) | np.arange(len(gram), dtype=U64)
+    at = (_window_min(places, length - WIDTH + 1)[window] & U64(0xFFFFFFFF)).astype(np.int64)
+    half = (length - WIDTH) // 2
+    early = at - window <= half
+    start = np.where(early, at, at - half - 1)
+    return c.mix(c.span_hash(sums, start, np.where(early, at + length - half, at + WIDTH)) + early)
+
+
+def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, heavy: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, ...]:
+    """(key, first window, windows, row, content hash) of each phrase of these rows; `heavy` has ascending triggers and keys around them."""
     n = len(data)
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.uint32, np.int64, np.int64, np.int64, U64))
+        return tuple(np.zeros(0, t) for t in (U64, np.int64, np.int64, np.int64, U64))
     sums = c.prefix_sums(data)
     at = np.arange(n - WIDTH + 1)
     gram = (c.mix(c.span_hash(sums, at, at + WIDTH)) >> U64(32)).astype(np.uint32)
@@ -77,11 +100,25 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tupl
     new = valid.copy()
     new[1:] &= (least[1:] != least[:-1]) | ~valid[:-1]
     new[offsets[:-1][long]] = True
-    first = np.flatnonzero(new)
-    stop = np.flatnonzero(new | ~valid)
-    end = np.append(stop, len(least))[np.searchsorted(stop, first, "right")]
+    key = least.astype(U64)
+
+    def runs() -> tuple[np.ndarray, np.ndarray]:
+        first, stop = np.flatnonzero(new), np.flatnonzero(new | ~valid)
+        return first, np.append(stop, len(least))[np.searchsorted(stop, first, "right")]
+
+    first, end = runs()
+    if heavy:
+        near = _among(least[first], heavy[0])
+        if near.any():
+            window = c.ranges(first[near], (end - first)[near])
+            key[window] = _around(gram, sums, window, length)
+            deep = window[_among(key[window], heavy[1])]
+            key[deep] = c.mix(c.span_hash(sums, deep, deep + length))
+            window = window[window > 0]
+            new[window] |= key[window] != key[window - 1]
+            first, end = runs()
     row = np.searchsorted(offsets, first, "right") - 1
-    return least[first], first, end - first, row, c.span_hash(sums, first, end + length - 1)
+    return key[first], first, end - first, row, c.span_hash(sums, first, end + length - 1)
 
 
 def _pack(parts: list[tuple[np.ndarray, ...]]) -> bytes:
@@ -110,7 +147,55 @@ MARK = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("span", pa.int64())
 SENT = pa.schema([("bin", pa.int64()), ("marks", pa.bool_()), ("blob", pa.binary())])
 
 
-def _parse(n_ranges: int, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _count(total: int, least: int, length: int, heavy: tuple[np.ndarray, np.ndarray] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(key, n): windows of each trigger, or of each key around the heavy ones, but for keys that are rare in a part."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            if not held:
+                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, ["key", "n"])
+            key, run = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            key, at = np.unique(key, return_inverse=True)
+            n = np.bincount(at, run).astype(np.int64)
+            # what is left out adds up to no more than least / 2 windows of a trigger
+            many = n >= size * (least / 2) / total
+            return pa.RecordBatch.from_arrays([pa.array(key[many].astype(np.int64)), pa.array(n[many])], ["key", "n"])
+
+        for batch in batches:
+            for _, data, offsets, _ in _segments(batch.column(0), length):
+                key, _, run, _, _ = phrases(data, offsets, length, heavy)
+                size += int(run.sum())
+                if heavy:  # keys of triggers have 32 bits
+                    key, run = key[key >> U64(32) > 0], run[key >> U64(32) > 0]
+                if not len(key):
+                    continue
+                held.append((key, run))
+                if size > FLUSH_BYTES:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def heavy_keys(texts: DataFrame, total: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """All triggers, and all keys around these, with HEAVY_BYTES windows or more; at most 2 * total / HEAVY_BYTES of each."""
+
+    def find(heavy: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
+        counts = texts.mapInArrow(_count(total, HEAVY_BYTES, length, heavy), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        return np.sort(np.array([r["key"] for r in counts.where(F.col("n") >= HEAVY_BYTES / 2).select("key").collect()], np.int64).astype(U64))
+
+    none = np.zeros(0, U64)
+    triggers = find(None).astype(np.uint32) if total >= HEAVY_BYTES else none
+    return triggers, find((triggers, none)) if len(triggers) else none
+
+
+def _parse(n_ranges: int, length: int, heavy: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bool], list] = {}
         size = 0
@@ -124,7 +209,7 @@ def _parse(n_ranges: int, length: int) -> Callable[[Iterator[pa.RecordBatch]], I
         for batch in batches:
             ids, tags = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             for rows, data, offsets, base in _segments(batch.column(2), length):
-                key, first, run, row, content = phrases(data, offsets, length)
+                key, first, run, row, content = phrases(data, offsets, length, heavy)
                 if not len(key):
                     continue
                 doc = ids[rows[row]]
@@ -138,7 +223,7 @@ def _parse(n_ranges: int, length: int) -> Callable[[Iterator[pa.RecordBatch]], I
                 same[order] = order[fresh][group]
                 later = doc > owner
                 later[later] = _equal(data, first[later], first[same[later]], run[later] + length - 1, run[same[later]] + length - 1)
-                place = (c.mix(key.astype(U64)) % U64(n_ranges)).astype(np.int64)
+                place = (c.mix(np.where(later, doc.astype(U64), key)) % U64(n_ranges)).astype(np.int64)
                 for marks in (False, True):
                     picked = np.flatnonzero(later == marks)
                     picked = picked[np.argsort(place[picked], kind="stable")]
@@ -293,11 +378,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = docs.where(doc.isNotNull()).groupBy(doc).count().where("count > 1").limit(1).count() > 0
     tag = F.xxhash64(text) if again else F.lit(0).cast("long")
     n_ranges = max(1, -(-total // RANGE_BYTES))
-    sent = (
-        c.small_batches(docs).where(doc.isNotNull())
-        .select(doc.cast("long").alias("doc"), tag.alias("tag"), text.alias("text"))
-        .mapInArrow(_parse(n_ranges, length), "bin long, marks boolean, blob binary")
-    )
+    rows = c.small_batches(docs).where(doc.isNotNull()).select(doc.cast("long").alias("doc"), tag.alias("tag"), text.alias("text"))
+    heavy = heavy_keys(rows.select("text"), total, length)
+    sent = rows.mapInArrow(_parse(n_ranges, length, heavy), "bin long, marks boolean, blob binary")
     marks = sent.groupBy("bin").applyInArrow(_order(length), "doc long, tag long, span long")
     return marks.groupBy("doc", "tag").agg(F.collect_list("span").alias("spans")), again
 

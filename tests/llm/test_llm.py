@@ -284,6 +284,41 @@ def test_suffix_dedup(spark, monkeypatch):
         assert found == brute_cut(texts)
 
 
+def test_suffix_dedup_splits_heavy_triggers(spark, monkeypatch):
+    rng = random.Random(4)
+    letters = [chr(97 + k) for k in range(26)]
+    made = lambda n: "".join(rng.choices(letters, k=n))
+    # the string of eight letters that is the trigger wherever it stands
+    word = min((made(8) for _ in range(3000)), key=lambda x: suffix_dedup.phrases(np.frombuffer((x * 7).encode(), np.uint8)[:8], np.array([0, 8]), 8)[0][0])
+    passage = made(30) + word + made(90)
+    texts = {k: "".join(made(40) + word for _ in range(12)) + (passage[rng.randrange(40) :] if k % 3 == 0 else "") for k in range(60)}
+    around = word + made(24)
+    texts |= {100 + k: made(30) + around + made(30) for k in range(80)} | {70: word * 40, 71: word * 30, 72: "x", 73: passage}
+    total = sum(len(x) for x in texts.values())
+    df = documents(spark, list(texts.values()), list(texts))
+    monkeypatch.setattr(suffix_dedup, "RANGE_BYTES", 500)
+    monkeypatch.setattr(suffix_dedup, "HEAVY_BYTES", 1000)
+    heavy = suffix_dedup.heavy_keys(df.select(F.col("text").cast("binary")), total)
+
+    def windows(heavy):
+        size, keys = collections.Counter(), collections.defaultdict(set)
+        for x in texts.values():
+            data = np.frombuffer(x.encode(), np.uint8)
+            for key, first, run, *_ in zip(*suffix_dedup.phrases(data, np.array([0, len(data)]), 50, heavy), strict=True):
+                size[int(key)] += int(run)
+                for at in range(first, first + run):
+                    keys[x[at : at + 50]].add(int(key))
+        assert all(len(x) == 1 for x in keys.values()) and sum(size.values()) == sum(max(0, len(x) - 49) for x in texts.values())
+        return size
+
+    whole, once = windows(None), windows((heavy[0], heavy[1][:0]))
+    assert {k for k, n in whole.items() if n >= 1000} <= set(heavy[0].tolist()) and whole.most_common(1)[0][1] > 10_000
+    assert {k for k, n in once.items() if n >= 1000} <= set(heavy[1].tolist()) and once.most_common(1)[0][1] >= 1000
+    assert windows(heavy).most_common(1)[0][1] < 1000
+    found = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df, form="sha256").collect()}
+    assert found == brute_cut(texts)
+
+
 def test_suffix_dedup_long_text_in_parts(monkeypatch):
     monkeypatch.setattr(common, "BLOCK_BYTES", 300)
     import pyarrow as pa
