@@ -6,8 +6,9 @@ its own words alone, so a passage has the same anchors wherever it stands. `anch
 them with their places. A fingerprint keeps the SIZE least anchor hashes, written as 16
 hexadecimal digits each; likeness is the Jaccard estimate from the two fingerprints.
 
-Rows: null text is empty. A text of one to K - 1 words has one anchor, the whole of its words;
-one without words has none and an empty fingerprint. Two empty fingerprints are alike (1),
+Rows: null text is empty. A text with words but without a closed syncmer (all of up to K - 1
+words, and some of K or K + 1) has one anchor, the whole of its words; only one without words
+has none and an empty fingerprint. Two empty fingerprints are alike (1),
 an empty and another one are not (0). Next documents go by ascending distinct id; of rows
 that share an id the least text stands for it as a next document. Rows with a null id have no
 next document: their text stays as it is and near_next is null.
@@ -40,7 +41,8 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     df = _pairs("_w", "_s", df.withColumn("_w", native.words(F.col(text))))
     found = native.rolling("_s_g", K - 1, lambda at: F.when(_closed(at), F.xxhash64(at(0), at(2), at(3))))
     short = F.when(F.size("_s_h") > 0, F.array(F.xxhash64("_s_h"))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn("_a", F.array_compact(F.when(F.size("_s_h") >= K, found).otherwise(short)))
+    df = df.withColumn("_a", F.array_compact(found))
+    df = df.withColumn("_a", F.when(F.size("_a") > 0, F.col("_a")).otherwise(short))
     return df.select(*keep, F.slice(F.sort_array(F.array_distinct("_a")), 1, SIZE).alias(out))
 
 

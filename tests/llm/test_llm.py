@@ -58,6 +58,15 @@ def test_fingerprints(spark, texts):
     assert np.median([r.near_edited for r in found.values()]) > 0.4 > 0.1 > np.median([r.near_next for r in found.values()])
 
 
+def test_short_texts_have_fingerprints(spark):
+    texts = [" ".join(f"{a}{n}{k}" for k in range(n)) for n in (1, 4, 5, 6, 7) for a in "abcdefghijklmnop"]
+    found = fingerprints.fingerprint_edits(documents(spark, [*texts, " "])).collect()
+    by = {r.doc_id: r for r in found}
+    assert all(by[k].fingerprint and by[k].edited_fingerprint for k in range(len(texts))) and by[len(texts)].fingerprint == ""
+    assert len({r.fingerprint for r in found}) == len(found)
+    assert all(r.near_next < 1 for r in found) and by[len(texts) - 1].near_next == 0
+
+
 def test_anchors_do_not_depend_on_their_surroundings(spark):
     passage = " ".join(f"p{k}" for k in range(40))
     df = documents(spark, [f"a b c {passage}", f"{passage} x y z"])
