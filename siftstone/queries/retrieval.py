@@ -177,8 +177,12 @@ KEYWORDS = rf"""hd AS ({HEAD}), kw AS (SELECT DISTINCT unnest(CASE WHEN regexp_m
  ELSE list_filter(string_split_regex(h, '\s+'), lambda w: regexp_matches(w, '^\p{{Lu}}') AND length(w) >= 4 AND regexp_matches(w, '^\p{{L}}+$')) END) AS keyword FROM hd WHERE h <> '')"""
 
 
+def _first_line():
+    return T.trim_all(F.split_part("text", F.lit("\n"), F.lit(1)))
+
+
 def _keywords(t: Tables) -> DataFrame:
-    heads = t.documents.select(T.trim_all(F.split_part("text", F.lit("\n"), F.lit(1))).alias("h"), F.lit("").alias("x"))
+    heads = t.documents.select(_first_line().alias("h"), F.lit("").alias("x"))
     return terms.keywords(heads, "h", "x")
 
 
@@ -239,9 +243,9 @@ def entity_match_abilities(t: Tables) -> DataFrame:
 
 @query()
 def fuzzy_header_match(t: Tables) -> DataFrame:
-    """The document whose first words are most like a benchmark text's beginning."""
-    heads = t.documents.select("doc_id", F.substring("text", 1, 40).alias("h"))
-    return terms.header_lookup(t.benchmark.select("item_id", F.substring("text", 1, 40).alias("q")), heads, "item_id", "q", "doc_id", "h", "doc_id", 60)
+    """The document whose first line is most like a benchmark text's first line."""
+    heads = t.documents.select("doc_id", _first_line().alias("h"))
+    return terms.header_lookup(t.benchmark.select("item_id", _first_line().alias("q")), heads, "item_id", "q", "doc_id", "h", "doc_id", 60)
 
 
 @query()
@@ -253,7 +257,7 @@ def fuzzy_team_names(t: Tables) -> DataFrame:
 def quote_grounding(t: Tables) -> DataFrame:
     """Benchmark texts as quotes against the three best documents of each."""
     best = _bm25(t, 3).select(F.col("query_id").alias("item_id"), F.col("id").alias("doc_id"))
-    texts = best.join(t.documents.select("doc_id", F.substring("text", 1, 4000).alias("text")), "doc_id")
+    texts = best.join(t.documents.select("doc_id", "text"), "doc_id")
     return grounding.grounded(t.benchmark.select("item_id", "text"), texts.select("item_id", "doc_id", "text").withColumnRenamed("text", "body"), "item_id", "text", "item_id", "doc_id", "body")
 
 

@@ -180,3 +180,20 @@ def test_text_functions(spark):
     assert df.uuid == str(uuid.uuid5(uuid.NAMESPACE_DNS, "python.org"))
     with pytest.raises(ValueError):
         T.token_windows(F.array(F.lit(1)), 5, 5)
+
+
+def test_quotes_and_headers_meet_whole_texts(spark):
+    from types import SimpleNamespace
+
+    from siftstone.queries import retrieval as R
+
+    quote = "the quick zebra meets seven calm otters by the river"
+    head = "a header that is alike for its first forty characters"
+    docs = [(1, "filler words come first " * 300 + quote), (2, head + " and ends in apples\nbody"), (3, head + " but closes on quite another thing\nbody"), (4, "nothing of it")]
+    asked = [(1, quote), (2, head + " but closes on quite another thing\nmore")]
+    query = {f.__name__: f for f in (R.quote_grounding, R.fuzzy_header_match)}
+    t = SimpleNamespace(documents=spark.createDataFrame(docs, "doc_id long, text string"), benchmark=spark.createDataFrame(asked, "item_id long, text string"))
+    found = {r.item_id: r for r in query["quote_grounding"](t).collect()}
+    assert (found[1].source, found[1].score, found[1].valid) == (1, 1.0, True)
+    found = {r.item_id: (r.chunk, r.score) for r in query["fuzzy_header_match"](t).collect()}
+    assert found[2] == (3, 1.0)
