@@ -43,6 +43,7 @@ BLOCK = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+TEXT = frozenset("h1 h2 h3 h4 h5 h6 p".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog form menu menubar toolbar".split())
 #: Fixed: words in a class or id that name something other than the article.
 CHROME_WORDS = frozenset(
@@ -59,6 +60,13 @@ SPACE = re.compile(r"\s+")
 GONE, OPEN, MAIN = 0, 1, 2
 
 
+def _names_chrome(name: str, key: str, value: str, in_main: bool) -> bool:
+    """Whether a class or id names something other than the article; inside one only as a whole name, as parts of slugs are the article's own words."""
+    if not in_main:
+        return not CHROME_WORDS.isdisjoint(re.split(r"[^a-z0-9]+", value))
+    return not (key == "id" and name in TEXT) and not CHROME_WORDS.isdisjoint(value.split())
+
+
 def _is_chrome(name: str, attributes: str, in_main: bool) -> bool:
     if name in CHROME or (name == "header" and not in_main):
         return True
@@ -66,7 +74,7 @@ def _is_chrome(name: str, attributes: str, in_main: bool) -> bool:
         return False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), html.unescape(m[2] or m[3] or m[4] or "").lower()
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and CHROME_WORDS.intersection(re.split(r"[^a-z0-9]+", value)):
+        if key in ("class", "id") and name not in ("html", "body", "article", "main") and _names_chrome(name, key, value, in_main):
             return True
         if key == "role" and CHROME_ROLES.intersection(value.split()):
             return True

@@ -362,6 +362,13 @@ def test_html_raw_elements_end_at_their_end_tag(raw):
     assert html_text.lines(f"<p>One</p><script>{'x<y;' * 3}") == [("One", html_text.OPEN)]
 
 
+@pytest.mark.parametrize("kept", ['<h2 id="related-work">X</h2>', '<h2 id="comments">X</h2>', '<section id="social-impact"><p>X</p></section>', '<p class="share-price">X</p>', '<h2 id="notice-period">X</h2>', '<div id="menu-of-the-day">X</div>'])
+def test_html_slugs_inside_an_article_stay(kept):
+    for name in ("article", "main"):
+        found = html_text.lines(f"<{name}>{kept}<div class='box ad'>Buy</div><div id='comments'>Hi</div></{name}><div class='share-buttons'>Share</div>")
+        assert found == [("X", html_text.MAIN), ("Buy", html_text.GONE), ("Hi", html_text.GONE), ("Share", html_text.GONE)]
+
+
 def test_longest_common_lines():
     rng = random.Random(2)
     for _ in range(100):
