@@ -7,16 +7,21 @@ the one document that it is reading.
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import hashlib
+import struct
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Rows that go to Python at once, in place of Spark's 10000, as texts can be long.
 BATCH_ROWS = 2000
 U64 = np.uint64
@@ -45,13 +50,30 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/siftstone-{uuid.uuid4().hex}"
 
 
+_folders: list[str] = []
+
+
 def save(df: DataFrame) -> DataFrame:
     """Cut the lineage: write to the shared folder and read back with the same schema."""
     path = shared_dir(df.sparkSession)
+    _folders.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved() -> int:
+    """How many folders this driver has saved and not let go."""
+    return len(_folders)
+
+
+def let_go(spark: SparkSession, first: int, end: int) -> None:
+    """Delete the folders that were saved as number `first` up to `end`; nothing may read them any more."""
+    for path in _folders[first:end]:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    del _folders[first:end]
+
+
 def bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's text, modulo; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % modulus
@@ -65,6 +87,21 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives freed memory back to the system at its end, as Python workers outlive tasks."""
+
+    @functools.wraps(run)
+    def wrapped(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return wrapped
+
+
 # -- Arrow text ---------------------------------------------------------------------
 
 
@@ -138,6 +175,42 @@ def span_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return (sums[end] - sums[start]) * up[start]
 
 
+#: Longer stretches are hashed by BLAKE2b: sums modulo 2**64 confuse some long strings whatever the base.
+SHORT_BYTES = 32
+
+
+def stretch_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end], which depend on the bytes alone."""
+    out = mix(span_hash(prefix_sums(data), start, end))
+    for k in np.flatnonzero(end - start > SHORT_BYTES).tolist():
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+# -- columns of whole numbers, packed -------------------------------------------------
+
+
+def pack(first: np.ndarray, *rest: np.ndarray) -> bytes:
+    """Columns of 64-bit numbers, the first ascending as unsigned: byte planes, as many as the largest needs, compressed."""
+    columns = [np.diff(first.view(U64), prepend=U64(0)), *(x.view(U64) for x in rest)]
+    widths = [max(1, -(-int(x.max()).bit_length() // 8)) if len(x) else 1 for x in columns]
+    planes = [x.view(np.uint8).reshape(-1, 8)[:, :w].T.tobytes() for x, w in zip(columns, widths, strict=True)]
+    return zstandard.ZstdCompressor(level=1).compress(struct.pack(f"<IB{len(widths)}B", len(first), len(widths), *widths) + b"".join(planes))
+
+
+def unpack(blob: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    n, k = struct.unpack_from("<IB", raw)
+    at, out = 5 + k, []
+    for w in raw[5 : 5 + k]:
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :w] = np.frombuffer(raw, np.uint8, n * w, at).reshape(w, n).T
+        out.append(whole.view(U64).ravel())
+        at += n * w
+    out[0] = np.cumsum(out[0], dtype=U64)
+    return out
+
+
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -168,15 +241,21 @@ def lower_latin(data: np.ndarray) -> np.ndarray:
     return out
 
 
-def labelled(docs: DataFrame, labels: DataFrame, flag: str, learn: Column, rows: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(label, text) of a bounded sample: of each label value at most `rows` labels, the least by hash of their id.
+#: Longer texts are not fitted on; with the number of rows this bounds what the driver gets.
+FIT_CHARS = 20_000
+
+
+def labelled(docs: DataFrame, labels: DataFrame, flag: str, learn: Column, rows: int, id_col: str = "doc_id", text_col: str = "text", chars: int = FIT_CHARS) -> DataFrame:
+    """(label, place, text) of a bounded sample: of each label value at most `rows` labels, the least by hash of their
+    id, and of these the texts of at most `chars` characters. `place` is a hash that puts them in one order.
 
     The labels that are broadcast to the documents are 2 * rows at most, whatever the input.
     """
     known = labels.where(learn & F.col(flag).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(flag).cast("int").alias("label"))
     picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(rows) for k in (0, 1)]
     some = F.broadcast(picked[0].union(picked[1]))
-    return docs.join(some, docs[id_col] == some["id"]).select("label", F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.join(some, docs[id_col] == some["id"]).where(F.length(text) <= chars).select("label", F.xxhash64("id", text).alias("place"), text.alias("text"))
 
 
 def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -7,12 +7,15 @@ in one global order, two sets of sizes a >= b that link share a shingle among th
 a - ceil(0.75 a) + 1 of the one and the first b - ceil(6 b / 7) + 1 of the other. Columns that
 many rows have come last in that order, so they seldom decide anything.
 
+* Blocks are ranges of shingles. What goes to a block is counted and packed in the task that
+  reads the texts, so a shingle that most rows have comes once from each of its flushes.
 * Light columns: a block multiplies each column with itself, adds up how many columns a pair shares
   and keeps the pairs that sizes and places still allow.
 * Heavy columns (rows of near copies) are not multiplied at once. Each row is first compared with one
   other: the smallest row of most of its heavy columns, and the smaller row with which it shares most
   light columns. Rows that link are one component. Heavy columns whose rows are all of one component
-  are done; the rest are joined across components, as are the pairs of light columns.
+  are done; the rest are joined across components, as are the pairs of light columns. The rows of a
+  column are dealt to a grid of cells of GRID_ROWS rows either way, so no task has a column whole.
 * A pair that is left is dropped if the parities of its shingles differ in so many places that
   its overlap cannot reach 3 / 7 of both sizes together; then the whole texts are compared.
 
@@ -20,8 +23,11 @@ No link is lost: every step but the last comparison only drops pairs that cannot
 that are in one component by links already found. Components come from iterated joins.
 
 Rows: a null or empty text, or one without words, has an empty set, is linked with nothing and
-is its own component. Rows that share an id are one document with several texts. Rows with a null
-id link with nothing and have a null component. Shingles are told apart by 64-bit hashes.
+is its own component. Rows that share an id are one document with several texts: each text links by
+itself, and the id's component holds them all. Rows with a null id link with nothing and have a
+null component. Repeated rows get equal results. An empty table gives an empty result, extra
+columns are not looked at, and texts are read whole however long they are. Shingles are
+told apart by 64-bit hashes of their words' 64-bit hashes (BLAKE2b for words of more than 32 bytes).
 """
 
 from __future__ import annotations
@@ -45,6 +51,11 @@ HEAVY_ROWS = 16
 HEAVY_COLUMNS = 1_000_000
 #: Ids are broadcast up to this many; more are joined by a shuffle.
 BROADCAST_IDS = 4_000_000
+#: Shingles that a task counts before it sends them on, and that a block holds in the mean.
+FLUSH = 2_000_000
+BLOCK = 1_000_000
+#: Rows of a heavy column that meet in one cell, either way.
+GRID_ROWS = 1000
 BITS = 1024
 U64 = np.uint64
 
@@ -54,7 +65,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> tupl
     n = len(offsets) - 1
     data = c.LOWER[data]
     start, end, row = c.words(data, offsets)
-    word = c.mix(c.span_hash(c.prefix_sums(data), start, end))
+    word = c.stretch_hash(data, start, end)
     count = np.bincount(row, minlength=n)
     at = np.cumsum(count) - count
     if len(word) >= size:
@@ -110,6 +121,7 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.nd
             yield ids[lo:hi], *shingles(data, offsets)
 
 
+@c.tidy
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for ids, sets, ends in _rows(batches):
         raw = sets.tobytes()
@@ -118,28 +130,78 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([ids, pa.array(np.diff(ends)), pa.array(keys, pa.binary()), pa.array(bits, pa.binary())], ["doc", "n", "key", "bits"])
 
 
-def _first_columns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(token, doc) for the shingles that a row is found by, in plain order."""
-    for ids, sets, ends in _rows(batches):
-        n = np.diff(ends)
-        size = np.where(n > 0, index_length(n), 0)
-        at = c.ranges(ends[:-1], size)
-        yield pa.RecordBatch.from_arrays([pa.array(sets[at].view(np.int64)), ids.take(pa.array(np.repeat(np.arange(len(n)), size)))], ["token", "doc"])
+def _first_columns(ids: pa.Array, sets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingle, row) for the shingles that a row is found by, in plain order."""
+    n = np.diff(ends)
+    size = np.where(n > 0, index_length(n), 0)
+    return sets[c.ranges(ends[:-1], size)], np.repeat(np.arange(len(n)), size)
+
+
+def _columns_beside(spread) -> Callable[[pa.Array, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]:
+    """(shingle, row) for all shingles of the rows that a crowded column would find."""
+
+    def pick(ids: pa.Array, sets: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, row = _first_columns(ids, sets, ends)
+        touched = np.unique(row[_is_in(first, spread.value)])
+        n = np.diff(ends)[touched]
+        return sets[c.ranges(ends[touched], n)], np.repeat(touched, n)
+
+    return pick
+
 
+def _dealt(token: np.ndarray, columns: list[np.ndarray], blocks: int) -> pa.RecordBatch:
+    """(block, packed columns), from columns in order of `token`."""
+    block = ((token >> U64(32)) * U64(blocks)) >> U64(32)
+    cut = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+    packed = [c.pack(token[a:b], *(x[a:b] for x in columns)) for a, b in zip(cut.tolist(), [*cut[1:].tolist(), len(token)], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(block[cut].astype(np.int64)), pa.array(packed, pa.binary())], ["block", "packed"])
 
-def _columns_beside(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(token, doc) for all shingles of the rows that a crowded column would find."""
 
+def _tally(pick, blocks: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(block, packed (shingle, rows, smallest row)) of the shingles that `pick` takes."""
+
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        crowded = spread.value
-        for ids, sets, ends in _rows(batches):
-            n = np.diff(ends)
-            size = np.where(n > 0, index_length(n), 0)
-            at = c.ranges(ends[:-1], size)
-            row = np.repeat(np.arange(len(n)), size)
-            touched = np.unique(row[_is_in(sets[at], crowded)])
-            at = c.ranges(ends[touched], n[touched])
-            yield pa.RecordBatch.from_arrays([pa.array(sets[at].view(np.int64)), ids.take(pa.array(np.repeat(touched, n[touched])))], ["token", "doc"])
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            token, doc = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(token)
+            token, doc = token[order], doc[order]
+            cut = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            return _dealt(token[cut], [np.diff(np.append(cut, len(token))), np.minimum.reduceat(doc, cut)], blocks)
+
+        for batch in batches:
+            for ids, sets, ends in _rows([batch]):
+                token, row = pick(ids, sets, ends)
+                if len(token):
+                    held.append((token, ids.to_numpy(zero_copy_only=False).astype(np.int64)[row]))
+                    size += len(token)
+                if size > most:
+                    yield flush()
+                    size = 0
+        if held:
+            yield flush()
+
+    return run
+
+
+def _crowded(heavy_rows: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(token, rows, hub) of the shingles of one block that more than `heavy_rows` rows have; hub is the smallest."""
+
+    @c.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [c.unpack(x.as_py()) for batch in batches for x in batch.column("packed")]
+        token, rows, hub = (np.concatenate(x) for x in zip(*held, strict=True))
+        held.clear()
+        order = np.argsort(token)
+        token = token[order]
+        cut = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+        rows, hub = np.add.reduceat(rows[order], cut).view(np.int64), np.minimum.reduceat(hub[order].view(np.int64), cut)
+        many = rows > heavy_rows
+        yield pa.RecordBatch.from_arrays([pa.array(token[cut][many].view(np.int64)), pa.array(rows[many]), pa.array(hub[many])], ["token", "rows", "hub"])
 
     return run
 
@@ -165,6 +227,7 @@ def _ordered(sets: np.ndarray, ends: np.ndarray, heavy: np.ndarray) -> tuple[np.
 
 
 def _heavy_rows(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, hubs = spread.value
         for ids, sets, ends in _rows(batches):
@@ -186,70 +249,70 @@ def _heavy_rows(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
     return run
 
 
-def _light_rows(spread) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _light_rows(spread, blocks: int, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(block, packed (shingle, row, size, place)) of the deciding columns that are not heavy."""
+
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy, _ = spread.value
-        for ids, sets, ends in _rows(batches):
-            token, row, place, n, at = _ordered(sets, ends, heavy)
-            light = at < 0
-            yield pa.RecordBatch.from_arrays([pa.array(token[light].view(np.int64)), ids.take(pa.array(row[light])), pa.array((n[light] << 32) | place[light])], ["token", "doc", "size_place"])
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+
+        def flush() -> pa.RecordBatch:
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            held.clear()
+            order = np.argsort(columns[0])
+            return _dealt(columns[0][order], [x[order] for x in columns[1:]], blocks)
+
+        for batch in batches:
+            for ids, sets, ends in _rows([batch]):
+                token, row, place, n, at = _ordered(sets, ends, heavy)
+                light = at < 0
+                held.append((token[light], ids.to_numpy(zero_copy_only=False).astype(np.int64)[row[light]], n[light], place[light]))
+                size += len(held[-1][0])
+                if size > most:
+                    yield flush()
+                    size = 0
+        if size:
+            yield flush()
 
     return run
 
 
+@c.tidy
 def _product(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of rows that share a column, from rows sorted by column."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def pairs(token: np.ndarray, doc: np.ndarray, packed: np.ndarray) -> Iterator[pa.RecordBatch]:
-        n, place = packed >> 32, packed & 0xFFFFFFFF
-        left = np.flatnonzero(token[1:] == token[:-1])
-        found, size, gap = [], 0, 1
-        while len(left):
-            a, b = left, left + gap
-            swap = (n[a] < n[b]) | ((n[a] == n[b]) & (doc[a] > doc[b]))
-            x, y = np.where(swap, b, a), np.where(swap, a, b)
-            rest = 1 + np.minimum(n[x] - place[x], n[y] - place[y]) - 1
-            ok = (doc[x] != doc[y]) & (4 * n[y] >= 3 * n[x]) & (place[y] < index_length(n[y])) & (7 * rest >= 3 * (n[x] + n[y]))
-            low, high = np.minimum(doc[x[ok]], doc[y[ok]]), np.maximum(doc[x[ok]], doc[y[ok]])
-            found.append((low, high))
-            size += len(low)
-            if size > 500_000:
-                yield distinct(found)
-                found, size = [], 0
-            gap += 1
-            left = left[left + gap < len(token)]
-            left = left[token[left + gap] == token[left]]
-        if size:
-            yield distinct(found)
-
-    def distinct(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        both = pd.DataFrame({k: np.concatenate(x) for k, x in zip("ab", zip(*found, strict=True), strict=True)}).groupby(["a", "b"], sort=False).size().reset_index(name="votes")
-        return pa.RecordBatch.from_arrays([pa.array(both[k].to_numpy(np.int64)) for k in ("a", "b", "votes")], ["a", "b", "votes"])
-
-    def take(n: int) -> tuple[np.ndarray, ...]:
-        token, doc, packed = (np.concatenate(x) for x in zip(*held, strict=True))
-        held[:] = [(token[n:], doc[n:], packed[n:])]
-        return token[:n], doc[:n], packed[:n]
-
-    for batch in batches:
-        if not len(batch):
-            continue
-        held.append(tuple(batch.column(k).to_numpy() for k in range(3)))
-        if held[0][0][0] != held[-1][0][-1]:  # all columns but the last are complete
-            size = sum(len(x[0]) for x in held)
-            last = held[-1][0][-1]
-            tail = 0
-            for x in reversed(held):
-                k = len(x[0]) - np.searchsorted(x[0], last)
-                tail += k
-                if k < len(x[0]):
-                    break
-            yield from pairs(*take(size - tail))
-    if held:
-        yield from pairs(*take(sum(len(x[0]) for x in held)))
-
-
+    """(a, b, votes): pairs of rows that share columns of one block, and how many."""
+    held = [c.unpack(x.as_py()) for batch in batches for x in batch.column("packed")]
+    token, doc, n, place = (np.concatenate(x) for x in zip(*held, strict=True))
+    held.clear()
+    order = np.argsort(token)
+    token, doc, n, place = token[order], *(x[order].view(np.int64) for x in (doc, n, place))
+    left = np.flatnonzero(token[1:] == token[:-1])
+    found, size, gap = [], 0, 1
+    while len(left):
+        a, b = left, left + gap
+        swap = (n[a] < n[b]) | ((n[a] == n[b]) & (doc[a] > doc[b]))
+        x, y = np.where(swap, b, a), np.where(swap, a, b)
+        rest = np.minimum(n[x] - place[x], n[y] - place[y])
+        ok = (doc[x] != doc[y]) & (4 * n[y] >= 3 * n[x]) & (place[y] < index_length(n[y])) & (7 * rest >= 3 * (n[x] + n[y]))
+        found.append((np.minimum(doc[x[ok]], doc[y[ok]]), np.maximum(doc[x[ok]], doc[y[ok]])))
+        size += len(found[-1][0])
+        if size > 500_000:
+            yield _voted(found)
+            found, size = [], 0
+        gap += 1
+        left = left[left + gap < len(token)]
+        left = left[token[left + gap] == token[left]]
+    if size:
+        yield _voted(found)
+
+
+def _voted(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    both = pd.DataFrame({k: np.concatenate(x) for k, x in zip("ab", zip(*found, strict=True), strict=True)}).groupby(["a", "b"], sort=False).size().reset_index(name="votes")
+    return pa.RecordBatch.from_arrays([pa.array(both[k].to_numpy(np.int64)) for k in ("a", "b", "votes")], ["a", "b", "votes"])
+
+
+@c.tidy
 def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         bits = [np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(len(batch), BITS // 8) for k in (4, 5)]
@@ -259,6 +322,7 @@ def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(ok)
 
 
+@c.tidy
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         right, sizes = c.buffers(batch.column(3))
@@ -288,10 +352,12 @@ def components(edges: DataFrame) -> DataFrame:
     both = c.save(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
     labels = c.save(both.groupBy(F.col("a").alias("id")).agg(F.min(F.least("a", "b")).alias("root")))
     while True:
+        before = c.saved()
         near = both.join(labels, both["b"] == labels["id"]).groupBy("a").agg(F.min("root").alias("near"))
         lower = labels.join(near, labels["id"] == near["a"]).select("id", "root", F.least("root", "near").alias("to"))
         jump = lower.select(F.col("id").alias("at"), F.col("to").alias("on"))
         new = c.save(lower.join(jump, lower["to"] == jump["at"], "left").select("id", F.least("to", F.coalesce("on", "to")).alias("root"), (F.least("to", F.coalesce("on", "to")) < F.col("root")).alias("moved")))
+        c.let_go(new.sparkSession, before - 1, before)  # the labels that these come from
         labels = new.select("id", "root")
         if not new.where("moved").limit(1).count():
             return labels
@@ -307,33 +373,51 @@ def _pairs_with(pairs: DataFrame, table: DataFrame, names: list[str]) -> DataFra
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of each row."""
-    spark = docs.sparkSession
     text = c.small_batches(docs).select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    if not text.where("doc is not null").groupBy("doc").count().where("count > 1").limit(1).count():
+        return _link(text).select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("root").alias("component_id"))
+    # ids repeat: rows are linked by numbers of their own, then the rows of an id are one
+    rows = c.save(text.withColumn("row", F.when(F.col("doc").isNotNull(), F.monotonically_increasing_id())))
+    found = c.save(_link(rows.select(F.col("row").alias("doc"), "text")))
+    known = found.where("doc is not null").withColumnRenamed("doc", "row").join(rows.select("row", F.col("doc").alias("own")), "row").select("own", "n", "root")
+    least = known.groupBy("root").agg(F.min("own").alias("low"))
+    classes = components(known.join(least, "root").where("own <> low").select(F.col("own").alias("a"), F.col("low").alias("b")))
+    named = known.drop("root").join(classes, known["own"] == classes["id"], "left").select(F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "own").alias("component_id"))
+    return named.union(found.where("doc is null").select("doc", "n", F.lit(None).cast("long")))
+
+
+def _link(text: DataFrame) -> DataFrame:
+    """(doc, n, root) of each row of (doc, text), where no id but null repeats."""
+    spark = text.sparkSession
     rows = c.save(text.mapInArrow(_describe, "doc long, n long, key binary, bits binary"))
     sets = rows.where("doc is not null and key is not null")
     least = sets.groupBy("key").agg(F.min("doc").alias("rep"), F.count("*").alias("copies"))
     # only sets that come more than once have another representative than the row itself
-    shared = c.save(sets.select("doc", "key").join(least.where("copies > 1").select("key", "rep"), "key").select("doc", "rep"))
-    unlike = sets.join(shared.withColumnRenamed("doc", "id"), (F.col("doc") == F.col("id")), "left")
-    kept = unlike.groupBy("doc").agg(F.max(F.coalesce(F.col("rep"), F.col("doc")) == F.col("doc")).alias("kept"))
-    gone = c.save(kept.where("not kept").select(F.col("doc").alias("id")))
+    shared = c.save(sets.select("doc", "key").join(least.where("copies > 1").select("key", "rep"), "key").where("doc <> rep").select(F.col("doc").alias("id"), "rep"))
+    gone = shared.select("id")
     words = among(text.where("doc is not null"), "doc", gone, "left_anti")
     table = among(sets, "doc", gone, "left_anti").select(F.col("doc").alias("id"), "n", "bits")
-
-    def crowded(columns: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """Columns of more than HEAVY_ROWS rows, in order, and the smallest row of each."""
-        found = (
-            columns.groupBy("token").agg(F.count("*").alias("rows"), F.min("doc").alias("hub"))
-            .where(F.col("rows") > HEAVY_ROWS).orderBy(F.desc("rows"), "token").limit(HEAVY_COLUMNS)
-            .select("token", "hub").toArrow()
-        )
-        tokens, hubs = (found.column(k).to_numpy() for k in ("token", "hub"))
+    blocks = max(1, -(-(sets.agg(F.sum("n").alias("n")).first()["n"] or 0) // BLOCK))
+
+    def crowded(pick) -> tuple[np.ndarray, np.ndarray]:
+        """Columns of more than HEAVY_ROWS rows in order, the fullest HEAVY_COLUMNS at most, and the smallest row of each."""
+        sent = words.mapInArrow(_tally(pick, blocks, FLUSH), "block long, packed binary")
+        found = c.save(sent.groupBy("block").applyInArrow(_crowded(HEAVY_ROWS), "token long, rows long, hub long"))
+        level = F.floor(8 * F.log2("rows"))
+        least, total = None, 0
+        for r in found.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():
+            total += r["count"]
+            if total > HEAVY_COLUMNS:
+                break
+            least = r["level"]
+        kept = found.where(level >= least if least is not None else F.lit(False)).select("token", "hub").toArrow()
+        tokens, hubs = (kept.column(k).to_numpy() for k in ("token", "hub"))
         order = np.argsort(tokens.view(U64))
         return tokens.view(U64)[order], hubs[order]
 
     # columns that crowd the places a row is found by; then all that go with them, lest they take those places
-    first = spark.sparkContext.broadcast(crowded(words.mapInArrow(_first_columns, "token long, doc long"))[0])
-    spread = spark.sparkContext.broadcast(crowded(words.mapInArrow(_columns_beside(first), "token long, doc long")))
+    first = spark.sparkContext.broadcast(crowded(_first_columns)[0])
+    spread = spark.sparkContext.broadcast(crowded(_columns_beside(first)))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """The pairs that link; a and b are distinct ids."""
@@ -344,8 +428,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return c.save(_pairs_with(left, texts, ["text"]).mapInArrow(_linked, "a long, b long").distinct())
 
     near = c.save(words.mapInArrow(_heavy_rows(spread), "doc long, n long, hub long, tokens array<long>"))
-    light = words.mapInArrow(_light_rows(spread), "token long, doc long, size_place long").repartition("token").sortWithinPartitions("token")
-    shared_columns = c.save(light.mapInArrow(_product, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes")))
+    light = words.mapInArrow(_light_rows(spread, -(-blocks // 3), FLUSH // 2), "block long, packed binary")
+    shared_columns = c.save(light.groupBy("block").applyInArrow(_product, "a long, b long, votes long").groupBy("a", "b").agg(F.sum("votes").alias("votes")))
     # one partner for each row
     stars = near.where("hub is not null").select(F.least("doc", "hub").alias("a"), F.greatest("doc", "hub").alias("b"))
     best = shared_columns.groupBy("b").agg(F.max_by("a", F.struct("votes", -F.col("a"))).alias("a")).select("a", "b")
@@ -356,14 +440,16 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         return F.coalesce(F.col(name), side)
 
     # heavy columns: across components only, where there are several, and only from places that can decide the pair
-    place = F.expr(f"{PROBE.format(n='n')} - size(tokens) + at")
-    column = near.join(found, near["doc"] == found["id"], "left").select(F.posexplode("tokens").alias("at", "token"), "doc", "n", "tokens", root(F.col("doc"), "root").alias("root"))
-    column = column.select("token", "doc", "n", place.alias("place"), "root")
-    mixed = column.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("token")
-    left = column.join(mixed, "token", "left_semi")
-    right = left.where(f"place < {INDEX.format(n='n')}").select("token", *(F.col(x).alias(f"{x}2") for x in ("doc", "n", "place", "root")))
+    rooted = near.join(found, near["doc"] == found["id"], "left").select("doc", "n", F.size("tokens").alias("own"), "tokens", root(F.col("doc"), "root").alias("root"))
+    place = F.expr(f"{PROBE.format(n='n')} - own + at")
+    column = rooted.select(F.posexplode("tokens").alias("at", "token"), "doc", "n", "own", "root").select("token", "doc", "n", place.alias("place"), "root")
+    mixed = column.groupBy("token").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count("*") / GRID_ROWS).cast("int").alias("cells")).where("low < high").select("token", "cells")
+    left = column.join(mixed, "token")
+    own, all_cells = F.pmod(F.xxhash64("doc"), "cells"), F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
+    right = left.where(f"place < {INDEX.format(n='n')}").select("token", all_cells.alias("x"), own.alias("y"), *(F.col(x).alias(f"{x}2") for x in ("doc", "n", "place", "root")))
+    left = left.select("token", own.alias("x"), all_cells.alias("y"), "doc", "n", "place", "root")
     decides = "root <> root2 and (n > n2 or n = n2 and doc < doc2) and 4 * n2 >= 3 * n and 7 * least(n - place, n2 - place2) >= 3 * (n + n2)"
-    across = left.join(right, "token").where(decides).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b"))
+    across = left.join(right, ["token", "x", "y"]).where(decides).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b"))
     pairs = shared_columns.select("a", "b").union(across).distinct()
     for side in "ab":
         own = found.select(F.col("id").alias(f"{side}_id"), F.col("root").alias(f"{side}_root"))
@@ -371,10 +457,6 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     pairs = pairs.where(root(F.col("a"), "a_root") != root(F.col("b"), "b_root")).select("a", "b")
     links = verified(pairs)
 
-    edges = stars.union(links)
-    twice = text.where("doc is not null").groupBy("doc").count().where("count > 1").select(F.col("doc").alias("id"))
-    again = c.save(shared.join(twice, shared["doc"] == twice["id"], "left_semi").where("doc != rep").select(F.col("doc").alias("a"), F.col("rep").alias("b")))
-    final = components(edges.union(again)).withColumnRenamed("id", "node")
-    reps = shared.groupBy("doc").agg(F.min("rep").alias("rep")).withColumnRenamed("doc", "id")
-    out = rows.select("doc", "n").join(reps, F.col("doc") == F.col("id"), "left").withColumn("rep", F.coalesce("rep", "doc"))
-    return out.join(final, out["rep"] == final["node"], "left").select(F.col("doc").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
+    final = components(stars.union(links)).withColumnRenamed("id", "node")
+    out = rows.select("doc", "n").join(shared, F.col("doc") == F.col("id"), "left").withColumn("rep", F.coalesce("rep", "doc"))
+    return out.join(final, out["rep"] == final["node"], "left").select("doc", "n", F.coalesce("root", "rep").alias("root"))

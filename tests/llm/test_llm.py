@@ -18,6 +18,15 @@ from siftstone.llm import byte_bpe, common, factorisation, fingerprints, html_te
 FOLDER = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 ODD = ["", " ", "\n\n", " \n a", "a  b\n\n c\t\td e \n", "日本語 テキスト、です 123", "emoji 😀👍 x", "a   b", "I'm you're 's 't", "ÉCOLE İstanbul ŒUVRE ΣΑΣ", "<|endoftext|> a", "x" * 3000, "\x1c\x1f a\x85b", "12345 6.7 a1b2c3", "ñ̃ é"]
+
+
+def thue_morse(bits: int) -> tuple[str, str]:
+    """A word and its complement, which every polynomial hash modulo 2**64 confuses."""
+    one = "".join("ab"[bin(k).count("1") & 1] for k in range(1 << bits))
+    return one, one.translate({97: "b", 98: "a"})
+
+
+ODD += [*thue_morse(11), " ".join(thue_morse(10)), " ".join(thue_morse(10)[::-1]), " ".join(thue_morse(6)[::-1])]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -237,6 +246,10 @@ def shingle_sets(texts):
 @pytest.mark.parametrize("heavy", [3, 16])
 def test_ngram_join(spark, heavy, monkeypatch):
     monkeypatch.setattr(ngram_join, "HEAVY_ROWS", heavy)
+    if heavy == 3:
+        monkeypatch.setattr(ngram_join, "FLUSH", 300)
+        monkeypatch.setattr(ngram_join, "BLOCK", 500)
+        monkeypatch.setattr(ngram_join, "GRID_ROWS", 2)
     rng = random.Random(heavy)
     base = [[f"t{rng.randrange(50)}" for _ in range(60)] for _ in range(8)]
     texts = {}
@@ -328,6 +341,19 @@ def test_suffix_dedup_splits_heavy_triggers(spark, monkeypatch):
     assert found == brute_cut(texts)
 
 
+@pytest.mark.parametrize("length", [3, 8, 13, 50])
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_suffix_array_is_lexicographic(length, seed):
+    rng = np.random.default_rng(length)
+    data = np.concatenate([rng.integers(97, 99, 700), np.tile(rng.integers(0, 256, 90), 6), np.full(120, 255)]).astype(np.uint8)
+    window = rng.permutation(len(data) - length + 1)
+    value = {0: None, 1: np.array([hash(data[w : w + length].tobytes()) & 0xFFFFFFFF for w in window]), 2: np.zeros(len(window))}[seed]
+    order, fresh = suffix_dedup.suffix_array(data, window, length, value)
+    found = [data[window[k] : window[k] + length].tobytes() for k in order]
+    assert sorted(order.tolist()) == list(range(len(window))) and found == sorted(found)
+    assert fresh.tolist() == [k == 0 or found[k] != found[k - 1] for k in range(len(found))]
+
+
 def test_suffix_dedup_long_text_in_parts(monkeypatch):
     monkeypatch.setattr(common, "BLOCK_BYTES", 300)
     import pyarrow as pa
@@ -369,10 +395,40 @@ def test_html_slugs_inside_an_article_stay(kept):
         assert found == [("X", html_text.MAIN), ("Buy", html_text.GONE), ("Hi", html_text.GONE), ("Share", html_text.GONE)]
 
 
-def test_longest_common_lines():
-    rng = random.Random(2)
-    for _ in range(100):
-        a, b = (rng.choices("abcd", k=rng.randrange(9)) for _ in range(2))
+def test_html_elements_that_nothing_closes():
+    for name in ("select", "object", "svg", "video"):
+        assert html_text.lines(f"<p>One <{name}> two</p><p>Three</p>") == [("One two", html_text.OPEN), ("Three", html_text.OPEN)]
+        nested = f"<p>One</p><{name}>a<{name}>b</{name}>c<p>d</p></{name}><p>Three</p>"
+        assert [x for x, kind in html_text.lines(nested) if kind == html_text.OPEN] == ["One", "Three"]
+
+
+def test_html_lines_of_one_article_repeat_on_its_neighbour(spark):
+    rows = [(k, f"http://a.com/x/{k}", f"<p>Menu {k % 2}</p><article><p>Always</p><p>Only {k}</p></article>") for k in range(4)]
+    found = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), counts=True).collect()
+    assert {r.page_id: r.text for r in found} == {k: f"Always\n\nOnly {k}" for k in range(4)}
+    assert all(r.n_lines == 3 and r.n_shared == 1 and r.n_overruled == 2 for r in found)  # Always is shared and stays, the menu differs and goes
+
+
+def test_html_neighbours_that_are_equally_near(spark):
+    rows = [(k, f"http://a.com/{x}", f"<p>{x}</p><p>{'Before' if k < 2 else 'After'}</p><p>{'After' if k > 0 else 'Before'}</p>") for k, x in enumerate("abc")]
+    found = {r.page_id: r.text for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert found[1] == "b\n\nAfter"
+
+
+def test_longest_common_lines_of_many_repeated_lines():
+    assert len(html_text.common_lines(["x"] * 100_000, ["x"] * 100_000)) == 100_000
+    rng = random.Random(8)
+    a, b = (rng.choices("ab", k=6000) for _ in range(2))
+    found = sorted(html_text.common_lines(a, b))
+    it = iter(b)
+    assert all(a[k] in it for k in found) and len(found) == html_text._lengths(a, b)[-1] > 4500
+
+
+@pytest.mark.parametrize("most", [9, 300])
+def test_longest_common_lines(most):
+    rng = random.Random(most)
+    for _ in range(100 if most == 9 else 5):
+        a, b = (rng.choices("abcd", k=rng.randrange(most)) for _ in range(2))
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
         for i, x in enumerate(a):
             for k, y in enumerate(b):
@@ -423,6 +479,27 @@ def test_repeated_ids_with_other_texts(spark):
     assert {r.component_id for r in ngram_join.link(df).collect() if r.doc_id < 3} == {1}
 
 
+def test_ids_with_several_texts_reach_through_all_of_them(spark):
+    rng = random.Random(3)
+    a, b = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(60)) for x in "ab")
+    df = documents(spark, [a, a, b, b + " more", "nothing of it"], [1, 2, 2, 3, 4])
+    assert {(r.doc_id, r.component_id) for r in ngram_join.link(df).collect()} == {(1, 1), (2, 1), (3, 1), (4, 4)}
+
+
+def test_words_that_sums_confuse_do_not_link(spark):
+    one, two = thue_morse(11)
+    found = {r.doc_id: r.component_id for r in ngram_join.link(documents(spark, [one, two, f"a {one} b c d e", f"a {two} b c d e"])).collect()}
+    assert found == {k: k for k in range(4)}
+
+
+def test_packed_columns_come_back():
+    rng = np.random.default_rng(3)
+    first = np.sort(rng.integers(0, 2**63, 500, np.uint64) * np.uint64(2))
+    rest = rng.integers(-5, 2**40, 500), np.zeros(500, np.int64)
+    found = common.unpack(common.pack(first, *rest))
+    assert (found[0] == first).all() and all((x.view(np.int64) == y).all() for x, y in zip(found[1:], rest, strict=True))
+
+
 def test_empty_tables(spark):
     df = odd_rows(spark).limit(0)
     for name, x in _all_operators(spark, df).items():
