@@ -142,7 +142,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for batch in batches:
-            for lo, hi, data, offsets in c.blocks(batch.column(1)):
+            for lo, hi, data, offsets in c.blocks(batch.column(1), 1 << 20):
                 ids, ends = own.encode_rows(data, offsets)
                 _, size = own.token_bytes(ids.astype(np.int64))
                 whole = np.append((data & 0xC0) != 0x80, True)  # a character begins here
@@ -170,10 +170,11 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode() and decode() of each row in one pass, as counts and SHA-256 digests."""
 
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Callable[[str, str], Codec] = codec(path, pattern)
         for batch in batches:
-            for lo, hi, data, offsets in c.blocks(batch.column(1)):
+            for lo, hi, data, offsets in c.blocks(batch.column(1), 1 << 20):
                 ids, ends = own.encode_rows(data, offsets)
                 raw, size = own.token_bytes(ids.astype(np.int64))
                 at = np.concatenate([[0], np.cumsum(size)])[ends]

@@ -6,8 +6,9 @@ sequence of its own whose length is a power of two, so no sequence crosses docum
 none needs padding; batches are drawn from the buckets of equal `length`. Nothing is shuffled.
 
 Rows: null or empty text has the end id alone; repeated rows and repeated ids are packed each
-by itself. Ids are of any type. sequence_id is unique in the result: it numbers documents by
-their place in the input's partitions (as monotonically_increasing_id does) and pieces within.
+by itself. Ids are of any type. Texts are packed whole however long they are, an empty table has no
+pieces, and extra columns are not looked at. sequence_id is Spark's monotonically_increasing_id of the pieces,
+so it is unique in the result.
 """
 
 from __future__ import annotations
@@ -29,8 +30,6 @@ from .segments import Cache
 
 LIMIT = 4096
 END_ID = 2
-#: A document has fewer pieces than this: Spark's texts end at 2 GB.
-PIECES = 1 << 20
 PLAIN = regex.compile(r"[!-~\u00a1-\u024f]+").fullmatch
 
 
@@ -55,7 +54,7 @@ class Encoder:
         self.cache = Cache(self.encode)
 
     def encode(self, text: str) -> list[int]:
-        if not (self.simple and PLAIN(text)):
+        if not (self.simple and (text.isascii() and text.isprintable() or PLAIN(text))):
             return self.whole.encode(text, add_special_tokens=False).ids
         out, words = [], self.words
         for piece in self.pieces(text.lower()):
@@ -63,7 +62,9 @@ class Encoder:
             if ids is None:
                 if len(words) > self.cache.entries:
                     words.clear()
-                ids = words[piece] = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
+                ids = [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.table))]
+                if len(piece) <= c.SHORT_BYTES:
+                    words[piece] = ids
             out += ids
         return out
 
@@ -99,30 +100,25 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     if limit < 1 or limit & (limit - 1):
         raise ValueError("the limit must be a power of two")
 
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            number = batch.column(1).to_numpy()
-            for lo, hi, data, offsets in c.blocks(batch.column(2)):
+            for lo, hi, data, offsets in c.blocks(batch.column(1), 1 << 20):
                 ids, ends = own.encode_rows(data, offsets, end_id)
                 row, start, length = cuts(np.diff(ends), limit)
                 raw = ids.astype("<u4").tobytes()
                 at = ends[row] + start
                 crc = [zlib.crc32(raw[4 * a : 4 * (a + n)]) for a, n in zip(at.tolist(), length.tolist(), strict=True)]
-                piece = np.arange(len(row)) - np.searchsorted(row, row)
-                columns = [batch.column(0)[lo:hi].take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.diff(ends)[row]), pa.array(number[lo:hi][row] * PIECES + piece), pa.array(np.zeros(len(row), np.int64))]
-                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+                columns = [batch.column(0)[lo:hi].take(pa.array(row)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(np.diff(ends)[row])]
+                names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
                 if with_ids:
                     columns.append(pa.ListArray.from_arrays(pa.array(np.append(at, ends[-1]).astype(np.int32)), pa.array(ids.astype(np.int32))))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    rows = c.small_batches(docs).select(F.col(id_col).alias("doc_id"), number(), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = c.small_batches(docs).select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = docs.select(id_col).dtypes[0][1]
-    return rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else ""))
-
-
-def number():
-    """A row's number: partition times 2**23 and its place there, so that a piece's number fits a long."""
-    place = F.monotonically_increasing_id()
-    return (F.shiftright(place, 33) * (1 << 23) + place.bitwiseAND((1 << 33) - 1)).alias("number")
+    pieces = rows.mapInArrow(run, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long" + (", ids array<int>" if with_ids else ""))
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    return pieces.select(*names, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), *(["ids"] if with_ids else []))
