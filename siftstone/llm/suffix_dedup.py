@@ -10,16 +10,21 @@ bytes from its start on, the others by the 30 bytes up to its end; where that ke
 again, each window is keyed by the whole of its bytes. All keys depend on a window's own bytes
 alone, so equal windows have equal keys.
 Dictionary. Phrases are dealt to ranges by their key. Equal phrases are kept once, with
-the smallest document that has them; the others are repeats as a whole.
-Order. Within a range the suffixes of the dictionary's phrases are sorted by the hash of their
-first `length` bytes, equal suffixes standing together as in a suffix array cut at that depth;
-each such group's smallest document keeps its bytes, the others mark theirs. Bytes are
-compared before anything is marked, so a hash collision cannot remove text.
+the smallest document that has them; the others are repeats as a whole. A task merges its own
+equal phrases before it sends them, and a range merges those of all tasks.
+Suffix array. Within a range the suffixes of the dictionary's phrases that have a whole window
+are put in lexicographic order to the depth `length`: by their first eight bytes, then, as long
+as suffixes tie and are not alike to that depth (told by hash, and compared once), by the next five. Each window lies in one phrase,
+so this depth never passes a phrase's end, and the order of the parse (which phrase follows
+which) decides nothing; what the parse adds is in which documents a phrase stands. Read along the
+suffix array, a run of suffixes that have `length` bytes in common, with the documents of their
+phrases, is the list of a passage's places in corpus order: its smallest document keeps its bytes,
+the others mark theirs.
 
 Only phrases (about three bytes for each byte of input, packed), marks and counts are shuffled;
-marks are dealt by document, as they need meet nothing. A range holds about RANGE_BYTES windows
+marks need meet nothing. A range holds about RANGE_BYTES windows
 in the mean, and besides them those of its largest key: under HEAVY_BYTES, or windows that are
-equal. Those must meet, but of equal phrases in a block only one is sent.
+equal. Those must meet, but of equal phrases in a task's flush of FLUSH_BYTES only one is sent.
 
 Rows: null text is empty; rows with a null id are returned as they are and mark nothing;
 rows of one id (repeats too) never mark each other. Texts under `length` bytes stay whole.
@@ -43,8 +48,8 @@ from . import common as c
 LENGTH = 50
 WIDTH = 8
 RANGE_BYTES = 2_000_000
-HEAVY_BYTES = 4 * RANGE_BYTES
-FLUSH_BYTES = 40 << 20
+HEAVY_BYTES = 2 * RANGE_BYTES
+FLUSH_BYTES = 32 << 20
 U64 = np.uint64
 
 
@@ -122,7 +127,7 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, heavy:
 
 
 def _pack(parts: list[tuple[np.ndarray, ...]]) -> bytes:
-    doc, tag, start, run, raw = (np.concatenate(x) for x in zip(*parts, strict=True))
+    doc, tag, start, run, raw = (np.concatenate(x) for x in [*zip(*parts, strict=True)][:5])
     head = struct.pack("<IB", len(doc), bool(tag.any()))
     body = [np.diff(doc, prepend=0).astype("<i8"), *([tag.astype("<i8")] if tag.any() else []), start.astype("<u4"), run.astype("<u4"), raw]
     # the high bytes of sorted numbers are alike: stored byte by byte they compress well
@@ -150,6 +155,7 @@ SENT = pa.schema([("bin", pa.int64()), ("marks", pa.bool_()), ("blob", pa.binary
 def _count(total: int, least: int, length: int, heavy: tuple[np.ndarray, np.ndarray] | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """(key, n): windows of each trigger, or of each key around the heavy ones, but for keys that are rare in a part."""
 
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
         size = 0
@@ -196,11 +202,16 @@ def heavy_keys(texts: DataFrame, total: int, length: int = LENGTH) -> tuple[np.n
 
 
 def _parse(n_ranges: int, length: int, heavy: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, bool], list] = {}
         size = 0
 
         def flush() -> pa.RecordBatch:
+            for place in [k for k, marks in held if not marks]:
+                held[place, False], again = _merge(held[place, False], length)
+                if len(again[0]):
+                    held.setdefault((place, True), []).append(again)
             keys = sorted(held)
             blobs = [_pack(held[k]) for k in keys]
             held.clear()
@@ -234,7 +245,7 @@ def _parse(n_ranges: int, length: int, heavy: tuple[np.ndarray, np.ndarray]) ->
                         p = picked[a:b]
                         start = first[p] - offsets[row[p]] + base
                         raw = data[c.ranges(first[p], run[p] + length - 1)] if not marks else np.zeros(0, np.uint8)
-                        held.setdefault((int(place[p[0]]), marks), []).append((doc[p], tags[rows[row[p]]], start, run[p], raw))
+                        held.setdefault((int(place[p[0]]), marks), []).append((doc[p], tags[rows[row[p]]], start, run[p], raw, content[p]))
                         size += len(raw) + 24 * len(p)
                 if size > FLUSH_BYTES:
                     yield flush()
@@ -245,6 +256,30 @@ def _parse(n_ranges: int, length: int, heavy: tuple[np.ndarray, np.ndarray]) ->
     return run
 
 
+def _merge(parts: list[tuple[np.ndarray, ...]], length: int) -> tuple[list[tuple[np.ndarray, ...]], tuple[np.ndarray, ...]]:
+    """(phrases once each, with their smallest document; the places of the others)."""
+    doc, tag, start, run, data, content = (np.concatenate(x) for x in zip(*parts, strict=True))
+    size = run + length - 1
+    at = np.cumsum(size) - size
+    whole = _copies(data, doc, at, size, content)
+    kept = ~whole
+    none = np.zeros(0, np.uint8)
+    once = doc[kept], tag[kept], start[kept], run[kept], data[np.repeat(kept, size)], content[kept]
+    return [once], (doc[whole], tag[whole], start[whole], run[whole], none, content[whole])
+
+
+def _copies(data: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Whether a smaller document has the same phrase; bytes are compared where the hashes `content` are equal."""
+    order = np.lexsort((doc, content))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = content[order][1:] != content[order][:-1]
+    head = np.empty(len(order), np.int64)
+    head[order] = order[fresh][np.cumsum(fresh) - 1]
+    whole = doc > doc[head]
+    whole[whole] = _equal(data, at[whole], at[head[whole]], size[whole], size[head[whole]])
+    return whole
+
+
 def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Whether data[a:a+na] equals data[b:b+nb], for each pair."""
     out = na == nb
@@ -260,18 +295,21 @@ def _marks(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray)
     return pa.Table.from_arrays([pa.array(doc), pa.array(tag), pa.array((start << 32) | end)], schema=MARK)
 
 
-def _order(length: int) -> Callable[[pa.Table], pa.Table]:
-    def run(sent: pa.Table) -> pa.Table:
-        out, parts = [], []
-        for marks, blob in zip(sent.column("marks").to_pylist(), sent.column("blob").to_pylist(), strict=True):
-            x = _unpack(blob)
-            if marks:
-                out.append(_marks(x[0], x[1], x[2], x[2] + x[3] + length - 1))
-            else:
-                parts.append(x)
+def _order(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @c.tidy
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for batch in batches:
+            for marks, blob in zip(batch.column("marks").to_pylist(), batch.column("blob"), strict=True):
+                x = _unpack(blob.as_py())
+                if marks:
+                    yield from _marks(x[0], x[1], x[2], x[2] + x[3] + length - 1).to_batches()
+                else:
+                    parts.append(x)
         if parts:
-            out.append(repeats(*(np.concatenate(x) for x in zip(*parts, strict=True)), length))
-        return pa.concat_tables(out) if out else MARK.empty_table()
+            whole = [np.concatenate(x) for x in zip(*parts, strict=True)]
+            parts.clear()
+            yield from repeats(*whole, length).to_batches()
 
     return run
 
@@ -284,70 +322,73 @@ def repeats(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, run: np.ndarray
     content = np.empty(len(doc), U64)
     for lo, hi, base, sums in _parts(data, at, size):
         content[lo:hi] = c.span_hash(sums, at[lo:hi] - base, (at + size)[lo:hi] - base)
-    order = np.lexsort((doc, content))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = content[order][1:] != content[order][:-1]
-    head = np.empty(len(order), np.int64)
-    head[order] = order[fresh][np.cumsum(fresh) - 1]
-    whole = doc > doc[head]
-    whole[whole] = _equal(data, at[whole], at[head[whole]], size[whole], size[head[whole]])
+    whole = _copies(data, doc, at, size, content)
     out = [_marks(doc[whole], tag[whole], start[whole], (start + size)[whole])]
     kept = np.flatnonzero(~whole)
     # the suffixes of its phrases that have a whole window
+    window = c.ranges(at[kept], run[kept])
+    owner = np.repeat(kept.astype(np.int32), run[kept])
     value = []
     for lo, hi, base, sums in _parts(data, at, size):
         own = lo + np.flatnonzero(~whole[lo:hi])
         here = c.ranges(at[own] - base, run[own])
-        value.append(c.mix(c.span_hash(sums, here, here + length)))
-    value = np.concatenate(value)
-    window = c.ranges(at[kept], run[kept])
-    owner = np.repeat(kept.astype(np.int32), run[kept])
-    n = len(window)
-    if n < 1 << 24:
-        packed = np.sort((value & U64(0xFFFFFFFFFF000000)) | np.arange(n, dtype=U64))
-        order = (packed & U64(0xFFFFFF)).astype(np.int64)
-        value = packed >> U64(24)
-    else:
-        order = np.argsort(value)
-        value = value[order]
-    who = doc[owner[order]]
-    cut = np.flatnonzero(np.append(True, value[1:] != value[:-1])) if n else np.zeros(0, np.int64)
-    least = np.minimum.reduceat(who, cut) if n else who
-    count = np.diff(np.append(cut, n))
-    many = count > 1
-    inside = np.repeat(many, count)
-    sub, sub_count = order[inside], count[many]
-    if len(sub):
-        sub_cut = np.cumsum(sub_count) - sub_count
-        sub_who = doc[owner[sub]]
-        low = np.repeat(least[many], sub_count)
-        later = sub_who > low
-        # a window of the group's smallest document, to compare bytes with
-        index = np.where(later, len(sub), np.arange(len(sub)))
-        first = np.repeat(np.minimum.reduceat(index, sub_cut), sub_count)
-        same = _same_window(data, window[sub], window[sub[first]], length)
-        if not same.all():
-            later &= same
-            odd = np.unique(np.repeat(np.arange(len(sub_cut)), sub_count)[~same])
-            for g in odd:  # a collision: these few windows are compared by their bytes
-                members = range(sub_cut[g], sub_cut[g] + sub_count[g])
-                owners: dict[bytes, int] = {}
-                text = {k: data[window[sub[k]] : window[sub[k]] + length].tobytes() for k in members}
-                for k in members:
-                    owners[text[k]] = min(owners.get(text[k], sub_who[k]), sub_who[k])
-                for k in members:
-                    later[k] = sub_who[k] > owners[text[k]]
-        flag = np.zeros(n + 1, bool)
-        flag[sub[later]] = True
+        value.append(c.span_hash(sums, here, here + length))
+    order, fresh = suffix_array(data, window, length, np.concatenate(value))
+    if len(order):
+        who = doc[owner[order]]
+        cut = np.flatnonzero(fresh)
+        later = who > np.repeat(np.minimum.reduceat(who, cut), np.diff(np.append(cut, len(who))))
+        flag = np.zeros(len(order), bool)
+        flag[order[later]] = True
         edge = np.append(True, owner[1:] != owner[:-1])
-        begin = flag[:-1] & (edge | ~np.append(False, flag[:-2]))
-        stop = flag[:-1] & (np.append(edge[1:], True) | ~flag[1:])
-        b, e = np.flatnonzero(begin), np.flatnonzero(stop)
+        b = np.flatnonzero(flag & (edge | ~np.append(False, flag[:-1])))
+        e = np.flatnonzero(flag & (np.append(edge[1:], True) | ~np.append(flag[1:], False)))
         o = owner[b]
         out.append(_marks(doc[o], tag[o], start[o] + window[b] - at[o], start[o] + window[e] - at[o] + length))
     return pa.concat_tables(out)
 
 
+def suffix_array(data: np.ndarray, window: np.ndarray, length: int, value: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(the suffixes that begin at `window` by their first `length` bytes; whether each differs there from the one before).
+
+    `value` has hashes of these bytes: ties of one hash are not ordered any further, but compared once.
+    """
+    if not len(window):
+        return np.zeros(0, np.int64), np.zeros(0, bool)
+    eight = np.ndarray((len(data) + 1,), ">u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
+    depth = min(8, length)
+    key = eight[window].astype(U64) >> U64(64 - 8 * depth)
+    order = np.argsort(key)
+    key = key[order]
+    fresh = np.append(True, key[1:] != key[:-1])
+    slot = np.flatnonzero(~fresh | np.append(~fresh[1:], False))
+    while depth < length and len(slot):
+        if value is not None:
+            own = value[order[slot]]
+            group = np.cumsum(fresh[slot]) - 1
+            mixed = np.zeros(int(group[-1]) + 1, bool)
+            mixed[group[1:][(own[1:] != own[:-1]) & ~fresh[slot[1:]]]] = True
+            slot = slot[mixed[group]]
+            if not len(slot):
+                break
+        depth = min(depth, length - 5)
+        group, key = np.cumsum(fresh[slot]).astype(U64), eight[window[order[slot]] + depth].astype(U64) >> U64(24)
+        if len(slot) < 1 << 24:
+            key |= group << U64(40)
+            sub = np.argsort(key)
+        else:
+            sub = np.lexsort((key, group))
+        order[slot], key = order[slot][sub], key[sub]
+        fresh[slot[1:]] |= key[1:] != key[:-1]
+        slot = slot[~fresh[slot] | np.append(~fresh[slot[1:]], False)]
+        depth += 5
+    if value is not None:
+        after = np.flatnonzero(~fresh)
+        if not _same_window(data, window[order[after]], window[order[after - 1]], length).all():
+            return suffix_array(data, window, length)
+    return order, fresh
+
+
 def _parts(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
     """(first phrase, end phrase, first byte, prefix sums from there) of about a block each."""
     lo, stop = 0, at + size
@@ -397,6 +438,7 @@ def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(form: str, carried: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             raw, offsets = c.buffers(batch.column(1))
