@@ -1,20 +1,22 @@
 """Main text of web pages by markup and by differencing with the nearest URL.
 
-A page becomes text lines, one for each block. Markup decides what it can: lines inside menus,
-headers, footers, sidebars, notices, adverts, forms, comments, scripts and the like go; lines
-inside an article or main element stay, and then lines outside it go. The other lines, those of a
-page without such an element, are decided by differencing: pages are ordered by host and URL
-path, each is paired with the neighbour of its host whose path shares the longest beginning,
-the two pages' lines are aligned by longest common subsequence, and shared lines are deleted.
-(Where an article repeats on its neighbour, differencing alone would delete the article; the
-README gives figures.)
+A page becomes text lines, one for each block. Pages are ordered by host and URL path, each is
+paired with the neighbour of its host whose path shares the longest beginning, the two pages' lines
+are aligned by longest common subsequence, and shared lines are deleted. Markup settles the lines
+that differencing alone gets wrong: lines inside menus, headers, footers, sidebars, notices,
+adverts, forms, comments, scripts and the like go although the neighbour has others; lines inside an
+article or main element stay although the neighbour has them too, and then lines outside it go.
+`counts` says how many lines differencing found shared and where markup overruled it; the README
+gives figures.
 
 Pages are ordered by range over the whole table, so a host with most pages is spread like any
-other; only hashes of lines travel, not text.
+other; only hashes of lines travel to neighbours, not text.
 
 Rows: null html gives empty text; a null or odd URL counts as host '' and path ''. A page without
-a neighbour on its host, or whose neighbour has the same lines, loses nothing by differencing. Repeated rows are treated alike. Nothing is
-capped: texts are whole. The result has page_id, url, text and n_chars only.
+a neighbour on its host, or whose neighbour has the same lines, loses nothing by differencing; of
+two neighbours that are equally near, the one before is taken. Repeated rows are treated alike. Nothing is
+capped: texts are whole, however long. An empty table gives an empty result, and extra columns are not
+looked at. The result has page_id, url, text and n_chars, and the counts on request.
 """
 
 from __future__ import annotations
@@ -32,11 +34,10 @@ from pyspark.sql import functions as F
 
 from . import common as c
 
-BROADCAST_PAGES = 100_000
-
 #: Fixed: elements by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe object textarea title svg math canvas audio video select".split())
+RAW = frozenset("script style iframe textarea title noembed noframes xmp".split())
+DROPPED = frozenset("noscript template object svg math canvas audio video select datalist".split())
 CHROME = frozenset("head nav footer aside form button dialog menu fieldset".split())
 BLOCK = frozenset(
     "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -68,7 +69,7 @@ def _names_chrome(name: str, key: str, value: str, in_main: bool) -> bool:
 
 
 def _is_chrome(name: str, attributes: str, in_main: bool) -> bool:
-    if name in CHROME or (name == "header" and not in_main):
+    if name in CHROME or name in DROPPED or (name == "header" and not in_main):
         return True
     if not attributes.strip():
         return False
@@ -90,6 +91,7 @@ def lines(page: str) -> list[tuple[str, int]]:
     stack: list[tuple[str, bool, bool]] = []  # name, chrome, main
     state = [False, False]
     at = 0
+    ends: dict[str, int] = {}
 
     def flush() -> None:
         line = SPACE.sub(" ", html.unescape("".join(text))).strip()
@@ -116,11 +118,12 @@ def lines(page: str) -> list[tuple[str, int]]:
                 del stack[k:]
                 settle()
         elif name in RAW:
-            if not (m[3].endswith("/") and name in ("svg", "math")):  # only its end tag ends a raw element
-                end = RAW_END[name].search(page, at)
-                at = end.end() if end else len(page)
+            end = RAW_END[name].search(page, at)  # only its end tag ends a raw element
+            at = end.end() if end else len(page)
         elif name == "br":
             text.append(" ")
+        elif name in DROPPED and (m[3].endswith("/") or ends.setdefault(name, page.lower().rfind(f"</{name}")) < at):
+            pass  # one that nothing closes holds nothing
         elif name not in VOID:
             if name in CLOSES_P and any(x[0] == "p" for x in stack):
                 k = max(k for k, x in enumerate(stack) if x[0] == "p")
@@ -139,20 +142,44 @@ def lines(page: str) -> list[tuple[str, int]]:
 
 def common_lines(a: list, b: list) -> set[int]:
     """Places in `a` of a longest common subsequence with `b`."""
-    where: dict = {}
-    for k, x in enumerate(b):
-        where.setdefault(x, []).append(k)
+    found: set[int] = set()
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        i, j, k, n = todo.pop()
+        while i < j and k < n and a[i] == b[k]:
+            found.add(i)
+            i, k = i + 1, k + 1
+        while i < j and k < n and a[j - 1] == b[n - 1]:
+            found.add(j - 1)
+            j, n = j - 1, n - 1
+        if i == j or k == n:
+            continue
+        where: dict = {}
+        for at in range(k, n):
+            where.setdefault(b[at], []).append(at)
+        if sum(len(where.get(x, ())) for x in a[i:j]) <= 64 * (j - i + n - k):
+            found.update(_sparse(a, i, j, where))
+        else:  # many repeated lines: halve `a` where the halves' best lengths add up to most
+            mid = (i + j) // 2
+            ahead, back = _lengths(a[i:mid], b[k:n]), _lengths(a[mid:j][::-1], b[k:n][::-1])[::-1]
+            cut = k + int(np.argmax(ahead + back))
+            todo += [(i, mid, k, cut), (mid, j, cut, n)]
+    return found
+
+
+def _sparse(a: list, i: int, j: int, where: dict) -> set[int]:
+    """Places in a[i:j] of a longest common subsequence, from the places of its lines in the other list."""
     ends: list[int] = []
     links: list[tuple] = []
-    for i, x in enumerate(a):
-        for k in reversed(where.get(x, ())):
-            at = bisect_left(ends, k)
-            link = (i, links[at - 1] if at else None)
-            if at == len(ends):
+    for at in range(i, j):
+        for k in reversed(where.get(a[at], ())):
+            n = bisect_left(ends, k)
+            link = (at, links[n - 1] if n else None)
+            if n == len(ends):
                 ends.append(k)
                 links.append(link)
             else:
-                ends[at], links[at] = k, link
+                ends[n], links[n] = k, link
     found, link = set(), links[-1] if links else None
     while link:
         found.add(link[0])
@@ -160,32 +187,51 @@ def common_lines(a: list, b: list) -> set[int]:
     return found
 
 
-def main_text(found: list[tuple[str, int]], partner: list[int] | None) -> str:
-    if any(kind == MAIN for _, kind in found):
-        return "\n\n".join(x for x, kind in found if kind == MAIN)
-    rest = [x for x, kind in found if kind == OPEN]
-    shared = common_lines([line_hash(x) for x in rest], partner) if partner else ()
-    return "\n\n".join(x for k, x in enumerate(rest) if k not in shared)
+def _lengths(a: list, b: list) -> np.ndarray:
+    """Length of a longest common subsequence of `a` and b[:k], for every k; a row of bits for each line of `a`."""
+    where: dict = {}
+    for k, x in enumerate(b):
+        where.setdefault(x, []).append(k)
+    masks = {x: sum(1 << k for k in at) for x, at in where.items() if len(at) > 8}
+    row = full = (1 << len(b)) - 1
+    for x in a:
+        mask = masks.get(x) or sum(1 << k for k in where.get(x, ()))
+        both = row & mask
+        row = ((row + both) | (row - both)) & full
+    bits = np.unpackbits(np.frombuffer(row.to_bytes(-(-len(b) // 8), "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def main_text(found: list[tuple[str, int]], partner: list[int] | None) -> tuple[str, int, int]:
+    """(text, lines shared with the partner, lines where markup overrules that)."""
+    shared = common_lines([line_hash(x) for x, _ in found], partner) if partner else set()
+    in_main = any(kind == MAIN for _, kind in found)
+    kept = [kind == MAIN if in_main else kind == OPEN and k not in shared for k, (_, kind) in enumerate(found)]
+    overruled = sum(keep == (k in shared) for k, keep in enumerate(kept))
+    return "\n\n".join(x for (x, _), keep in zip(found, kept, strict=True) if keep), len(shared), overruled
 
 
 def line_hash(line: str) -> int:
     return int.from_bytes(hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+@c.tidy
 def _outline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows, undecided = [], []
-        for page in batch.column(3):
-            found = lines(page.as_py())
-            undecided.append(not any(kind == MAIN for _, kind in found) and any(kind == OPEN for _, kind in found))
-            rows.append([line_hash(x) for x, kind in found if kind != GONE])
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(undecided, pa.bool_()), pa.array(rows, pa.list_(pa.int64()))], ["host", "path", "row", "undecided", "hashes"])
+        rows = [[line_hash(x) for x, _ in lines(page.as_py())] for page in batch.column(3)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(rows, pa.list_(pa.int64()))], ["host", "path", "row", "hashes"])
 
 
+@c.tidy
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = [main_text(lines(page.as_py()), near.as_py()) for page, near in zip(batch.column(2), batch.column(3), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(np.fromiter(map(len, texts), np.int64, len(texts)))], ["page_id", "url", "text", "n_chars"])
+        rows = [(lines(page.as_py()), near.as_py()) for page, near in zip(batch.column(2), batch.column(3), strict=True)]
+        found = [(*main_text(x, near), len(x)) for x, near in rows]
+        text, shared, overruled, n = zip(*found, strict=True) if found else ((), (), (), ())
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(text, pa.string()), *(pa.array(x, pa.int64()) for x in (map(len, text), n, shared, overruled))],
+            ["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_overruled"],
+        )
 
 
 def _place(url: str):
@@ -212,8 +258,8 @@ def nearest_lines(outline: DataFrame) -> DataFrame:
     edges = parts.groupBy("part").agg(F.min(item).alias("first"), F.max(item).alias("last"))
     outer = edges.select("part", F.lag("last").over(Window.orderBy("part")).alias("before"), F.lead("first").over(Window.orderBy("part")).alias("after"))
     inside = Window.partitionBy("part").orderBy(*order)
-    near = parts.select("row", "host", "path", "hashes", "part", "undecided", F.lag(item).over(inside).alias("p"), F.lead(item).over(inside).alias("n")).join(outer, "part")
-    near = near.where("undecided").select("row", "host", "path", "hashes", F.coalesce("p", "before").alias("p"), F.coalesce("n", "after").alias("n"))
+    near = parts.select("row", "host", "path", "hashes", "part", F.lag(item).over(inside).alias("p"), F.lead(item).over(inside).alias("n")).join(outer, "part")
+    near = near.select("row", "host", "path", "hashes", F.coalesce("p", "before").alias("p"), F.coalesce("n", "after").alias("n"))
     usable = {x: (F.col(f"{x}.host") == F.col("host")) & (F.col(f"{x}.hashes") != F.col("hashes")) for x in "pn"}
     near = near.select("*", F.when(usable["p"], F.col("p.path")).alias("pp"), F.when(usable["n"], F.col("n.path")).alias("np"))
     near = near.withColumn("sp", F.coalesce(_shared_prefix("path", "pp"), F.lit(-1))).withColumn("sn", F.coalesce(_shared_prefix("path", "np"), F.lit(-1)))
@@ -221,16 +267,15 @@ def nearest_lines(outline: DataFrame) -> DataFrame:
     return near.select("row", partner.alias("partner")).where("partner is not null").groupBy("row").agg(F.min("partner").alias("partner"))
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """page_id, url, text, n_chars of each page."""
+def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", counts: bool = False) -> DataFrame:
+    """page_id, url, text, n_chars of each page; with `counts` also n_lines, n_shared (by its neighbour) and n_overruled (by markup)."""
     host, path = _place("url")
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
     # a row is known by its content: rows that are alike in all three columns have one result
     rows = rows.withColumn("row", F.xxhash64("page_id", "url", "html"))
-    outline = rows.select(host.alias("host"), path.alias("path"), "row", "html").mapInArrow(_outline, "host string, path string, row long, undecided boolean, hashes array<long>")
+    outline = rows.select(host.alias("host"), path.alias("path"), "row", "html").mapInArrow(_outline, "host string, path string, row long, hashes array<long>")
     near = c.save(nearest_lines(outline))
-    few = near.limit(BROADCAST_PAGES + 1).count() <= BROADCAST_PAGES
-    found = rows.join(F.broadcast(near) if few else near, "row", "left").select("page_id", "url", "html", "partner")
+    found = rows.join(near.hint("merge"), "row", "left").select("page_id", "url", "html", "partner")
     kinds = dict(rows.dtypes)
-    return found.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
-
+    out = found.mapInArrow(_extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long, n_lines long, n_shared long, n_overruled long")
+    return out if counts else out.select("page_id", "url", "text", "n_chars")
