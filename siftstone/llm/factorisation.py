@@ -7,11 +7,13 @@ shares) and of its metadata (sizes in words, characters and bytes a character).
     sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum (v_if x_i)^2))
 
 so all pairs of features interact through FACTORS numbers each, in time linear in the text.
-The model is fitted in numpy on the driver from at most 2 * FIT_ROWS labelled rows, whose features
-come from the executors; every text is scored whole.
+The model is fitted in numpy on the driver from at most 2 * FIT_ROWS labelled rows of at most
+common.FIT_CHARS characters, whose features come from the executors; every text is scored whole.
 
 Rows: null text is empty; an empty text has its structure features only. Null or other labels than
-0 and 1 are passed over. Without a label of either kind every score is 0.5.
+0 and 1 are passed over. Without a label of either kind every score is 0.5. Repeated rows get equal
+scores, very long texts are read whole, an empty table gives an empty result, and extra columns are
+not looked at.
 """
 
 from __future__ import annotations
@@ -169,13 +171,13 @@ def fit(docs: DataFrame, labels: DataFrame, flag: str, learn: Column, rows: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in c.blocks(batch.column(1)):
+            for lo, hi, data, offsets in c.blocks(batch.column(2)):
                 feature, value, ends = features(data, offsets)
                 at = pa.array(ends.astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(at, pa.array(feature)), pa.ListArray.from_arrays(at, pa.array(value))], ["label", "feature", "value"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.ListArray.from_arrays(at, pa.array(feature)), pa.ListArray.from_arrays(at, pa.array(value))], ["label", "place", "feature", "value"])
 
     sample = c.labelled(docs, labels, flag, learn, rows, id_col, text_col)
-    found = sample.mapInArrow(run, "label int, feature array<int>, value array<float>").toArrow().combine_chunks()
+    found = sample.mapInArrow(run, "label int, place long, feature array<int>, value array<float>").toArrow().sort_by([("place", "ascending"), ("label", "ascending")]).combine_chunks()
     label = found.column("label").to_numpy().astype(np.float32)
     if not len(label) or label.min() == label.max():
         return None
@@ -190,6 +192,7 @@ def score(docs: DataFrame, machine: Machine | None, id_col: str = "doc_id", text
     """doc_id, score of each row."""
     spread = docs.sparkSession.sparkContext.broadcast(machine)
 
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = spread.value
         for batch in batches:

@@ -4,14 +4,18 @@ A k-mer is K words in a row, its inner strings are the pairs of neighbouring wor
 closed syncmer if the least of its pairs by hash is the first or the last: that depends on
 its own words alone, so a passage has the same anchors wherever it stands. `anchors` gives
 them with their places. A fingerprint keeps the SIZE least anchor hashes, written as 16
-hexadecimal digits each; likeness is the Jaccard estimate from the two fingerprints.
+hexadecimal digits each; likeness is the Jaccard estimate from the two fingerprints. Of a word of more
+than LONG characters each character counts as a word, so that text without white space has anchors too
+and loses only some of them by an edit.
 
 Rows: null text is empty. A text with words but without a closed syncmer (all of up to K - 1
 words, and some of K or K + 1) has one anchor, the whole of its words; only one without words
 has none and an empty fingerprint. Two empty fingerprints are alike (1),
 an empty and another one are not (0). Next documents go by ascending distinct id; of rows
 that share an id the least text stands for it as a next document. Rows with a null id have no
-next document: their text stays as it is and near_next is null.
+next document: their text stays as it is and near_next is null. Texts are read whole however long they
+are, equal texts (repeated rows) have equal fingerprints, an empty table gives an empty result, and extra
+columns are not looked at.
 """
 
 from __future__ import annotations
@@ -24,6 +28,14 @@ from . import native
 
 K = 5
 SIZE = 64
+LONG = 32
+
+
+def _words(text: Column) -> Column:
+    """The words, or for a text with long ones the words and the characters of the long ones."""
+    found = native.words(text)
+    apart = F.flatten(F.transform(found, lambda w: F.when(F.length(w) > LONG, F.split(w, "")).otherwise(F.array(w))))
+    return F.when(text.rlike(f"{native.WORD[:-1]}{{{LONG + 1}}}"), apart).otherwise(found)
 
 
 def _pairs(words: str, out: str, df: DataFrame) -> DataFrame:
@@ -38,7 +50,7 @@ def _closed(at) -> Column:
 def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
     """The column `out`: the SIZE least distinct anchor hashes, ascending."""
     keep = df.columns
-    df = _pairs("_w", "_s", df.withColumn("_w", native.words(F.col(text))))
+    df = _pairs("_w", "_s", df.withColumn("_w", _words(F.col(text))))
     found = native.rolling("_s_g", K - 1, lambda at: F.when(_closed(at), F.xxhash64(at(0), at(2), at(3))))
     short = F.when(F.size("_s_h") > 0, F.array(F.xxhash64("_s_h"))).otherwise(F.array().cast("array<bigint>"))
     df = df.withColumn("_a", F.array_compact(found))
@@ -47,8 +59,8 @@ def with_sketch(df: DataFrame, text: str, out: str) -> DataFrame:
 
 
 def anchors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, word_place, anchor: every closed syncmer of each text of at least K words."""
-    df = docs.select(F.col(id_col).alias("doc_id"), native.words(native.whole(text_col)).alias("_w"))
+    """doc_id, word_place, anchor: every closed syncmer of each text of at least K words (places count as the words do)."""
+    df = docs.select(F.col(id_col).alias("doc_id"), _words(native.whole(text_col)).alias("_w"))
     df = _pairs("_w", "_s", df)
     found = native.rolling("_s_g", K - 1, lambda at: F.when(_closed(at), F.xxhash64(at(0), at(2), at(3))))
     return df.select("doc_id", F.posexplode(found).alias("word_place", "anchor")).where("anchor is not null")

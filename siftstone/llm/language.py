@@ -9,7 +9,9 @@ over its largest value, so 1 is a document ranked just as the language.
 
 Rows: a null text or one without letters is `und` with score 0. Training rows with a null text or
 language are passed over. Without training rows every document is `und`. Texts are lower-cased
-and read whole; long ones are counted in one piece of bounded size at a time.
+and read whole; long ones are counted in pieces that end at a blank. Repeated rows get equal results, an
+empty table gives an empty result, and extra columns are kept on request and never looked at.
+More than MAX_LANGUAGES languages raise an error.
 """
 
 from __future__ import annotations
@@ -70,14 +72,15 @@ def _count(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cuts(text: str) -> Iterator[tuple[int, int]]:
-    """Pieces of about PIECE characters that end at a blank where there is one."""
+    """Pieces of about PIECE characters that end at a blank, the next one if there is none within."""
     at = 0
     while at < len(text):
-        end = at + PIECE
-        if end < len(text):
-            found = text.rfind(" ", at + 1, end)
+        end = len(text)
+        if at + PIECE < end:
+            found = text.rfind(" ", at + 1, at + PIECE)
+            found = found if found > 0 else text.find(" ", at + PIECE)
             end = found if found > 0 else end
-        yield at, min(end, len(text))
+        yield at, end
         at = end
 
 
@@ -93,6 +96,7 @@ def _ranked(codes: np.ndarray, counts: np.ndarray, top: int) -> np.ndarray:
 def profiles(docs: DataFrame, training: Column, text_col: str = "text", lang_col: str = "lang", top: int = TOP) -> dict[str, list[int]]:
     """The ranked n-grams of each language, over all rows where `training` holds."""
 
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, tuple[list, list]] = {}
         size = 0
@@ -163,6 +167,7 @@ def identify(docs: DataFrame, known: dict[str, list[int]], id_col: str = "doc_id
     ranks = docs.sparkSession.sparkContext.broadcast(known)
     names = [id_col, *keep]
 
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Ranks(ranks.value, top)
         for batch in batches:

@@ -11,19 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 import siftstone.llm as package
 
 
-def _modules() -> list:
-    return [import_module(f"{package.__name__}.{m.name}") for m in iter_modules(package.__path__) if m.name.startswith("q") and m.name[1:].isdigit()]
+MODULES = [import_module(f"{package.__name__}.{m.name}") for m in iter_modules(package.__path__) if m.name.startswith("q") and m.name[1:].isdigit()]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    out = {k: f for m in _modules() for k, f in vars(m).items() if k.startswith("op") and callable(f)}
-    import corpus_pipeline
-
-    return out | {"pipeline": corpus_pipeline.run}
+    return {k: f for m in MODULES for k, f in vars(m).items() if k.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    import corpus_pipeline
-
-    out = {m.NAME: m.SQL for m in _modules() if getattr(m, "SQL", None)}
-    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {m.NAME: m.SQL for m in MODULES if getattr(m, "SQL", None)}

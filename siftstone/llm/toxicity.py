@@ -11,10 +11,12 @@ long it is.
 Training rows bear a label for the whole text. The first input of each embedding starts at the
 smoothed log-odds of its bin among the training texts; then, for a few rounds, each toxic text
 gives its worst window and the others their worst and some random windows, and the network is
-fitted to these by backpropagation through time (Adam). At most 2 * FIT_ROWS texts are fitted on.
+fitted to these by backpropagation through time (Adam). At most 2 * FIT_ROWS texts are fitted on,
+of at most common.FIT_CHARS characters each, in one order however the table lies in files.
 
 Rows: null text is empty; a text without words has score 0. Null or other labels than 0 and 1 are
-passed over. Without a label of either kind every score is 0. Repeated rows get equal scores.
+passed over. Without a label of either kind (an empty table) every score is 0. Repeated rows get
+equal scores. Extra columns are kept on request and never looked at, whatever they are called.
 """
 
 from __future__ import annotations
@@ -258,15 +260,16 @@ class Network:
 def fit(docs: DataFrame, labels: DataFrame, flag: str, learn: Column, rows: int = FIT_ROWS, id_col: str = "doc_id", text_col: str = "text") -> Network | None:
     """The trained network, or None if a label value has no row."""
 
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, data, offsets in c.blocks(batch.column(1)):
+            for lo, hi, data, offsets in c.blocks(batch.column(2)):
                 bins, codes, count = inputs(data, offsets)
                 ends = np.concatenate([[0], np.cumsum(count)]) * bins.shape[1]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bins[codes].ravel()))], ["label", "bins"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bins[codes].ravel()))], ["label", "place", "bins"])
 
     sample = c.labelled(docs, labels, flag, learn, rows, id_col, text_col)
-    found = sample.mapInArrow(run, "label int, bins array<int>").toArrow().combine_chunks()
+    found = sample.mapInArrow(run, "label int, place long, bins array<int>").toArrow().sort_by([("place", "ascending"), ("label", "ascending")]).combine_chunks()
     label = found.column("label").to_numpy()
     if not len(label) or label.min() == label.max():
         return None
@@ -282,6 +285,7 @@ def score(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text
     spread = docs.sparkSession.sparkContext.broadcast(network)
     names = [id_col, *keep]
 
+    @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = spread.value
         for batch in batches:
