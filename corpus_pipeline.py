@@ -3,13 +3,15 @@
 STAGES lists (name, function); each function takes (spark, docs, sf_dir) and returns a
 DataFrame, and all but the last return the columns of their input. `run` applies them to the
 table `documents`, writing each stage's result to the shared folder and reading it back, so that
-a lost executor costs one stage at most.
+a lost executor costs one stage at most. What a stage wrote for itself is deleted when its result stands.
 
 SQL cannot express these stages, so ORACLE_SQL is None; tests compare them with plain versions.
 
 Rows: an empty table gives an empty result at every stage. Rows with a null id are scored, are never
 duplicates and are packed; null texts count as empty, and are dropped by the language stage as
-any text without letters is.
+any text without letters is. Rows that share an id are one document: they are kept or dropped by the
+near-duplicate stage together, never mark each other's passages, and are packed each by itself.
+Columns besides the id and the text are carried through all stages but the last, whatever they are called.
 """
 
 from __future__ import annotations
@@ -23,8 +25,8 @@ from siftstone.llm import common, language, ngram_join, packing, suffix_dedup, t
 ORACLE_SQL = None
 
 TOXIC = 0.3
-#: A text of at least so many characters whose language is not the one it is filed under goes.
-FILED_CHARS = 200
+#: A text whose ranks are so far from every language's is in none of them; 1 is a language's own order.
+MIN_SCORE = 0.25
 
 
 def _rest(docs: DataFrame) -> tuple[str, ...]:
@@ -39,12 +41,11 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_foreign(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language, and, if they are filed under one and long enough to tell, with that one."""
+    """Documents that have a language: one that is found, with a score of MIN_SCORE or more."""
     known = language.profiles(docs, common.bucket(F.col("doc_id"), 5) != 0)
     names = common.fresh(docs, "lang_pred"), common.fresh(docs, "score")
     found = language.identify(docs, known, keep=_rest(docs), out=names)
-    misfiled = F.col("lang").isin(*known) & (F.col("lang") != F.col(names[0])) & (F.length("text") >= FILED_CHARS)
-    return found.where((F.col(names[0]) != language.UNKNOWN) & ~F.coalesce(misfiled, F.lit(False))).select(docs.columns)
+    return found.where((F.col(names[0]) != language.UNKNOWN) & (F.col(names[1]) >= MIN_SCORE)).select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,8 +79,10 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
+    first = common.saved()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = common.save(docs)
+            common.let_go(spark, first, common.saved() - 1)
     return docs
