@@ -24,18 +24,6 @@ def ratio_of(a: str, b: str) -> float:
     return 200.0 * lcs_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
-def best_window(quote: str, text: str) -> float:
-    """The best ratio of a quote with windows of once, twice and three times its length, in strides."""
-    if quote in text:
-        return 100.0
-    n, best = len(quote), 0.0
-    step = max(1, n // 20)
-    for size in (n, 2 * n, 3 * n):
-        for at in range(0, max(1, len(text) - size + 1), step):
-            best = max(best, ratio_of(quote, text[at : at + size]))
-    return best
-
-
 def ratio(a: Column, b: Column) -> Column:
     """100 * 2 * LCS / (both lengths); 100 for two empty texts."""
 
@@ -46,12 +34,12 @@ def ratio(a: Column, b: Column) -> Column:
     return run(a, b)
 
 
-def window_ratio(quote: Column, text: Column) -> Column:
-    @F.pandas_udf("double")
-    def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([None if p is None or q is None else best_window(p, q) for p, q in zip(x, y, strict=True)])
-
-    return run(quote, text)
+def windows(text: Column, size: Column) -> Column:
+    """The stretches of a text that a quote of `size` characters is compared with: from every twentieth of the text on, once,
+    twice and three times as long, cut at the text's end."""
+    step = F.greatest(F.lit(1), F.floor(F.length(text) / 20).cast("int"))
+    starts = F.when(F.length(text) > 0, F.sequence(F.lit(1), F.length(text), step)).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(starts, lambda at: F.array(*(F.substring(text, at, size * k) for k in (1, 2, 3)))))
 
 
 def may_reach(a: Column, b: Column, least: float) -> Column:

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import placed
+
 
 def rate(part: Column, whole: Column, digits: int = 6) -> Column:
     """part / whole, 0 where the whole is 0, rounded half to even."""
@@ -24,15 +26,25 @@ def weekly(rows: DataFrame, ts: str, measures: dict[str, Column]) -> DataFrame:
 def latency(rows: DataFrame, key: str, value: str) -> DataFrame:
     """Mean, median, extremes, sample deviation, and percentiles by index: the value at min(floor(p n), n - 1).
 
-    The indexed value is taken by its rank, so no group is gathered into one row.
+    Equal values are counted first; each knows how many values stand before it, so the values at given
+    places are found without gathering or sorting a key's rows in one task.
     """
-    own = Window.partitionBy(key)
-    ranked = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v")).withColumn("_i", F.row_number().over(own.orderBy("_v")) - 1).withColumn("_n", F.count("*").over(own))
-    at = lambda p: F.max(F.when(F.col("_i") == F.least(F.floor(F.lit(p) * F.col("_n")), F.col("_n") - 1), F.col("_v")))
-    return ranked.groupBy(key).agg(
-        F.count("*").alias("n"), F.round(F.avg("_v"), 6).alias("mean"), F.round(F.median("_v"), 6).alias("median"), F.min("_v").alias("least"), F.max("_v").alias("most"),
-        F.round(F.coalesce(F.stddev_samp("_v"), F.lit(0.0)), 6).alias("deviation"), at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"),
-    )
+    known = rows.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"))
+    plain = known.groupBy(key).agg(F.count("*").alias("n"), F.round(F.avg("_v"), 6).alias("mean"), F.min("_v").alias("least"), F.max("_v").alias("most"), F.round(F.coalesce(F.stddev_samp("_v"), F.lit(0.0)), 6).alias("deviation"))
+    counted = placed(known.groupBy(key, "_v").agg(F.count("*").alias("_k")), [key], "_v", F.col("_k"))
+    both = counted.join(plain.select(key, "n"), key)
+    at = lambda i: F.max(F.when((F.col("before") <= i) & (i < F.col("before") + F.col("_k")), F.col("_v")))
+    index = lambda p: F.least(F.floor(F.lit(p) * F.col("n")), F.col("n") - 1)
+    middle = (at(F.floor((F.col("n") - 1) / 2)) + at(F.floor(F.col("n") / 2))) / 2
+    found = both.groupBy(key).agg(F.round(middle, 6).alias("median"), at(index(0.5)).alias("p50"), at(index(0.95)).alias("p95"), at(index(0.99)).alias("p99"))
+    return plain.join(found, key).select(key, "n", "mean", "median", "least", "most", "deviation", "p50", "p95", "p99")
+
+
+def busiest(counts: DataFrame, user: str, n: str) -> DataFrame:
+    """Adds `place`: by falling count, then by user, without a window over all users."""
+    sizes = placed(counts.groupBy(n).agg(F.count("*").alias("_k")).withColumn("_one", F.lit(1)).withColumn("_down", -F.col(n)), ["_one"], "_down", F.col("_k")).select(n, F.col("before").alias("_more"))
+    inside = placed(counts, [n], user, F.lit(1))
+    return inside.join(sizes, n).withColumn("place", (F.col("_more") + F.col("before") + 1).cast("int")).drop("_more", "before")
 
 
 def overlay(base: DataFrame, updates: DataFrame, key: str, order: str) -> DataFrame:
@@ -81,28 +93,32 @@ def token_bucket(events: DataFrame, key: str, ts: str, event_id: str, limit: flo
     """(key, event id, allowed, tokens, retry_after) of each event under a token bucket for its key.
 
     A bucket starts with `limit` tokens, gains limit / window a second up to `burst`, and an event takes one.
-    Each key's events are folded in order as a stream of rows; state is two numbers.
+    A key's events come sorted in one task, which reads them batch by batch and carries two numbers over.
     """
     import pandas as pd
 
     fill = limit / window
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["t", "e"])
-        tokens, last, out = limit, None, []
-        for t in pdf["t"]:
-            tokens = min(burst, tokens + (t - last) * fill) if last is not None else tokens
-            last = t
-            if tokens >= 1.0:
-                tokens -= 1.0
-                out.append((True, tokens, 0.0))
-            else:
-                out.append((False, tokens, (1.0 - tokens) / fill))
-        return pd.DataFrame({"k": pdf["k"].to_numpy(), "e": pdf["e"].to_numpy(), "allowed": [x[0] for x in out], "tokens": [x[1] for x in out], "retry_after": [x[2] for x in out]})
+    def run(batches):
+        now, tokens, last = None, limit, None
+        for pdf in batches:
+            out = []
+            for k, t in zip(pdf["k"], pdf["t"], strict=True):
+                if last is None or k != now:
+                    now, tokens = k, limit
+                else:
+                    tokens = min(burst, tokens + (t - last) * fill)
+                last = t
+                if tokens >= 1.0:
+                    tokens -= 1.0
+                    out.append((True, tokens, 0.0))
+                else:
+                    out.append((False, tokens, (1.0 - tokens) / fill))
+            yield pd.DataFrame({"k": pdf["k"], "e": pdf["e"], "allowed": [x[0] for x in out], "tokens": [x[1] for x in out], "retry_after": [x[2] for x in out]})
 
     rows = events.select(F.col(key).alias("k"), F.col(event_id).alias("e"), F.col(ts).cast("timestamp").cast("double").alias("t"))
     kinds = dict(rows.dtypes)
-    out = rows.groupBy("k").applyInPandas(run, f"k {kinds['k']}, e {kinds['e']}, allowed boolean, tokens double, retry_after double")
+    out = rows.repartition("k").sortWithinPartitions("k", "t", "e").mapInPandas(run, f"k {kinds['k']}, e {kinds['e']}, allowed boolean, tokens double, retry_after double")
     return out.select(F.col("k").alias(key), F.col("e").alias(event_id), "allowed", F.round("tokens", 6).alias("tokens"), F.round("retry_after", 6).alias("retry_after"))
 
 

@@ -1,51 +1,62 @@
-"""BM25 over an inverted index that is an ordinary table.
+"""BM25 of a set of queries over a table of texts.
 
-The index has one row for each (document, term) with the term's count and the document's length.
-A search joins the terms of all queries with it, so only documents that share a term are touched,
-and takes each query's best documents by rank, which Spark computes partly before its shuffle.
+The index keeps each text's tokens in its row, and document counts by term. A search keeps only the
+tokens that a query asks for before anything is shuffled, so what moves is candidates and not the
+postings of the corpus; each query's best documents are cut at k partly before the shuffle.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .sizes import small
 
 K1, B, IDF_FLOOR = 1.6, 0.8, 0.25
 
 
 @dataclass
 class Index:
-    """postings (id, term, tf, size), terms (term, df, idf) and totals (docs, mean_size), one row."""
+    """words (id, w: tokens), terms (term, df, idf) and totals (docs, mean_size), one row."""
 
-    postings: DataFrame
+    words: DataFrame
     terms: DataFrame
     totals: DataFrame
 
 
+def chunk_text(text: str, header: str, summary: str) -> Column:
+    """What is indexed of a chunk: its text, its header, and its summary if there is one."""
+    both = F.concat(F.col(text), F.lit(" "), F.col(header))
+    return F.when(F.coalesce(F.col(summary), F.lit("")) != "", F.concat(both, F.lit(" "), F.col(summary))).otherwise(both)
+
+
 def index(docs: DataFrame, id_col: str, text_col: str) -> Index:
     """Idf is ln((docs - df + 0.5) / (df + 0.5)); negative ones become IDF_FLOOR times the mean of all."""
     words = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("w"))
-    postings = words.select("id", F.explode("w").alias("term"), F.size("w").alias("size")).groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
     totals = words.agg(F.count("*").alias("docs"), F.avg(F.size("w")).alias("mean_size"))
-    df = postings.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.crossJoin(totals.select("docs")).select("term", "df", (F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    raw = df.crossJoin(F.broadcast(totals.select("docs"))).select("term", "df", (F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
-    terms = raw.crossJoin(mean).select("term", "df", F.when(F.col("raw") < 0, IDF_FLOOR * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
-    return Index(postings, terms, totals)
+    terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, IDF_FLOOR * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
+    return Index(words, terms, totals)
+
+
+def hits(queries: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
+    """(query_id, id, times, idf, tf, size, mean_size) for each term that a query and a text share."""
+    asked = queries.select(F.col(id_col).alias("query_id"), F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    words = index.words.select("id", F.size("w").alias("size"), F.explode("w").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    found = words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
+    return found.join(small(asked.join(index.terms, "term")), "term").crossJoin(F.broadcast(index.totals.select("mean_size")))
 
 
 def scores(queries: DataFrame, index: Index, id_col: str, text_col: str, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, id, score): every query term counts as often as the query has it."""
-    asked = queries.select(F.col(id_col).alias("query_id"), F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    weighted = asked.join(index.terms, "term")
-    hit = index.postings.join(weighted, "term").crossJoin(index.totals.select("mean_size"))
     tf = F.col("tf")
     part = F.col("times") * F.col("idf") * tf * (k1 + 1) / (tf + k1 * (1 - b + b * F.col("size") / F.col("mean_size")))
-    return hit.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    return hits(queries, index, id_col, text_col).groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
 def ranked(scored: DataFrame, k: int, digits: int = 6) -> DataFrame:

@@ -56,12 +56,16 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, level: int = 2) -> DataF
     """(id, position, header, header_level, text, token_count): a chunk from each header of level 2 to `level` on.
 
     Level-1 headers never cut, code fences are not looked at, and whatever stands before the first
-    header, be it one blank line, is a chunk without header. The token count is of the text before it is
+    header, be it one blank line, is a chunk without header; so is a whole text in which no header has a title.
+    Frontmatter is taken off first. The token count is of the text before it is
     trimmed.
     """
     if not 2 <= level <= 4:
         raise ValueError("chunk levels are 2 to 4")
-    lines = docs.select(id_col, F.transform(F.split(text_col, "\n"), lambda x: F.struct(x.alias("line"), F.when(header_level(x).between(2, level), header_level(x)).otherwise(0).alias("level"))).alias("_l"))
+    body = without_front(F.col(text_col))
+    # a header needs a title: without one in the whole text nothing is cut
+    cut = body.rlike(rf"(?m)^#{{2,{level}}} .+$")
+    lines = docs.select(id_col, F.transform(F.split(body, "\n"), lambda x: F.struct(x.alias("line"), F.when(cut & header_level(x).between(2, level), header_level(x)).otherwise(0).alias("level"))).alias("_l"))
     n = F.size("_l")
     starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get("_l", i - 1)["level"] > 0))
     df = lines.withColumn("_s", starts)
@@ -92,3 +96,10 @@ def stats(chunked: DataFrame, id_col: str) -> DataFrame:
 def largest(chunked: DataFrame, id_col: str, k: int) -> DataFrame:
     order = Window.partitionBy(id_col).orderBy(F.desc("token_count"), "position")
     return chunked.withColumn("size_rank", F.row_number().over(order)).where(F.col("size_rank") <= k)
+
+
+def document_fields(docs: DataFrame, text_col: str) -> DataFrame:
+    """Adds version, updated (null if it is no date) and `known`, whether the kind is one of KINDS, from the frontmatter."""
+    front = F.coalesce(frontmatter(F.col(text_col)), F.lit(""))
+    day = front_value(front, "last_update_date")
+    return docs.withColumn("version", front_value(front, "source")).withColumn("updated", F.when(day.rlike(DAY), F.try_to_date(day, "yyyy-MM-dd"))).withColumn("known", front_value(front, "document_type").isin(KINDS))

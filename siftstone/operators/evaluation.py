@@ -41,3 +41,16 @@ def confidence(logprobs: Column, default: float = 0.7) -> Column:
     """The mean probability of a response's tokens, or the default where there are none."""
     total = F.aggregate(logprobs, F.lit(0.0), lambda acc, x: acc + F.exp(x))
     return F.when(F.size(F.coalesce(logprobs, F.array().cast("array<double>"))) > 0, total / F.size(logprobs)).otherwise(default)
+
+
+def token_summary(rows: DataFrame, keys: list[str], tokens: str, cost: str) -> DataFrame:
+    """Totals and means of tokens and cost by the keys, such as operation and provider."""
+    return rows.groupBy(*keys).agg(F.count("*").alias("requests"), F.sum(tokens).alias("total_tokens"), F.round(F.sum(cost), 4).alias("total_cost"), F.round(F.avg(tokens), 6).alias("mean_tokens"), F.round(F.avg(cost), 6).alias("mean_cost"))
+
+
+def confidence_summary(rows: DataFrame, confidence: str, relevance: str, passed: Column) -> DataFrame:
+    return rows.agg(F.count("*").alias("n"), F.round(F.avg(confidence), 6).alias("mean_confidence"), F.round(F.avg(relevance), 6).alias("mean_relevance"), F.round(F.avg(passed.cast("int")), 6).alias("pass_rate"))
+
+
+def error_counts(rows: DataFrame, key: str, error: Column, recovered: Column) -> DataFrame:
+    return rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if(error).alias("errors"), F.count_if(error & recovered).alias("recovered"))

@@ -6,22 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fuzzy import window_ratio
+from ..functions.fuzzy import ratio, windows
 
 
 def grounded(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, key: str, text_id: str, text: str, least: float = 0.85) -> DataFrame:
     """(quote_id, part, score, source, valid): parts around ' [...] ', each with its best text among those of the quote's key.
 
-    A part that a text contains in normal form scores 1 and never meets the ratio; others take the best window.
-    An empty quote counts as valid.
+    A part that a text contains in normal form scores 1 and never meets the ratio; others take the best window of
+    the text as it stands, each window brought into normal form. An empty quote counts as valid.
     """
     parts = quotes.select(quote_id, key, F.posexplode(F.split(quote, r"\[\.\.\.\]")).alias("part", "_p")).withColumn("_p", T.normal_quote(F.col("_p")))
-    own = texts.select(key, F.col(text_id).alias("source"), T.normal_quote(F.col(text)).alias("_t"))
+    own = texts.select(key, F.col(text_id).alias("source"), F.col(text).alias("_raw"), T.normal_quote(F.col(text)).alias("_t"))
     both = parts.join(own, key, "left")
     exact = both.withColumn("_hit", F.contains("_t", "_p"))
     sure = exact.where("_hit").select(quote_id, "part", "source", F.lit(1.0).alias("score"))
     done = sure.select(quote_id, "part").distinct()
-    rest = exact.join(done, [quote_id, "part"], "left_anti").select(quote_id, "part", "source", (window_ratio(F.col("_p"), F.col("_t")) / 100).alias("score"))
+    rest = exact.join(done, [quote_id, "part"], "left_anti").select(quote_id, "part", "source", "_p", F.explode_outer(windows(F.col("_raw"), F.length("_p"))).alias("_w"))
+    each = rest.select(quote_id, "part", "source", (ratio(F.col("_p"), T.normal_quote(F.col("_w"))) / 100).alias("score"))
+    rest = each.groupBy(quote_id, "part", "source").agg(F.max("score").alias("score"))
     order = Window.partitionBy(quote_id, "part").orderBy(F.desc_nulls_last("score"), "source")
     best = sure.union(rest).withColumn("_n", F.row_number().over(order)).where("_n = 1")
     score = F.round(F.coalesce("score", F.lit(0.0)), 6)

@@ -14,8 +14,11 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 ARCHETYPES = ["SEEK & DESTROY", "SECURITY", "INFILTRATION", "RECON"]
-#: Fixed: categories by what a title has, the first that fits.
-CATEGORIES = [("Strategy Ploys", "STRATEGY PLOY"), ("Firefight Ploys", "FIREFIGHT PLOY"), ("Faction Equipment", "EQUIPMENT"), ("Operatives", "OPERATIVE"), ("Faction Rules", "FACTION RULE"), ("Tac Ops", "TAC OP")]
+#: Fixed: what a category's titles have, in order; titles of operatives have a dash and none of NO_OPERATIVE.
+CATEGORIES = [("Operative Selection", "OPERATIVE SELECTION"), ("Faction Rules", "FACTION RULE"), ("Strategy Ploys", "STRATEGY PLOY"), ("Firefight Ploys", "FIREFIGHT PLOY"), ("Faction Equipment", "FACTION EQUIPMENT")]
+NO_OPERATIVE = ["FACTION RULE", "PLOY", "EQUIPMENT", "SELECTION", "ARCHETYPE"]
+SUFFIXES = [" - Faction Rule", " - Strategy Ploy", " - Firefight Ploy", " - Faction Equipment"]
+TAC_OP = " - TAC OP - "
 
 
 def headers(docs: DataFrame, id_col: str, text_col: str, deepest: int = 6) -> DataFrame:
@@ -39,14 +42,34 @@ def tree(nodes: DataFrame, id_col: str) -> DataFrame:
 
 
 def category(title: Column) -> Column:
-    out = F.lit(None).cast("string")
+    """The category of a title, null for none, and empty for a FAQ, which takes what is below it out too."""
+    upper = F.upper(title)
+    has = lambda mark: F.contains(upper, F.lit(mark))
+    operative = F.contains(title, F.lit(" - ")) & ~reduce(lambda a, b: a | b, map(has, NO_OPERATIVE))
+    out = F.when(operative, "Operatives")
     for name, mark in reversed(CATEGORIES):
-        out = F.when(F.contains(F.upper(title), F.lit(mark)), name).otherwise(out)
-    return out
+        fits = has(mark) | F.endswith(upper, F.lit("- ARCHETYPES")) if name == "Faction Rules" else has(mark)
+        out = F.when(fits, name).otherwise(out)
+    return F.when(F.startswith(upper, F.lit("FAQ")) | F.startswith(upper, F.lit("[FAQ]")), "").otherwise(out)
+
+
+def cleaned(title: Column) -> Column:
+    """A title without stars and without its category behind a dash."""
+    bare = F.regexp_replace(title, r"\*+", "")
+    out = bare
+    for suffix in SUFFIXES:
+        out = F.when(F.endswith(bare, F.lit(suffix)), F.substring(bare, F.lit(1), F.length(bare) - len(suffix))).otherwise(out)
+    return T.trim_all(out)
+
+
+def flattened(nodes: DataFrame, id_col: str) -> DataFrame:
+    """(id, titles): all titles of a tree, each before those below it."""
+    order = F.sort_array(F.collect_list(F.struct("node", "title")))
+    return nodes.groupBy(id_col).agg(F.transform(order, lambda x: x["title"]).alias("titles"))
 
 
 def inherited(nodes: DataFrame, id_col: str, depth: int = 5) -> DataFrame:
-    """Adds `category`: a node's own, or that of its topmost ancestor that has one."""
+    """Adds `category`: that of its topmost ancestor that has one, else a node's own; null below a FAQ."""
     df = nodes.withColumn("own", category(F.col("title")))
     up = df.select(id_col, F.col("node").alias("n"), F.col("parent").alias("p"), F.col("own").alias("o"))
     out = df.withColumn("category", F.col("own")).withColumn("at", F.col("parent"))
@@ -54,15 +77,20 @@ def inherited(nodes: DataFrame, id_col: str, depth: int = 5) -> DataFrame:
         step = up.select(F.col(id_col).alias("_id"), "n", F.col("p").alias("_p"), F.col("o").alias("_o"))
         out = out.join(step, (F.col(id_col) == F.col("_id")) & (F.col("at") == F.col("n")), "left")
         out = out.withColumn("category", F.coalesce("_o", "category")).withColumn("at", F.col("_p")).drop("_id", "n", "_p", "_o")
-    return out.drop("at", "own")
+    return out.withColumn("category", F.nullif("category", F.lit(""))).drop("at", "own")
 
 
 def archetype(title: Column) -> Column:
-    """The last part of NAME - TAC OP - ARCHETYPE, if it is one."""
-    last = F.regexp_extract(title, r"^.+ - TAC OP - (.+)$", 1)
+    """What follows the first mark of a tactical operation in a title, in upper case, if it is one of the ARCHETYPES."""
+    last = T.trim_all(F.regexp_extract(F.upper(title), rf"(?s)^.*?{TAC_OP}(.*)$", 1))
     return F.when(last.isin(ARCHETYPES), last)
 
 
+def tac_op_name(title: Column) -> Column:
+    """What stands before that mark, cleaned; null without an archetype."""
+    return F.when(archetype(title).isNotNull(), cleaned(T.trim_all(F.substring(title, F.lit(1), F.call_function("locate", F.lit(TAC_OP), F.upper(title)) - 1))))
+
+
 def without_parent(title: Column, parent: Column) -> Column:
     """A title without its parent's, in front or between dashes."""
     lead = F.concat(parent, F.lit(" - "))

@@ -38,13 +38,25 @@ def accepted(confidence: Column, relevance: Column, least_confidence: float = 0.
     return ~low_c & ~low_r, why
 
 
-#: Fixed: marks of errors that do not pass by themselves; all others may be tried again.
-PERMANENT = ["invalid_request", "authentication", "permission", "not_found", "content_filter", "unsupported"]
+#: Fixed: marks of errors that do not pass by themselves, then of those that do; the first that fits tells why.
+PERMANENT = (
+    "authentication|invalid_api_key|invalid api key|unauthorized|401|permission|forbidden|403|invalid_request|invalid request|malformed|schema|unprocessable|"
+    "content_filter|content filter|content_policy|content policy|blocked|safety|recitation|refusal|not_found|not found|404|canceled|cancelled"
+).split("|")
+TRANSIENT = (
+    "rate limit|rate_limit|ratelimit|429|too many requests|overloaded|529|503|500|502|service unavailable|unavailable|server_error|server error|api_error|internal|"
+    "timeout|timed out|expired|connection|insufficient credits|insufficient_credits|insufficient_quota|insufficient quota|quota|billing|payment"
+).split("|")
+
+
+def error_reason(message: Column) -> Column:
+    """The first mark that an error's text has, permanent ones before the others, or `unclassified`."""
+    low = F.lower(F.coalesce(message, F.lit("")))
+    return F.coalesce(F.get(F.filter(F.array(*map(F.lit, PERMANENT + TRANSIENT)), lambda m: F.contains(low, m)), F.lit(0)), F.lit("unclassified"))
 
 
 def error_class(message: Column) -> Column:
-    low = F.lower(message)
-    return F.when(F.exists(F.array(*map(F.lit, PERMANENT)), lambda m: F.contains(low, m)), "permanent").otherwise("transient")
+    return F.when(error_reason(message).isin(PERMANENT), "permanent").otherwise("transient")
 
 
 def batch_results(requests: DataFrame, results: DataFrame, key: str, error: str) -> DataFrame:
@@ -63,3 +75,25 @@ def clamped_votes(votes: DataFrame, target: str, order: str, change: str) -> Dat
     sums = votes.withColumn("_s", F.sum(change).over(w))
     low = sums.withColumn("_low", F.least(F.lit(0), F.min("_s").over(w)))
     return low.groupBy(target).agg(F.max_by(F.col("_s") - F.col("_low"), order).alias("count"))
+
+
+def conversation_rules(messages: str, ttl: str) -> dict[str, Column]:
+    return {"messages": F.col(messages) <= 10, "ttl": F.col(ttl) > 0}
+
+
+def conversation_expired(last: Column, ttl_seconds: Column, now) -> Column:
+    return F.lit(now) > F.timestamp_micros(F.unix_micros(last) + ttl_seconds * 1_000_000)
+
+
+def job_rules(started: str, completed: str, status: str, errors: str, tokens: str) -> dict[str, Column]:
+    """A job ends no earlier than it begins, has an error if it failed, and counts no tokens below 0."""
+    return {
+        "completed": F.col(completed).isNull() | (F.col(completed) >= F.col(started)),
+        "errors": (F.col(status) != "failed") | (F.size(errors) > 0),
+        "tokens": F.col(tokens) >= 0,
+    }
+
+
+def complete(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, complete): whether all texts of a key are there and not blank."""
+    return rows.groupBy(key).agg(F.bool_and(F.trim(F.coalesce(F.col(text), F.lit(""))) != "").alias("complete"))

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .sizes import small
+
+#: Short truths that are broadcast to every text.
+SHORT_TRUTHS = 10_000
 
 #: Fixed: weights of ground truths by priority, and of the parts of an answer's score.
 PRIORITY = {"critical": 10, "important": 5, "supporting": 3}
@@ -36,17 +40,34 @@ def macro(measures: DataFrame) -> DataFrame:
     return measures.agg(F.count("*").alias("queries"), *(F.round(F.avg(x), 6).alias(f"mean_{x}") for x in names), *(F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 6).alias(f"std_{x}") for x in names))
 
 
-def found_in(truths: DataFrame, texts: DataFrame, truth: str, text: str, keys: list[str] | None = None) -> DataFrame:
+#: Words in a run that candidates are found by; shorter truths are looked for in every text.
+RUN = 5
+
+
+def _runs(words: str) -> Column:
+    """Hashes of every RUN words in a row; an empty array for fewer."""
+    last = F.size(words) - RUN
+    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(RUN))))).otherwise(F.array().cast("array<bigint>"))
+
+
+def found_in(truths: DataFrame, texts: DataFrame, truth: str, text: str) -> DataFrame:
     """Pairs of a ground truth and a text that contains it, both in their normal form.
 
-    Without keys every truth is looked for in every text: the truths are a stated, small set.
+    A truth is looked for only in texts that have its anchor, the least hash of its runs of RUN words
+    between its first and last word (which may stand inside other words of a text). The truths that
+    are too short for one are compared with every text; those and the anchors are broadcast behind a
+    check of their size.
     """
     a = truths.withColumn("_truth", T.normal_for_matching(F.col(truth)))
+    inner = F.split("_truth", " ")
+    a = a.withColumn("_inner", F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))).withColumn("_anchor", F.array_min(_runs("_inner"))).drop("_inner")
     b = texts.withColumn("_text", T.normal_for_matching(F.col(text)))
-    on = F.contains("_text", "_truth")
-    for key in keys or ():
-        on = on & (a[key] == b[key])
-    return b.join(a, on)
+    short = b.join(small(a.where("_anchor is null"), SHORT_TRUTHS).drop("_anchor"), F.contains("_text", "_truth"))
+    words = b.withColumn("_words", F.split("_text", " "))
+    anchors = a.where("_anchor is not null")
+    run = words.withColumn("_run", F.explode(F.array_distinct(_runs("_words")))).drop("_words")
+    long = run.join(small(anchors), F.col("_run") == F.col("_anchor")).where(F.contains("_text", "_truth")).drop("_run", "_anchor")
+    return short.unionByName(long)
 
 
 def weight(priority: Column) -> Column:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fuzzy import may_reach, ratio
+from .sizes import small
 
 PUNCTUATION = ".,!?;:()[]{}\"'-"
 #: Fixed: words that say little, and words that many names share.
@@ -44,14 +47,16 @@ def bare(word: Column) -> Column:
 def normalised(queries: DataFrame, known: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Adds `normalised`: words that are keywords in another case take the keyword's, with their punctuation.
 
-    Keywords that differ by case only count as the least of them.
+    Keywords that differ by case only count as the least of them. Without any keyword the text comes back untouched.
     """
     case = known.groupBy(F.lower("keyword").alias("low")).agg(F.min("keyword").alias("keyword"))
     words = queries.select(id_col, F.posexplode(F.split(T.squeeze(F.col(text_col)), " ")).alias("at", "word"))
     both = words.join(case, F.lower(bare(F.col("word"))) == F.col("low"), "left")
     fixed = F.when(F.col("keyword").isNotNull(), F.replace("word", bare(F.col("word")), F.col("keyword"))).otherwise(F.col("word"))
     parts = both.groupBy(id_col).agg(F.sort_array(F.collect_list(F.struct("at", fixed.alias("word")))).alias("w"))
-    return parts.select(id_col, F.array_join(F.transform("w", lambda x: x["word"]), " ").alias("normalised"))
+    any_known = F.broadcast(case.agg((F.count("*") > 0).alias("_any")))
+    whole = F.array_join(F.transform("w", lambda x: x["word"]), " ")
+    return parts.join(queries.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")), F.col(id_col) == F.col("_id")).crossJoin(any_known).select(id_col, F.when(F.col("_any"), whole).otherwise(F.col("_t")).alias("normalised"))
 
 
 def expanded(queries: DataFrame, synonyms: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -102,8 +107,8 @@ def abilities_match(query: Column) -> Column:
 
 
 def matched_teams(queries: DataFrame, table: DataFrame, id_col: str, text_col: str, rule=names_match) -> DataFrame:
-    """(id, teams) sorted; the queries are a stated, small set that the entity table is compared with."""
-    low = queries.select(id_col, F.lower(F.col(text_col)).alias("_q"))
+    """(id, teams) sorted; the queries are a stated set that the entity table is compared with, broadcast behind a check of its size."""
+    low = small(queries.select(id_col, F.lower(F.col(text_col)).alias("_q")), 100_000)
     found = table.join(low, rule(F.col("_q")))
     return found.select(id_col, F.explode("teams").alias("team")).distinct().groupBy(id_col).agg(F.sort_array(F.collect_list("team")).alias("teams"))
 
@@ -112,7 +117,7 @@ def fuzzy_teams(queries: DataFrame, names: DataFrame, id_col: str, text_col: str
     """(id, word, team): for each word of MIN_WORD and more the best name of enough ratio, cases told apart."""
     words = queries.select(id_col, F.explode(F.array_distinct(F.split(F.lower(T.squeeze(F.col(text_col))), " "))).alias("word")).where(F.length("word") >= MIN_WORD)
     distinct = words.select("word").distinct()
-    near = distinct.join(names.select(F.col(name).alias("team")).distinct(), may_reach(F.col("word"), F.col("team"), least))
+    near = distinct.join(small(names.select(F.col(name).alias("team")).distinct(), 100_000), may_reach(F.col("word"), F.col("team"), least))
     best = near.withColumn("r", ratio(F.col("word"), F.col("team"))).where(F.col("r") >= least).groupBy("word").agg(F.max_by("team", F.struct("r", "team")).alias("team"))
     return words.join(best, "word").select(id_col, "word", "team")
 
@@ -121,5 +126,29 @@ def header_lookup(titles: DataFrame, headers: DataFrame, id_col: str, title: str
     """(id, chunk, score): the first chunk of the header that is most like the title, if like enough."""
     first = headers.groupBy(F.lower(F.trim(header)).alias("h")).agg(F.min_by(chunk_id, ordinal).alias("chunk"), F.min(ordinal).alias("o"))
     asked = titles.select(id_col, F.lower(F.trim(title)).alias("q"))
-    near = asked.join(first, may_reach(F.col("q"), F.col("h"), least)).withColumn("r", ratio(F.col("q"), F.col("h"))).where(F.col("r") >= least)
+    near = first.join(small(asked, 100_000), may_reach(F.col("q"), F.col("h"), least)).withColumn("r", ratio(F.col("q"), F.col("h"))).where(F.col("r") >= least)
     return near.groupBy(id_col).agg(F.max_by("chunk", F.struct("r", -F.col("o"))).alias("chunk"), F.round(F.max("r") / 100, 6).alias("score"))
+
+
+def alias_teams(queries: DataFrame, aliases: DataFrame, id_col: str, text_col: str, alias: str, team: str, least: float = TEAM_RATIO) -> DataFrame:
+    """(id, team): teams whose alias a query has, or of whose alias a word of MIN_WORD and more is like a query's word."""
+    low = queries.select(id_col, F.lower(F.col(text_col)).alias("_q"))
+    known = aliases.select(F.col(alias).alias("_a"), F.col(team).alias("team"))
+    exact = small(known, 100_000).join(low, F.contains("_q", "_a")).select(id_col, "team")
+    words = lambda x: F.filter(F.array_distinct(F.split(F.trim(x), r"\s+")), lambda w: (F.length(w) >= MIN_WORD) & ~w.isin(STOP_WORDS))
+    asked = low.select(id_col, F.explode(words("_q")).alias("word"))
+    parts = known.select("team", F.explode(F.filter(F.split("_a", r"\s+"), lambda w: F.length(w) >= MIN_WORD)).alias("part"))
+    pairs = asked.select("word").distinct().join(small(parts.select("part").distinct(), 100_000), may_reach(F.col("word"), F.col("part"), least))
+    like = pairs.where(ratio(F.col("word"), F.col("part")) >= least)
+    return exact.union(asked.join(like, "word").join(parts, "part").select(id_col, "team")).distinct()
+
+
+def all_teams(found: list[DataFrame], id_col: str) -> DataFrame:
+    """(id, teams) sorted: the union of what the strategies found, each (id, team)."""
+    both = reduce(DataFrame.union, [x.select(id_col, "team") for x in found])
+    return both.distinct().groupBy(id_col).agg(F.sort_array(F.collect_list("team")).alias("teams"))
+
+
+def structure_of(structure: DataFrame, teams: DataFrame, team: str) -> DataFrame:
+    """The rows of the teams that were found; without any there is none, and not all."""
+    return structure.join(teams.select(F.explode("teams").alias(team)).distinct(), team, "left_semi")

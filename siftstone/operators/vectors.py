@@ -1,14 +1,21 @@
 """Exact nearest neighbours of a stated set of query vectors.
 
-Every vector is compared with every query (the query set is small and given); each task keeps its own
+Every vector is compared with every query, in broadcast blocks of BLOCK queries; each task keeps its own
 best k of a query before anything is shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import blocks_of
+
+#: Query vectors that are broadcast at once.
+BLOCK = 20_000
+
 
 def squared_distance(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda acc, x: acc + x)
@@ -23,7 +30,8 @@ def nearest(queries: DataFrame, vectors: DataFrame, k: int, query_id: str, query
     """(query_id, id, similarity, rank): nearest first, ties by id."""
     q = queries.select(F.col(query_id).alias("query_id"), F.col(query_vec).alias("_q"))
     v = vectors.select(F.col(vec_id).alias("id"), F.col(vec).alias("_v"))
-    pairs = v.join(q, F.size("_v") == F.size("_q")).select("query_id", "id", F.round(similarity(squared_distance("_v", "_q")), digits).alias("similarity"))
+    pairs = reduce(DataFrame.union, [v.join(b, F.size("_v") == F.size("_q")) for b in blocks_of(q, "query_id", BLOCK)])
+    pairs = pairs.select("query_id", "id", F.round(similarity(squared_distance("_v", "_q")), digits).alias("similarity"))
     order = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

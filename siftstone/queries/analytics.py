@@ -42,12 +42,10 @@ def per_group_performance(t: Tables) -> DataFrame:
     )
 
 
-@query("""WITH o AS (SELECT o_orderdate::DATE AS d, o_totalprice FROM orders WHERE o_orderkey % 97 = 0), w AS (SELECT d + ((8 - isodow(d)) % 7)::INT AS week, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM o GROUP BY 1),
+@query("""WITH o AS (SELECT o_orderdate::DATE AS d, o_totalprice FROM orders), w AS (SELECT d + ((8 - isodow(d)) % 7)::INT AS week, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM o GROUP BY 1),
 s AS (SELECT unnest(generate_series(min(week), max(week), INTERVAL 7 DAY))::DATE AS week FROM w) SELECT week, coalesce(n, 0)::BIGINT AS n, coalesce(total, 0) AS total FROM s LEFT JOIN w USING (week)""")
 def weekly_rollup_gapfilled(t: Tables) -> DataFrame:
-    """Orders of every 97th key by week, so that some weeks are empty."""
-    rows = t.orders.where("o_orderkey % 97 = 0")
-    out = A.weekly(rows, "o_orderdate", {"n": F.lit(1), "total": c("o_totalprice")})
+    out = A.weekly(t.orders, "o_orderdate", {"n": F.lit(1), "total": c("o_totalprice")})
     return out.select("week", c("n").cast("long"), F.round("total", 2).alias("total"))
 
 
@@ -102,7 +100,7 @@ def top_downvoted(t: Tables) -> DataFrame:
 @query("SELECT user_id, count(*)::BIGINT AS n, row_number() OVER (ORDER BY count(*) DESC, user_id)::INT AS place FROM events GROUP BY 1")
 def top_users(t: Tables) -> DataFrame:
     users = t.events.groupBy("user_id").agg(F.count("*").alias("n"))
-    return users.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "user_id")))
+    return A.busiest(users, "user_id", "n")
 
 
 @query("SELECT event_type AS server, max(ts) AS latest, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY 1")

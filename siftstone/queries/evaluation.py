@@ -53,13 +53,16 @@ def clamped_vote_counts(t: Tables) -> DataFrame:
     return clamped_votes(v, "target", "event_id", "d")
 
 
-@query("""SELECT conv_id, turn, CASE WHEN contains(lower(text), 'permission') OR contains(lower(text), 'not_found') THEN 'permanent' ELSE 'transient' END AS class FROM (SELECT conv_id, turn, CASE turn % 3 WHEN 0 THEN 'Error: PERMISSION denied ' || text WHEN 1 THEN 'not_found: ' || text ELSE text END AS text FROM conversations)""")
+ERRORS = ["HTTP 401", "Rate limit on a bad Schema", "request canceled", "Safety: refused", "timed out", "insufficient_quota", "an unsupported thing", "blocked by 503"]
+
+
+@query(f"""WITH m(i, x) AS (VALUES {", ".join(f"({k}, '{x}')" for k, x in enumerate(ERRORS))}) SELECT event_id, CASE WHEN event_id % 8 IN (0, 1, 2, 3, 7) THEN 'permanent' ELSE 'transient' END AS class,
+['401', 'schema', 'canceled', 'safety', 'timed out', 'insufficient_quota', 'unclassified', 'blocked'][1 + event_id % 8] AS reason FROM events JOIN m ON i = event_id % 8""")
 def error_classes(t: Tables) -> DataFrame:
-    from ..operators.invariants import error_class
+    from ..operators.invariants import error_class, error_reason
 
-    k = c("turn") % 3
-    text = F.when(k == 0, F.concat(F.lit("Error: PERMISSION denied "), "text")).when(k == 1, F.concat(F.lit("not_found: "), "text")).otherwise(c("text"))
-    return t.conversations.select("conv_id", "turn", error_class(text).alias("class"))
+    text = F.get(F.array(*map(F.lit, ERRORS)), (c("event_id") % 8).cast("int"))
+    return t.events.select("event_id", error_class(text).alias("class"), error_reason(text).alias("reason"))
 
 
 @query("""SELECT o_orderkey, CASE WHEN e IS NULL AND k IS NULL THEN 'retry' WHEN e IS NULL THEN 'succeeded' WHEN e = 'timeout' THEN 'retry' ELSE 'failed' END AS state FROM orders LEFT JOIN (SELECT o_orderkey AS k, CASE o_custkey % 4 WHEN 0 THEN 'timeout' WHEN 1 THEN 'invalid_request' END AS e FROM orders WHERE o_orderkey % 6 <> 0) ON o_orderkey = k""")

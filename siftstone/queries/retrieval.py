@@ -48,12 +48,12 @@ def bm25_term_df_topk(t: Tables) -> DataFrame:
 
 
 VEC = """vec AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(greatest(0.0, 1 - list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: (x[1]::DOUBLE - x[2]::DOUBLE) * (x[1]::DOUBLE - x[2]::DOUBLE))) / 2), 6) AS similarity
-FROM embeddings q, embeddings v WHERE q.vec_id < 20),
+FROM embeddings q, embeddings v WHERE q.vec_id % 20 = 0),
 vr AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM vec) WHERE rank <= 15)"""
 
 
 def _vectors(t: Tables, k: int = 15) -> DataFrame:
-    return vectors.nearest(t.embeddings.where("vec_id < 20"), t.embeddings, k, "vec_id", "embedding", "vec_id", "embedding")
+    return vectors.nearest(t.embeddings.where("vec_id % 20 = 0"), t.embeddings, k, "vec_id", "embedding", "vec_id", "embedding")
 
 
 @query(f"WITH {VEC} SELECT query_id, id, similarity, rank::INT AS rank FROM vr WHERE similarity >= 0.2")
@@ -61,7 +61,7 @@ def vector_topk_similarity(t: Tables) -> DataFrame:
     return vectors.at_least(_vectors(t), 0.2)
 
 
-LABEL_RANK = "lr AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(q.vec_id - v.vec_id), v.vec_id) AS rank FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id < 20) WHERE rank <= 30)"
+LABEL_RANK = "lr AS (SELECT * FROM (SELECT q.vec_id AS query_id, v.vec_id AS id, row_number() OVER (PARTITION BY q.vec_id ORDER BY abs(q.vec_id - v.vec_id), v.vec_id) AS rank FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id % 20 = 0) WHERE rank <= 30)"
 RRF = f"""{VEC}, {LABEL_RANK}, un AS (SELECT query_id, id, vr.rank AS vector_rank, lr.rank AS text_rank, similarity, round(coalesce(0.5 / (60 + vr.rank), 0) + coalesce(0.5 / (60 + lr.rank), 0), 9) AS rrf FROM vr FULL JOIN lr USING (query_id, id)),
 fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, id) AS rank FROM un) WHERE rank <= 15),
 rel AS (SELECT *, round(0.45 + (rrf - min(rrf) OVER p) / CASE WHEN max(rrf) OVER p > min(rrf) OVER p THEN max(rrf) OVER p - min(rrf) OVER p ELSE 1 END * 0.55, 6) AS relevance FROM fu WINDOW p AS (PARTITION BY query_id))"""
@@ -69,7 +69,7 @@ rel AS (SELECT *, round(0.45 + (rrf - min(rrf) OVER p) / CASE WHEN max(rrf) OVER
 
 def _fused(t: Tables) -> DataFrame:
     e = t.embeddings
-    q = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label")
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
     from pyspark.sql import Window
 
     order = Window.partitionBy("query_id").orderBy(F.abs(F.col("query_id") - F.col("id")), "id")
@@ -103,14 +103,14 @@ def final_rerank_top20(t: Tables) -> DataFrame:
     return fusion.reranked(hits, "score", "ordinal", 20).select("query_id", "id", "score", "rank")
 
 
-RANKS = f"WITH {VEC}, tr AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id < 20), tk AS (SELECT tr.query_id, vr.rank FROM tr LEFT JOIN vr USING (query_id, id)), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank NULLS LAST) AS i FROM tk)"
+RANKS = f"WITH {VEC}, tr AS (SELECT q.vec_id AS query_id, v.vec_id AS id FROM embeddings q JOIN embeddings v USING (label) WHERE q.vec_id % 20 = 0), tk AS (SELECT tr.query_id, vr.rank FROM tr LEFT JOIN vr USING (query_id, id)), n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank NULLS LAST) AS i FROM tk)"
 MEASURES = f"""{RANKS}, ms AS (SELECT query_id, round(coalesce(sum(i / rank), 0) / count(*), 6) AS average_precision, round(count_if(rank <= 5) / count(*), 6) AS recall_at_k, round(count(rank) / count(*), 6) AS recall,
 round(count_if(rank <= 3) / 3, 6) AS precision_at_k, round(coalesce(1 / min(rank), 0), 6) AS reciprocal_rank FROM n GROUP BY query_id)"""
 
 
 def _measures(t: Tables) -> DataFrame:
     e = t.embeddings
-    truth = e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label")
+    truth = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label")
     return metrics.ranking_measures(truth.join(_vectors(t).select("query_id", "id", "rank"), ["query_id", "id"], "left"))
 
 
@@ -291,8 +291,7 @@ def param_grid_best(t: Tables) -> DataFrame:
     spark = t.benchmark.sparkSession
     grid = spark.createDataFrame([(k1, b, f"k1_{k1}_b_{b:.2f}") for k1 in (1.2, 1.6) for b in (0.45, 0.8)], "k1 double, b double, config string")
     i = bm25.index(t.documents, "doc_id", "text")
-    asked = t.benchmark.select(F.col("item_id").alias("query_id"), F.explode(T.tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    hit = i.postings.join(asked.join(i.terms, "term"), "term").crossJoin(i.totals.select("mean_size")).crossJoin(grid)
+    hit = bm25.hits(t.benchmark, i, "item_id", "text").crossJoin(F.broadcast(grid))
     part = F.expr("times * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean_size))")
     sc = hit.groupBy("config", "query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     order = Window.partitionBy("config", "query_id").orderBy(F.desc("score"), "id")

@@ -63,13 +63,21 @@ def header_tree(t: Tables) -> DataFrame:
     return nodes.select("doc_id", "node", "level", F.md5("title").alias("title"), "parent")
 
 
-@query("""WITH x AS (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' - TAC OP - SECURITY' WHEN 1 THEN ' - STRATEGY PLOY' WHEN 2 THEN ' - Equipment' ELSE '' END AS title FROM part)
-SELECT p_partkey, CASE WHEN contains(upper(title), 'STRATEGY PLOY') THEN 'Strategy Ploys' WHEN contains(upper(title), 'FIREFIGHT PLOY') THEN 'Firefight Ploys' WHEN contains(upper(title), 'EQUIPMENT') THEN 'Faction Equipment' WHEN contains(upper(title), 'OPERATIVE') THEN 'Operatives' WHEN contains(upper(title), 'FACTION RULE') THEN 'Faction Rules' WHEN contains(upper(title), 'TAC OP') THEN 'Tac Ops' END AS category,
-CASE WHEN title LIKE '% - TAC OP - SECURITY' THEN 'SECURITY' END AS archetype FROM x""")
+@query("""WITH x AS (SELECT p_partkey, p_name || CASE p_partkey % 4 WHEN 0 THEN ' - Tac Op - Security' WHEN 1 THEN ' - STRATEGY PLOY' WHEN 2 THEN ' - Equipment' ELSE '' END AS title FROM part)
+SELECT p_partkey, CASE WHEN regexp_matches(upper(title), '^(FAQ|\\[FAQ\\])') THEN NULL WHEN contains(upper(title), 'OPERATIVE SELECTION') THEN 'Operative Selection' WHEN contains(upper(title), 'FACTION RULE') OR ends_with(upper(title), '- ARCHETYPES') THEN 'Faction Rules' WHEN contains(upper(title), 'STRATEGY PLOY') THEN 'Strategy Ploys'
+WHEN contains(upper(title), 'FIREFIGHT PLOY') THEN 'Firefight Ploys' WHEN contains(upper(title), 'FACTION EQUIPMENT') THEN 'Faction Equipment' WHEN contains(title, ' - ') AND NOT regexp_matches(upper(title), 'FACTION RULE|PLOY|EQUIPMENT|SELECTION|ARCHETYPE') THEN 'Operatives' END AS category,
+CASE WHEN p_partkey % 4 = 0 THEN 'SECURITY' END AS archetype FROM x""")
 def title_categories(t: Tables) -> DataFrame:
     k = c("p_partkey") % 4
-    title = F.concat("p_name", F.when(k == 0, " - TAC OP - SECURITY").when(k == 1, " - STRATEGY PLOY").when(k == 2, " - Equipment").otherwise(""))
-    return t.part.select("p_partkey", hierarchy.category(title).alias("category"), hierarchy.archetype(title).alias("archetype"))
+    title = F.concat("p_name", F.when(k == 0, " - Tac Op - Security").when(k == 1, " - STRATEGY PLOY").when(k == 2, " - Equipment").otherwise(""))
+    return t.part.select("p_partkey", F.nullif(hierarchy.category(title), F.lit("")).alias("category"), hierarchy.archetype(title).alias("archetype"))
+
+
+@query(f"WITH {TREE} SELECT doc_id, md5(string_agg(title, '|' ORDER BY node)) AS digest FROM hd GROUP BY doc_id")
+def flattened_titles(t: Tables) -> DataFrame:
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 2 == 0, F.concat(F.repeat(F.lit("#"), (F.lit(2) + ((i + 1) * 7 + c("doc_id")) % 3).cast("int")), F.lit(" **"), x, F.lit("**"))).otherwise(x))
+    md = t.documents.select("doc_id", F.array_join(lines, "\n").alias("md"))
+    return hierarchy.flattened(hierarchy.headers(md, "doc_id", "md"), "doc_id").select("doc_id", F.md5(F.array_join("titles", "|")).alias("digest"))
 
 
 @query(r"""SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^\w\s-]', '', 'g'), '[\s-]+', '_', 'g'), '_') AS file FROM part""")
