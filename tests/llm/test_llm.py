@@ -534,3 +534,129 @@ def test_pipeline_against_plain_steps(spark, texts):
 
 def test_native_constants(spark):
     assert spark.range(1).select(native.constants([0.5, -1.25]).alias("x")).first().x == [0.5, -1.25]
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of texts and longs."""
+    import xxhash
+
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64(v.encode() if isinstance(v, str) else v.to_bytes(8, "little", signed=True), seed=seed).intdigest()
+        seed = seed - 2**64 if seed >= 2**63 else seed
+        last, seed = seed, seed % 2**64
+    return last
+
+
+def plain_sketch(text):
+    words = WORD.findall(text)
+    if any(len(w) > fingerprints.LONG for w in words):
+        words = [x for w in words for x in (w if len(w) > fingerprints.LONG else [w])]
+    h = [spark_hash(w) for w in words]
+    g = [spark_hash(a, b) for a, b in zip(h, h[1:], strict=False)]
+    found = {spark_hash(g[i], g[i + 2], g[i + 3]) for i in range(len(g) - 3) if min(g[i], g[i + 3]) <= min(g[i + 1], g[i + 2])}
+    if not found and h:
+        return None  # one anchor for the whole text
+    return sorted(found)[: fingerprints.SIZE]
+
+
+def test_fingerprints_against_a_plain_version(spark, texts):
+    found = {r.doc_id: r for r in query(spark, "op1_").collect()}
+    sketches = {k: plain_sketch(x) for k, x in texts.items()}
+    ids = sorted(texts)
+    for k, sketch in sketches.items():
+        if sketch is not None:
+            assert found[k].fingerprint == "".join(f"{x % 2**64:016x}" for x in sketch)
+    for a, b in zip(ids, [*ids[1:], ids[0]], strict=True):
+        if sketches[a] and sketches[b]:
+            least = sorted({*sketches[a], *sketches[b]})[: fingerprints.SIZE]
+            assert found[a].near_next == pytest.approx(len({*sketches[a]} & {*sketches[b]} & {*least}) / len(least))
+
+
+def test_text_without_blanks_loses_only_some_anchors(spark):
+    rng = random.Random(12)
+    text = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=900))
+    found = fingerprints.fingerprint_edits(documents(spark, [text, "other text that comes next here"])).where("doc_id = 0").first()
+    assert 0.3 < found.near_edited < 1
+
+
+def test_quality_verdicts_against_a_plain_version(spark, texts):
+    import math
+
+    good = {r.doc_id for r in spark.read.parquet(f"{FOLDER}/labels.parquet").where("quality = 1").collect()}
+    grams = {}
+    for k, x in texts.items():
+        h = [spark_hash(w) for w in WORD.findall(x)]
+        grams[k] = [v % quality_rules.WORD_BINS for v in h] + [quality_rules.WORD_BINS + spark_hash(a, b) % quality_rules.PAIR_BINS for a, b in zip(h, h[1:], strict=False)]
+    ratio = {}
+    for low, high in ((0, quality_rules.WORD_BINS), (quality_rules.WORD_BINS, quality_rules.WORD_BINS + quality_rules.PAIR_BINS)):
+        raw, trusted = collections.Counter(range(low, high)), collections.Counter(range(low, high))
+        for k, g in grams.items():
+            own = [b for b in g if low <= b < high]
+            raw.update(own)
+            trusted.update(own if k in good else [])
+        ratio |= {b: math.log(trusted[b] / trusted.total()) - math.log(raw[b] / raw.total()) for b in range(low, high)}
+    for r in query(spark, "op7_").collect():
+        g = grams[r.doc_id]
+        if not g:
+            assert r.score is None and not r.kept
+            continue
+        score = sum(ratio[b] for b in g) / len(g)
+        assert r.score == pytest.approx(score, abs=3e-6)
+        if abs(score - quality_rules.THRESHOLD) > 1e-5:
+            assert r.kept == (not r.base_failed and score >= quality_rules.THRESHOLD)
+
+
+def test_language_ties_go_to_the_smaller_name():
+    known = language._ranked(*language._count("aa ab"), 5).tolist()
+    assert language.Ranks({"y": known, "x": known}, 5).nearest("ab ab")[0] == "x"
+
+
+def test_long_runs_without_blanks_are_counted_whole(monkeypatch):
+    text = "abcdefgh" * 40 + " end"
+    whole = language._count(text)
+    monkeypatch.setattr(language, "PIECE", 50)
+    parts = language._count(text)
+    assert whole[0].tolist() == parts[0].tolist() and whole[1].tolist() == parts[1].tolist()
+
+
+def test_toxicity_network_beats_its_first_inputs_and_reads_both_ways(spark):
+    """A word is toxic only right before another one, which single words cannot tell."""
+    rng = random.Random(21)
+
+    def text(bad):
+        words = [f"w{rng.randrange(60)}" for _ in range(24)]
+        at = rng.randrange(20)
+        words[at : at + 2] = ["vex", "lum"] if bad else ["lum", "vex"]
+        return " ".join(words)
+
+    labels = [(k, k % 2) for k in range(800)]
+    df = documents(spark, [text(y) for _, y in labels])
+    net = toxicity.fit(df, spark.createDataFrame(labels, "doc_id long, toxic int"), "toxic", F.col("doc_id") < 600)
+    scores = {r.doc_id: r.score for r in toxicity.score(df, net).collect()}
+    truth = np.array([y for k, y in labels if k >= 600])
+    found = np.array([scores[k] for k, _ in labels if k >= 600])
+    ranks = lambda x: (x[truth == 1][:, None] > x[truth == 0][None, :]).mean()
+    whole = ranks(found)
+    assert whole > 0.6  # order cannot be told from the words' log-odds, which give 0.5
+    net.p["u"][1] = 0
+    net.p["wx"][1] = 0
+    assert abs(ranks(np.array([r.score for r in toxicity.score(df.where("doc_id >= 600"), net).orderBy("doc_id").collect()])) - whole) > 0.01
+
+
+def test_pipeline_stages_with_odd_rows(spark):
+    import corpus_pipeline
+
+    odd = odd_rows(spark)
+    for df in (odd, odd.limit(0)):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, df, FOLDER)
+            rows = out.collect()
+            if name != "packing":
+                assert out.columns == df.columns, name
+            if df is odd and name in ("suffix_dedup", "packing"):
+                assert len(rows) >= 7, name
+            elif df is not odd:
+                assert not rows, name
+            elif name == "near_duplicates":
+                assert sorted(r.doc_id for r in rows if r.doc_id) == [1, 2, 3, 4, 4]
