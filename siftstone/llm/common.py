@@ -242,7 +242,7 @@ def lower_latin(data: np.ndarray) -> np.ndarray:
 
 
 #: Longer texts are not fitted on; with the number of rows this bounds what the driver gets.
-FIT_CHARS = 20_000
+FIT_CHARS = 60_000
 
 
 def labelled(docs: DataFrame, labels: DataFrame, flag: str, learn: Column, rows: int, id_col: str = "doc_id", text_col: str = "text", chars: int = FIT_CHARS) -> DataFrame:
