@@ -198,3 +198,61 @@ def test_quotes_and_headers_meet_whole_texts(spark):
     assert (found[1].source, found[1].score, found[1].valid) == (1, 1.0, True)
     found = {r.item_id: (r.chunk, r.score) for r in query["fuzzy_header_match"](t).collect()}
     assert found[2] == (3, 1.0)
+
+
+def test_prompts_need_as_many_ids_as_chunks(spark):
+    from siftstone.operators import answers
+
+    good, df = (spark.createDataFrame([x], "i array<string>, t array<string>") for x in ((["abcdefghij"], ["x"]), (["a"], [])))
+    out = answers.context_text(F.col("i"), F.col("t"))
+    assert good.select(out.alias("x")).first().x == "[CHUNK_cdefghij]:\nx"
+    with pytest.raises(Exception, match="as many ids"):
+        df.select(out.alias("x")).collect()
+
+
+def test_aliases_match_as_substrings_or_by_likeness(spark):
+    q = spark.createDataFrame([(1, "the xv88 fires"), (2, "about komandos"), (3, "none of it")], "q int, t string")
+    aliases = spark.createDataFrame([("xv88", "A"), ("kommandos", "B")], "a string, team string")
+    found = terms.alias_teams(q, aliases, "q", "t", "a", "team")
+    assert {(r.q, r.team) for r in found.collect()} == {(1, "A"), (2, "B")}
+    teams = terms.all_teams([found, found], "q")
+    assert {(r.q, tuple(r.teams)) for r in teams.collect()} == {(1, ("A",)), (2, ("B",))}
+    assert terms.structure_of(aliases, teams.where("q = 1"), "team").count() == 1 and terms.structure_of(aliases, teams.limit(0), "team").count() == 0
+
+
+def test_queries_without_keywords_come_back_untouched(spark):
+    q = spark.createDataFrame([(1, " two  blanks ")], "q int, t string")
+    none = spark.createDataFrame([], "keyword string")
+    assert terms.normalised(q, none, "q", "t").first().normalised == " two  blanks "
+
+
+def test_windows_cover_a_text_to_its_end(spark):
+    from siftstone.functions import fuzzy
+
+    text = "".join(chr(97 + k % 26) for k in range(100))
+    found = spark.createDataFrame([(text,)], "t string").select(fuzzy.windows(F.col("t"), F.lit(30)).alias("w")).first().w
+    assert found == [text[at : at + 30 * k] for at in range(0, 100, 5) for k in (1, 2, 3)]
+
+
+def test_truths_are_found_inside_words_and_short_ones_too(spark):
+    from siftstone.operators import metrics
+
+    text = "Alpha beta gamma delta epsilon zeta eta theta iota"
+    truths = spark.createDataFrame([(1, "pha beta gamma delta epsilon zeta eta th"), (2, "beta"), (3, "pha beta gamma delta epsilon zeta eta thx"), (4, "iota")], "k int, truth string")
+    found = metrics.found_in(truths, spark.createDataFrame([(7, text)], "d int, text string"), "truth", "text")
+    assert sorted(r.k for r in found.collect()) == [1, 2, 4]
+
+
+def test_places_are_counted_in_ranges(spark):
+    from siftstone.operators import sizes
+
+    df = spark.createDataFrame([(k % 2, float(k * k % 97) + k / 1000, k % 5 + 1) for k in range(200)], "g int, v double, w int")
+    rows = [(r.g, r.v, r.w, r.before) for r in sizes.placed(df, ["g"], "v", F.col("w")).collect()]
+    assert len(rows) == 200 and all(before == sum(w for g2, v2, w, _ in rows if g2 == g and v2 < v) for g, v, _, before in rows)
+
+
+def test_categories_of_nodes_come_from_the_topmost_ancestor(spark):
+    md = "## FAQ - A\n### X - Strategy Ploy\n## Team - Faction Rule\n### Sub - Strategy Ploy\n#### deep\n## plain\n### Y - Firefight Ploy"
+    nodes = hierarchy.tree(hierarchy.headers(spark.createDataFrame([(1, md)], "d int, t string"), "d", "t"), "d")
+    found = [r.category for r in hierarchy.inherited(nodes, "d").orderBy("node").collect()]
+    assert found == [None, None, "Faction Rules", "Faction Rules", "Faction Rules", None, "Firefight Ploys"]
