@@ -28,3 +28,9 @@ def grounded(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, key
     best = sure.union(rest).withColumn("_n", F.row_number().over(order)).where("_n = 1")
     score = F.round(F.coalesce("score", F.lit(0.0)), 6)
     return best.select(quote_id, "part", "source", score.alias("score"), (score >= least).alias("valid"))
+
+
+def faithfulness(parts: DataFrame, quote_id: str, key: str, least: float = 0.98) -> DataFrame:
+    """(key, quotes, quote_faithfulness) from grounded(): the share of a key's quotes all parts of which score enough."""
+    whole = parts.groupBy(key, quote_id).agg(F.min("score").alias("score"))
+    return whole.groupBy(key).agg(F.count("*").alias("quotes"), F.round(F.avg((F.col("score") >= least).cast("int")), 6).alias("quote_faithfulness"))

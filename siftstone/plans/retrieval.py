@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators import bm25, fusion
+from ..operators import answers, bm25, fusion, terms
 
 Judge = Callable[[DataFrame, DataFrame], DataFrame]
 
@@ -30,3 +30,21 @@ def multi_hop(queries: DataFrame, index: bm25.Index, judge: Judge, k: int = 15,
         fresh = hop(missing, index, hop_k, n).join(have.select("query_id", "id"), ["query_id", "id"], "left_anti")
         have = have.unionByName(fresh)
     return fusion.reranked(have.withColumn("ordinal", F.col("hop") * 1_000_000 + F.col("rank")).drop("rank"), "score", "ordinal", final_k).drop("ordinal")
+
+
+def header_hop(missing: DataFrame, chunks: DataFrame, index: bm25.Index, id_col: str, text_col: str, chunk: str, header: str, k: int = 5) -> DataFrame:
+    """(query_id, id, score, place): what one hop brings for texts that list the missing titles.
+
+    A title takes the first chunk of the header most like it, at that likeness less 0.01. The titles that no
+    header is like are joined to one query for k texts. Header hits come first, in the order of
+    their titles, and of a chunk that comes again the first is kept.
+    """
+    asked = missing.select(F.col(id_col).alias("query_id"), F.posexplode(answers.titles(F.col(text_col))).alias("at", "title"))
+    asked = asked.withColumn("key", F.struct("query_id", "at"))
+    heads = terms.header_lookup(asked, chunks, "key", "title", chunk, header, chunk)
+    hits = heads.select("key.query_id", F.col("chunk").alias("id"), F.round(F.col("score") - 0.01, 6).alias("score"), F.col("key.at").alias("order"))
+    rest = asked.join(heads.select("key"), "key", "left_anti").groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "title"))), lambda x: x["title"]), ", ").alias("text"))
+    more = bm25.ranked(bm25.scores(rest, index, "query_id", "text"), k).select("query_id", "id", "score", (F.col("rank") + 1_000_000).alias("order"))
+    first = Window.partitionBy("query_id", "id").orderBy("order")
+    once = hits.union(more).withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return once.withColumn("place", F.row_number().over(Window.partitionBy("query_id").orderBy("order"))).select("query_id", "id", "score", "place")

@@ -250,7 +250,8 @@ def fuzzy_header_match(t: Tables) -> DataFrame:
 
 @query()
 def fuzzy_team_names(t: Tables) -> DataFrame:
-    return terms.fuzzy_teams(t.benchmark, t.nation, "item_id", "text", "n_name")
+    """Words of benchmark texts that are like words of parts' names."""
+    return terms.fuzzy_teams(t.benchmark, t.part.select(F.explode(F.split("p_name", " ")).alias("name")), "item_id", "text", "name", 60)
 
 
 @query()

@@ -256,3 +256,18 @@ def test_categories_of_nodes_come_from_the_topmost_ancestor(spark):
     nodes = hierarchy.tree(hierarchy.headers(spark.createDataFrame([(1, md)], "d int, t string"), "d", "t"), "d")
     found = [r.category for r in hierarchy.inherited(nodes, "d").orderBy("node").collect()]
     assert found == [None, None, "Faction Rules", "Faction Rules", "Faction Rules", None, "Firefight Ploys"]
+
+
+def test_a_hop_takes_headers_first_and_searches_for_the_rest(spark):
+    from siftstone.plans import retrieval
+
+    chunks = spark.createDataFrame([(1, "Charge Rules", "how to charge"), (2, "Shooting", "red fox shoots"), (3, "Other", "blue dog"), (4, "charge rules", "again")], "id int, header string, text string")
+    missing = spark.createDataFrame([(9, "'Charge Rule', red fox, shooting")], "q int, t string")
+    found = retrieval.header_hop(missing, chunks, bm25.index(chunks, "id", "text"), "q", "t", "id", "header").orderBy("place").collect()
+    assert [(r.id, r.place) for r in found] == [(1, 1), (2, 2)]
+    assert found[0].score == pytest.approx(200 * 11 / 23 / 100 - 0.01, abs=1e-6) and found[1].score == pytest.approx(0.99)
+
+
+def test_faithfulness_needs_all_parts_of_a_quote(spark):
+    parts = spark.createDataFrame([(1, 1, 0, 1.0), (1, 1, 1, 0.9), (1, 2, 0, 0.99)], "answer int, quote int, part int, score double")
+    assert [(r.quotes, r.quote_faithfulness) for r in grounding.faithfulness(parts, "quote", "answer").collect()] == [(2, 0.5)]
