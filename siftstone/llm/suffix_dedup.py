@@ -21,8 +21,9 @@ suffix array, a run of suffixes that have `length` bytes in common, with the doc
 phrases, is the list of a passage's places in corpus order: its smallest document keeps its bytes,
 the others mark theirs.
 
-Only phrases (about three bytes for each byte of input, packed), marks and counts are shuffled;
-marks need meet nothing. A range holds about RANGE_BYTES windows
+Only phrases (about three bytes for each byte of input, packed), marks and counts are shuffled.
+Marks of one document that touch are joined where they are made, in the task that parses and in
+the range, and go packed to the bucket of their document, where the marks of all ranges are joined. A range holds about RANGE_BYTES windows
 in the mean, and besides them those of its largest key: under HEAVY_BYTES, or windows that are
 equal. Those must meet, but of equal phrases in a task's flush of FLUSH_BYTES only one is sent.
 
@@ -50,6 +51,8 @@ WIDTH = 8
 RANGE_BYTES = 2_000_000
 HEAVY_BYTES = 2 * RANGE_BYTES
 FLUSH_BYTES = 32 << 20
+#: Text whose marks meet in one bucket, in the mean.
+BUCKET_BYTES = 16_000_000
 U64 = np.uint64
 
 
@@ -148,7 +151,32 @@ def _unpack(blob: bytes) -> tuple[np.ndarray, ...]:
     return np.cumsum(out[0]), out[1], out[2].astype(np.int64), out[3].astype(np.int64), np.frombuffer(raw, np.uint8, offset=at)
 
 
-MARK = pa.schema([("doc", pa.int64()), ("tag", pa.int64()), ("span", pa.int64())])
+def _union(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, ...]:
+    """These spans with those of one document that overlap or touch joined, by document and start."""
+    order = np.lexsort((start, tag, doc))
+    doc, tag, start, end = (x[order] for x in (doc, tag, start, end))
+    text = np.cumsum((np.diff(doc, prepend=0) != 0) | (np.diff(tag, prepend=0) != 0)) << 32
+    reach = np.maximum.accumulate(text + end)
+    at = np.flatnonzero(np.append(True, (text + start)[1:] > reach[:-1])[: len(doc)])
+    return doc[at], tag[at], start[at], (reach - text)[np.append(at[1:], len(doc)) - 1] if len(at) else end
+
+
+def _dealt(marks: list[tuple[np.ndarray, ...]], n_buckets: int) -> list[tuple[int, bytes]]:
+    """(bucket, packed marks) of the union of these marks: documents, tags, starts and ends."""
+    if not marks:
+        return []
+    doc, tag, start, end = _union(*(np.concatenate(x) for x in zip(*marks, strict=True)))
+    place = (c.mix(doc.astype(U64)) % U64(n_buckets)).astype(np.int64)
+    order = np.argsort(place, kind="stable")
+    cuts = np.flatnonzero(np.diff(place[order], prepend=-1))
+    return [(int(place[p[0]]), c.pack(doc[p], tag[p], start[p], (end - start)[p])) for p in np.split(order, cuts[1:]) if len(p)]
+
+
+def _marked(blob: bytes) -> tuple[np.ndarray, ...]:
+    doc, tag, start, size = (x.view(np.int64) for x in c.unpack(blob))
+    return doc, tag, start, start + size
+
+
 SENT = pa.schema([("bin", pa.int64()), ("marks", pa.bool_()), ("blob", pa.binary())])
 
 
@@ -201,21 +229,22 @@ def heavy_keys(texts: DataFrame, total: int, length: int = LENGTH) -> tuple[np.n
     return triggers, find((triggers, none)) if len(triggers) else none
 
 
-def _parse(n_ranges: int, length: int, heavy: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _parse(n_ranges: int, n_buckets: int, length: int, heavy: tuple[np.ndarray, np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, bool], list] = {}
+        held: dict[int, list] = {}
+        marks: list[tuple[np.ndarray, ...]] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
-            for place in [k for k, marks in held if not marks]:
-                held[place, False], again = _merge(held[place, False], length)
-                if len(again[0]):
-                    held.setdefault((place, True), []).append(again)
-            keys = sorted(held)
-            blobs = [_pack(held[k]) for k in keys]
-            held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.bool_()), pa.array(blobs, pa.binary())], schema=SENT)
+            sent = []
+            for place in sorted(held):
+                once, (doc, tag, start, run) = _merge(held.pop(place), length)
+                marks.append((doc, tag, start, start + run + length - 1))
+                sent.append((place, False, _pack(once)))
+            sent += [(place, True, blob) for place, blob in _dealt(marks, n_buckets)]
+            marks.clear()
+            return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*sent, strict=True), SENT.types, strict=True)], schema=SENT)
 
         for batch in batches:
             ids, tags = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
@@ -234,19 +263,18 @@ def _parse(n_ranges: int, length: int, heavy: tuple[np.ndarray, np.ndarray]) ->
                 same[order] = order[fresh][group]
                 later = doc > owner
                 later[later] = _equal(data, first[later], first[same[later]], run[later] + length - 1, run[same[later]] + length - 1)
-                place = (c.mix(np.where(later, doc.astype(U64), key)) % U64(n_ranges)).astype(np.int64)
-                for marks in (False, True):
-                    picked = np.flatnonzero(later == marks)
-                    picked = picked[np.argsort(place[picked], kind="stable")]
-                    if not len(picked):
-                        continue
-                    cuts = np.flatnonzero(np.diff(place[picked], prepend=-1))
-                    for a, b in zip(cuts, np.append(cuts[1:], len(picked)), strict=True):
-                        p = picked[a:b]
-                        start = first[p] - offsets[row[p]] + base
-                        raw = data[c.ranges(first[p], run[p] + length - 1)] if not marks else np.zeros(0, np.uint8)
-                        held.setdefault((int(place[p[0]]), marks), []).append((doc[p], tags[rows[row[p]]], start, run[p], raw, content[p]))
-                        size += len(raw) + 24 * len(p)
+                begin = first - offsets[row] + base
+                tag = tags[rows[row]]
+                marks.append((doc[later], tag[later], begin[later], (begin + run)[later] + length - 1))
+                size += 24 * int(later.sum())
+                place = (c.mix(key) % U64(n_ranges)).astype(np.int64)
+                picked = np.flatnonzero(~later)
+                picked = picked[np.argsort(place[picked], kind="stable")]
+                cuts = np.flatnonzero(np.diff(place[picked], prepend=-1))
+                for p in np.split(picked, cuts[1:]):
+                    raw = data[c.ranges(first[p], run[p] + length - 1)]
+                    held.setdefault(int(place[p[0]]), []).append((doc[p], tag[p], begin[p], run[p], raw, content[p]))
+                    size += len(raw) + 24 * len(p)
                 if size > FLUSH_BYTES:
                     yield flush()
                     size = 0
@@ -263,9 +291,8 @@ def _merge(parts: list[tuple[np.ndarray, ...]], length: int) -> tuple[list[tuple
     at = np.cumsum(size) - size
     whole = _copies(data, doc, at, size, content)
     kept = ~whole
-    none = np.zeros(0, np.uint8)
     once = doc[kept], tag[kept], start[kept], run[kept], data[np.repeat(kept, size)], content[kept]
-    return [once], (doc[whole], tag[whole], start[whole], run[whole], none, content[whole])
+    return [once], (doc[whole], tag[whole], start[whole], run[whole])
 
 
 def _copies(data: np.ndarray, doc: np.ndarray, at: np.ndarray, size: np.ndarray, content: np.ndarray) -> np.ndarray:
@@ -290,32 +317,38 @@ def _equal(data: np.ndarray, a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: n
     return out
 
 
-def _marks(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
-    """A span is start * 2**32 + end, in bytes of its document."""
-    return pa.Table.from_arrays([pa.array(doc), pa.array(tag), pa.array((start << 32) | end)], schema=MARK)
-
-
-def _order(length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _order(n_buckets: int, length: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = []
+        parts, marks = [], []
         for batch in batches:
-            for marks, blob in zip(batch.column("marks").to_pylist(), batch.column("blob"), strict=True):
-                x = _unpack(blob.as_py())
-                if marks:
-                    yield from _marks(x[0], x[1], x[2], x[2] + x[3] + length - 1).to_batches()
+            for known, blob in zip(batch.column("marks").to_pylist(), batch.column("blob"), strict=True):
+                if known:
+                    marks.append(_marked(blob.as_py()))
                 else:
-                    parts.append(x)
+                    parts.append(_unpack(blob.as_py()))
         if parts:
             whole = [np.concatenate(x) for x in zip(*parts, strict=True)]
             parts.clear()
-            yield from repeats(*whole, length).to_batches()
+            marks += repeats(*whole, length)
+        for place, blob in _dealt(marks, n_buckets):
+            yield pa.RecordBatch.from_arrays([pa.array([place], pa.int64()), pa.array([blob], pa.binary())], ["bucket", "blob"])
 
     return run
 
 
-def repeats(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, run: np.ndarray, data: np.ndarray, length: int) -> pa.Table:
-    """Marks of the windows that a smaller document has too, among the phrases of one range."""
+@c.tidy
+def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc, tag, spans) of each document of a bucket."""
+    marks = [_marked(blob.as_py()) for batch in batches for blob in batch.column("blob")]
+    doc, tag, start, end = _union(*(np.concatenate(x) for x in zip(*marks, strict=True)))
+    at = np.flatnonzero((np.diff(doc, prepend=doc[:1] - 1) != 0) | (np.diff(tag, prepend=0) != 0))
+    spans = pa.ListArray.from_arrays(pa.array(np.append(at, len(doc)), pa.int32()), pa.array((start << 32) | end, pa.int64()))
+    yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(tag[at]), spans], ["doc", "tag", "spans"])
+
+
+def repeats(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, run: np.ndarray, data: np.ndarray, length: int) -> list[tuple[np.ndarray, ...]]:
+    """Marks (documents, tags, starts, ends) of the windows that a smaller document has too, among the phrases of one range."""
     size = run + length - 1
     at = np.cumsum(size) - size
     # the dictionary: equal phrases once, with their smallest document
@@ -323,7 +356,7 @@ def repeats(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, run: np.ndarray
     for lo, hi, base, sums in _parts(data, at, size):
         content[lo:hi] = c.span_hash(sums, at[lo:hi] - base, (at + size)[lo:hi] - base)
     whole = _copies(data, doc, at, size, content)
-    out = [_marks(doc[whole], tag[whole], start[whole], (start + size)[whole])]
+    out = [(doc[whole], tag[whole], start[whole], (start + size)[whole])]
     kept = np.flatnonzero(~whole)
     # the suffixes of its phrases that have a whole window
     window = c.ranges(at[kept], run[kept])
@@ -344,8 +377,8 @@ def repeats(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, run: np.ndarray
         b = np.flatnonzero(flag & (edge | ~np.append(False, flag[:-1])))
         e = np.flatnonzero(flag & (np.append(edge[1:], True) | ~np.append(flag[1:], False)))
         o = owner[b]
-        out.append(_marks(doc[o], tag[o], start[o] + window[b] - at[o], start[o] + window[e] - at[o] + length))
-    return pa.concat_tables(out)
+        out.append((doc[o], tag[o], start[o] + window[b] - at[o], start[o] + window[e] - at[o] + length))
+    return out
 
 
 def suffix_array(data: np.ndarray, window: np.ndarray, length: int, value: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -412,7 +445,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(doc, tag, spans): the byte spans of each document that repeat a smaller document's; and whether ids repeat.
 
     `tag` tells apart rows that share an id: it is 0 if no id is repeated, else a hash of
-    the text. A span is start * 2**32 + end; spans overlap and are in no order.
+    the text. A span is start * 2**32 + end; spans ascend and do not touch.
     """
     doc, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     total = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first()["b"] or 0
@@ -421,9 +454,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n_ranges = max(1, -(-total // RANGE_BYTES))
     rows = c.small_batches(docs).where(doc.isNotNull()).select(doc.cast("long").alias("doc"), tag.alias("tag"), text.alias("text"))
     heavy = heavy_keys(rows.select("text"), total, length)
-    sent = rows.mapInArrow(_parse(n_ranges, length, heavy), "bin long, marks boolean, blob binary")
-    marks = sent.groupBy("bin").applyInArrow(_order(length), "doc long, tag long, span long")
-    return marks.groupBy("doc", "tag").agg(F.collect_list("span").alias("spans")), again
+    n_buckets = max(1, -(-total // BUCKET_BYTES))
+    sent = rows.mapInArrow(_parse(n_ranges, n_buckets, length, heavy), "bin long, marks boolean, blob binary")
+    marks = sent.groupBy("bin").applyInArrow(_order(n_buckets, length), "bucket long, blob binary")
+    return marks.groupBy("bucket").applyInArrow(_gather, "doc long, tag long, spans array<long>"), again
 
 
 def merged(spans: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
