@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,8 @@ FIT_ROWS = 2500
 ROUNDS = 3
 EPOCHS = 3
 BATCH = 64
+#: Texts that the driver turns into numbers at once.
+FIT_TEXTS = 100
 SEED = 11
 #: Parts of a word: bytes from its start (+) or end (-).
 PARTS = (3, 4, 5, -3)
@@ -183,12 +186,15 @@ class Network:
 
     # -- training --------------------------------------------------------------------
 
-    def start(self, bins: np.ndarray, row: np.ndarray, label: np.ndarray) -> np.ndarray:
-        """Set the first inputs to smoothed log-odds; return each word's own, to find first windows by."""
+    def start(self, bins: np.ndarray, codes: np.ndarray, count: np.ndarray, label: np.ndarray) -> np.ndarray:
+        """Set the first inputs to smoothed log-odds; return each distinct word's own, to find first windows by."""
         total, odds = np.zeros(len(bins)), []
         size = (label == 0).sum(), (label == 1).sum()
+        ends = np.cumsum(count)
+        own = [np.unique(codes[b - n : b]) for b, n in zip(ends.tolist(), count.tolist(), strict=True)]
+        row, code = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own)
         for k in range(bins.shape[1]):
-            seen = np.unique(row.astype(np.int64) * WORD_BINS + bins[:, k])
+            seen = np.unique(row * WORD_BINS + bins[code, k])
             there, text = seen % WORD_BINS, seen // WORD_BINS
             good, bad = (np.bincount(there[label[text] == v], minlength=WORD_BINS) for v in (0, 1))
             odds.append(((np.log(bad + 0.5) - np.log(size[1] + 1) - np.log(good + 0.5) + np.log(size[0] + 1)) * np.minimum(1, bad / 4)).clip(0, 6).astype(np.float32))
@@ -199,22 +205,15 @@ class Network:
             total = np.maximum(total, odds[k][bins[:, k]])
         return total
 
-    def fit(self, bins: np.ndarray, count: np.ndarray, label: np.ndarray, seed: int = SEED) -> None:
-        """bins: the input bins of every word of the texts, in order; count: words of each text."""
+    def fit(self, distinct: np.ndarray, codes: np.ndarray, count: np.ndarray, label: np.ndarray, seed: int = SEED) -> None:
+        """distinct: the input bins of each distinct word; codes: which of them each word of the texts is, in order; count: words of each text."""
         rng = np.random.default_rng(seed)
-        offset = np.cumsum(count) - count
-        odds = self.start(bins, np.repeat(np.arange(len(count)), count), label)
+        odds = self.start(distinct, codes, count, label)
         row, first, size = windows(count)
-        first = first + offset[row]
-        sums = np.concatenate([[0], np.cumsum(odds)])
+        first = first + (np.cumsum(count) - count)[row]
+        sums = np.concatenate([[0], np.cumsum(odds[codes])])
         rank = (sums[first + size] - sums[first]) / 4
-        key = np.zeros(len(bins), np.uint64)
-        for k in range(bins.shape[1]):
-            key = c.mix(key + bins[:, k].astype(np.uint64) + np.uint64(1))
-        codes, known = pd.factorize(key.view(np.int64))
-        some = np.empty(len(known), np.int64)
-        some[codes] = np.arange(len(codes))
-        distinct = bins[some]
+        del sums
         moments: dict[str, list] = {}
         step = 0
         for turn in range(ROUNDS):
@@ -262,24 +261,44 @@ def fit(docs: DataFrame, labels: DataFrame, flag: str, learn: Column, rows: int
 
     @c.tidy
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            for lo, hi, data, offsets in c.blocks(batch.column(2)):
-                bins, codes, count = inputs(data, offsets)
-                ends = np.concatenate([[0], np.cumsum(count)]) * bins.shape[1]
-                yield pa.RecordBatch.from_arrays([batch.column(0)[lo:hi], batch.column(1)[lo:hi], pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(bins[codes].ravel()))], ["label", "place", "bins"])
+            raw, offsets = c.buffers(batch.column(2))
+            blobs = [packer.compress(raw[a:b].tobytes()) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blobs, pa.binary())], ["label", "place", "blob"])
 
     sample = c.labelled(docs, labels, flag, learn, rows, id_col, text_col)
-    found = sample.mapInArrow(run, "label int, place long, bins array<int>").toArrow().sort_by([("place", "ascending"), ("label", "ascending")]).combine_chunks()
+    # the driver holds the sample compressed, and of its words one number each
+    found = sample.mapInArrow(run, "label int, place long, blob binary").toArrow().sort_by([("place", "ascending"), ("label", "ascending")]).combine_chunks()
     label = found.column("label").to_numpy()
     if not len(label) or label.min() == label.max():
         return None
-    lists = found.column("bins").combine_chunks()
-    width = 1 + len(PARTS)
+    distinct, codes, count = _numbered(found.column("blob").combine_chunks())
     network = Network()
-    network.fit(lists.flatten().to_numpy().reshape(-1, width), np.diff(lists.offsets.to_numpy()) // width, label)
+    network.fit(distinct, codes, count, label)
     return network
 
 
+def _numbered(blobs: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(input bins of each distinct word, which of them each word is, words of each text) of compressed texts."""
+    bins, codes, count, known = [], [], [], 0
+    for k in range(0, len(blobs), FIT_TEXTS):
+        texts = [zstandard.ZstdDecompressor().decompress(x.as_py()) for x in blobs[k : k + FIT_TEXTS]]
+        own, code, n = inputs(np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in texts])]))
+        bins.append(own)
+        codes.append((code + known).astype(np.int32))
+        count.append(n)
+        known += len(own)
+    each = np.concatenate(bins)
+    key = np.zeros(len(each), np.uint64)
+    for k in range(each.shape[1]):
+        key = c.mix(key + each[:, k].astype(np.uint64) + np.uint64(1))
+    same, distinct = pd.factorize(key.view(np.int64))
+    some = np.empty(len(distinct), np.int64)
+    some[same] = np.arange(len(same))
+    return each[some], same.astype(np.int32)[np.concatenate(codes)], np.concatenate(count)
+
+
 def score(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), out: str = "score") -> DataFrame:
     """The id as `doc_id`, the columns `keep` by name, and the score, as column `out`, of each row."""
     spread = docs.sparkSession.sparkContext.broadcast(network)
