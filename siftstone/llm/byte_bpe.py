@@ -15,7 +15,6 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -118,9 +117,8 @@ def stretches(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return a[order], b[order], r[order]
 
 
-@lru_cache(maxsize=2)
 def codec(path: str, pattern: str) -> Codec:
-    return Codec(path, pattern)
+    return c.kept(("byte_bpe", path, pattern), lambda: Codec(path, pattern))
 
 
 def _lists(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
@@ -170,7 +168,7 @@ def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id", i
 def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """encode() and decode() of each row in one pass, as counts and SHA-256 digests."""
 
-    @c.tidy
+    @c.tidy_keeping
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Callable[[str, str], Codec] = codec(path, pattern)
         for batch in batches:

@@ -87,21 +87,53 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A task's function that gives freed memory back to the system at its end, as Python workers outlive tasks."""
+_kept: dict[tuple[str, ...], object] = {}
+
+
+def kept(key: tuple[str, ...], make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task: the last thing made."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
+def give_back() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def forget() -> None:
+    """Drop what the worker keeps."""
+    if _kept:
+        _kept.clear()
+        give_back()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], keeps: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A task's function that gives freed memory back to the system at its end, as Python workers outlive tasks.
+
+    Unless it `keeps` something itself, it first drops what another operator's tasks have left in the worker.
+    """
 
     @functools.wraps(run)
     def wrapped(batches):
+        if not keeps:
+            forget()
         yield from run(batches)
-        pa.default_memory_pool().release_unused()
-        try:
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
-        except (OSError, AttributeError):  # another C library
-            pass
+        give_back()
 
     return wrapped
 
 
+def tidy_keeping(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    return tidy(run, keeps=True)
+
+
 # -- Arrow text ---------------------------------------------------------------------
 
 

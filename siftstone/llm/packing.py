@@ -16,7 +16,6 @@ from __future__ import annotations
 import json
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,9 +75,8 @@ class Encoder:
         return np.insert(ids, ends[1:], end_id), ends + np.arange(n + 1)
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    return c.kept(("packing", path), lambda: Encoder(path))
 
 
 def cuts(n: np.ndarray, limit: int = LIMIT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -100,7 +98,7 @@ def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "te
     if limit < 1 or limit & (limit - 1):
         raise ValueError("the limit must be a power of two")
 
-    @c.tidy
+    @c.tidy_keeping
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:

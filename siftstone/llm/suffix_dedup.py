@@ -359,19 +359,26 @@ def repeats(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, run: np.ndarray
     out = [(doc[whole], tag[whole], start[whole], (start + size)[whole])]
     kept = np.flatnonzero(~whole)
     # the suffixes of its phrases that have a whole window
-    window = c.ranges(at[kept], run[kept])
+    narrow = np.int32 if len(data) < 1 << 31 else np.int64
+    window = np.repeat((at[kept] - (np.cumsum(run[kept]) - run[kept])).astype(narrow), run[kept])
+    window += np.arange(len(window), dtype=narrow)
     owner = np.repeat(kept.astype(np.int32), run[kept])
-    value = []
+    value, done = np.empty(len(window), U64), 0
     for lo, hi, base, sums in _parts(data, at, size):
         own = lo + np.flatnonzero(~whole[lo:hi])
         here = c.ranges(at[own] - base, run[own])
-        value.append(c.span_hash(sums, here, here + length))
-    order, fresh = suffix_array(data, window, length, np.concatenate(value))
-    if len(order):
+        value[done : done + len(here)] = c.span_hash(sums, here, here + length)
+        done += len(here)
+    order, fresh = suffix_array(data, window, length, value)
+    del value
+    # windows of their own decide nothing
+    slot = np.flatnonzero(~fresh | np.append(~fresh[1:], False))
+    if len(slot):
+        order = order[slot]
         who = doc[owner[order]]
-        cut = np.flatnonzero(fresh)
+        cut = np.flatnonzero(fresh[slot])
         later = who > np.repeat(np.minimum.reduceat(who, cut), np.diff(np.append(cut, len(who))))
-        flag = np.zeros(len(order), bool)
+        flag = np.zeros(len(window), bool)
         flag[order[later]] = True
         edge = np.append(True, owner[1:] != owner[:-1])
         b = np.flatnonzero(flag & (edge | ~np.append(False, flag[:-1])))
@@ -387,13 +394,15 @@ def suffix_array(data: np.ndarray, window: np.ndarray, length: int, value: np.nd
     `value` has hashes of these bytes: ties of one hash are not ordered any further, but compared once.
     """
     if not len(window):
-        return np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, window.dtype), np.zeros(0, bool)
     eight = np.ndarray((len(data) + 1,), ">u8", np.concatenate([data, np.zeros(8, np.uint8)]), strides=(1,))
     depth = min(8, length)
-    key = eight[window].astype(U64) >> U64(64 - 8 * depth)
-    order = np.argsort(key)
+    key = eight[window].byteswap(inplace=True).view(U64)
+    key >>= U64(64 - 8 * depth)
+    order = np.argsort(key).astype(window.dtype)
     key = key[order]
     fresh = np.append(True, key[1:] != key[:-1])
+    del key
     slot = np.flatnonzero(~fresh | np.append(~fresh[1:], False))
     while depth < length and len(slot):
         if value is not None:
