@@ -124,6 +124,12 @@ def latest_votes(stream: DataFrame, target: str, user: str, vote: str, order: st
     return stream.groupBy(target, user).agg(F.max_by(vote, order).alias(vote))
 
 
+def reaction_counts(stream: DataFrame, target: str, user: str, emoji: str, own: int) -> DataFrame:
+    """(target, ups, downs), for complete mode: every thumb that others add counts, repeats too."""
+    rows = stream.where(F.col(emoji).isin("👍", "👎") & (F.col(user) != own))
+    return rows.groupBy(target).agg(F.count_if(F.col(emoji) == "👍").alias("ups"), F.count_if(F.col(emoji) == "👎").alias("downs"))
+
+
 def repeated_dropped(stream: DataFrame, keys: list[str], ts: str, late: str = "1 hour") -> DataFrame:
     """A stream without exact repeats of a key within the watermark."""
     return stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)

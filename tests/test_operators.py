@@ -271,3 +271,26 @@ def test_a_hop_takes_headers_first_and_searches_for_the_rest(spark):
 def test_faithfulness_needs_all_parts_of_a_quote(spark):
     parts = spark.createDataFrame([(1, 1, 0, 1.0), (1, 1, 1, 0.9), (1, 2, 0, 0.99)], "answer int, quote int, part int, score double")
     assert [(r.quotes, r.quote_faithfulness) for r in grounding.faithfulness(parts, "quote", "answer").collect()] == [(2, 0.5)]
+
+
+def test_result_cache_forgets(spark):
+    from datetime import datetime, timedelta
+
+    from siftstone.operators.messages import cache_trace
+
+    at = datetime(2024, 1, 1)
+    rows = [(1, " Ab", "u", 0), (2, "aB ", "u", 300), (3, "ab", "u", 301), (4, "ab", "v", 302), (5, "ab", "u", 601), (6, "ab", "u", 602)]
+    df = spark.createDataFrame([(n, q, x, at + timedelta(seconds=s)) for n, q, x, s in rows] + [(7, "ab", "u", None)], "id long, q string, x string, ts timestamp")
+    assert {r.id: r.hit for r in cache_trace(df, "q", "x", "ts", "id").collect()} == {1: False, 2: True, 3: False, 4: False, 5: True, 6: False, 7: False}
+
+
+def test_messages_and_blocks(spark):
+    from siftstone.operators import messages
+
+    long = "a" * 1899
+    texts = ["short. one", f"{long}. {long}. b", "x " * 1001, "one<!--CACHE_BREAK--> <!--CACHE_BREAK-->two", "<!--CACHE_BREAK-->", "", None]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(texts)], "id int, text string")
+    found = {r.id: (r.m, r.b) for r in df.select("id", messages.packed(F.col("text")).alias("m"), messages.cache_blocks(F.col("text")).alias("b")).collect()}
+    assert found[0][0] == ["short. one"] and found[1][0] == [long + ".", long + ".", "b."] and found[2][0] == [("x " * 1001).strip() + " ."]
+    assert [tuple(x) for x in found[3][1]] == [("one", True), ("two", False)] and [tuple(x) for x in found[4][1]] == [(texts[4], False)]
+    assert found[5][0] == [""] and [tuple(x) for x in found[0][1]] == [("short. one", False)]
