@@ -1,6 +1,6 @@
 """BM25 of a set of queries over a table of texts.
 
-The index keeps each text's tokens in its row, and document counts by term. A search keeps only the
+The index keeps each text's tokens in its row, and document counts by term, as saved tables. A search keeps only the
 tokens that a query asks for before anything is shuffled, so what moves is candidates and not the
 postings of the corpus; each query's best documents are cut at k partly before the shuffle.
 """
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .sizes import small
+from ..sources.scratch import saved
+from .sizes import BROADCAST_ROWS
 
 K1, B, IDF_FLOOR = 1.6, 0.8, 0.25
 
@@ -33,11 +34,23 @@ def chunk_text(text: str, header: str, summary: str) -> Column:
     return F.when(F.coalesce(F.col(summary), F.lit("")) != "", F.concat(both, F.lit(" "), F.col(summary))).otherwise(both)
 
 
-def index(docs: DataFrame, id_col: str, text_col: str) -> Index:
-    """Idf is ln((docs - df + 0.5) / (df + 0.5)); negative ones become IDF_FLOOR times the mean of all."""
-    words = docs.select(F.col(id_col).alias("id"), T.tokens(F.col(text_col)).alias("w"))
-    totals = words.agg(F.count("*").alias("docs"), F.avg(F.size("w")).alias("mean_size"))
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+#: Keys beside the terms in the table of counts; no token is like them.
+DOCS, TOKENS = "", " "
+
+
+def index(docs: DataFrame, id_col: str, text_col: str | Column) -> Index:
+    """Idf is ln((docs - df + 0.5) / (df + 0.5)); negative ones become IDF_FLOOR times the mean of all.
+
+    Texts are cut into tokens once, which are saved, and so are the counts of documents by term; counts of all documents
+    and tokens come from the same pass. Every search reads these.
+    """
+    text = F.col(text_col) if isinstance(text_col, str) else text_col
+    words = saved(docs.select(F.col(id_col).alias("id"), T.tokens(text).alias("w")))
+    seen = words.select(F.size("w").alias("size"), F.explode(F.concat(F.array_distinct("w"), F.array(F.lit(DOCS), F.lit(TOKENS)))).alias("term"))
+    counts = saved(seen.groupBy("term").agg(F.sum(F.when(F.col("term") == TOKENS, F.col("size")).otherwise(1)).alias("df")))
+    of = lambda key: F.max(F.when(F.col("term") == key, F.col("df")))
+    totals = counts.agg(F.coalesce(of(DOCS), F.lit(0)).alias("docs"), (of(TOKENS) / of(DOCS)).alias("mean_size"))
+    df = counts.where(~F.col("term").isin(DOCS, TOKENS))
     raw = df.crossJoin(F.broadcast(totals.select("docs"))).select("term", "df", (F.log(F.col("docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean_idf"))
     terms = raw.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, IDF_FLOOR * F.col("mean_idf")).otherwise(F.col("raw")).alias("idf"))
@@ -45,11 +58,15 @@ def index(docs: DataFrame, id_col: str, text_col: str) -> Index:
 
 
 def hits(queries: DataFrame, index: Index, id_col: str, text_col: str) -> DataFrame:
-    """(query_id, id, times, idf, tf, size, mean_size) for each term that a query and a text share."""
+    """(query_id, id, times, idf, tf, size, mean_size) for each term that a query and a text share.
+
+    What the queries ask decides what is broadcast: a term has one row in the index at most.
+    """
     asked = queries.select(F.col(id_col).alias("query_id"), F.explode(T.tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    words = index.words.select("id", F.size("w").alias("size"), F.explode("w").alias("term")).join(small(asked.select("term").distinct()), "term", "left_semi")
+    few = F.broadcast if asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else lambda df: df
+    words = index.words.select("id", F.size("w").alias("size"), F.explode("w").alias("term")).join(few(asked.select("term").distinct()), "term", "left_semi")
     found = words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("size").alias("size"))
-    return found.join(small(asked.join(index.terms, "term")), "term").crossJoin(F.broadcast(index.totals.select("mean_size")))
+    return found.join(few(asked.join(index.terms, "term")), "term").crossJoin(F.broadcast(index.totals.select("mean_size")))
 
 
 def scores(queries: DataFrame, index: Index, id_col: str, text_col: str, k1: float = K1, b: float = B) -> DataFrame:

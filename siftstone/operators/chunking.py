@@ -26,9 +26,12 @@ def front_value(front: Column, key: str) -> Column:
     return F.regexp_extract(front, rf"(?m)^{key}: *(.*)$", 1)
 
 
+WHOLE_FRONT = r"\A[^\S\n]*---[^\S\n]*\n(?s:.*?\n)??[^\S\n]*---[^\S\n]*(?:\n|\z)\s*"
+
+
 def without_front(text: Column) -> Column:
-    """The text after a frontmatter whose first line is the mark alone."""
-    return F.when(text.rlike(r"\A\s*---[^\S\n]*\n(?s:.*?)\n[^\S\n]*---[^\S\n]*(\n|\z)"), F.regexp_replace(text, r"\A\s*---[^\S\n]*\n(?s:.*?)\n[^\S\n]*---[^\S\n]*(\n|\z)\s*", "")).otherwise(text)
+    """The text after a frontmatter whose very first line is the mark alone."""
+    return F.regexp_replace(text, WHOLE_FRONT, "")
 
 
 def validated(docs: DataFrame, text_col: str) -> DataFrame:
@@ -62,10 +65,12 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, level: int = 2) -> DataF
     """
     if not 2 <= level <= 4:
         raise ValueError("chunk levels are 2 to 4")
-    body = without_front(F.col(text_col))
-    # a header needs a title: without one in the whole text nothing is cut
-    cut = body.rlike(rf"(?m)^#{{2,{level}}} .+$")
-    lines = docs.select(id_col, F.transform(F.split(body, "\n"), lambda x: F.struct(x.alias("line"), F.when(cut & header_level(x).between(2, level), header_level(x)).otherwise(0).alias("level"))).alias("_l"))
+    body = docs.select(id_col, without_front(F.col(text_col)).alias("_body"))
+    # a header needs a title: without one in the whole text nothing is cut; that is asked once, outside the lines
+    cut = F.col("_body").rlike(rf"(?m)^#{{2,{level}}} .+$")
+    line = lambda x, level: F.struct(x.alias("line"), level.cast("int").alias("level"))
+    leveled = F.transform(F.split("_body", "\n"), lambda x: line(x, F.when(header_level(x).between(2, level), header_level(x)).otherwise(0)))
+    lines = body.select(id_col, F.when(cut, leveled).otherwise(F.transform(F.split("_body", "\n"), lambda x: line(x, F.lit(0)))).alias("_l"))
     n = F.size("_l")
     starts = F.filter(F.sequence(F.lit(1), n), lambda i: (i == 1) | (F.get("_l", i - 1)["level"] > 0))
     df = lines.withColumn("_s", starts)

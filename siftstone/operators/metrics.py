@@ -46,28 +46,33 @@ RUN = 5
 
 def _runs(words: str) -> Column:
     """Hashes of every RUN words in a row; an empty array for fewer."""
-    last = F.size(words) - RUN
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(RUN))))).otherwise(F.array().cast("array<bigint>"))
+    last = F.size(words) - RUN + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), last), lambda i: F.xxhash64(F.slice(words, i, RUN)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def found_in(truths: DataFrame, texts: DataFrame, truth: str, text: str) -> DataFrame:
-    """Pairs of a ground truth and a text that contains it, both in their normal form.
+def found_in(truths: DataFrame, texts: DataFrame, truth: str, text: str, truth_id: str | None = None, text_id: str | None = None) -> DataFrame:
+    """Pairs of a ground truth and a text that contains it, both in their normal form; ids, by default the first columns, tell the rows of each side apart.
 
     A truth is looked for only in texts that have its anchor, the least hash of its runs of RUN words
-    between its first and last word (which may stand inside other words of a text). The truths that
-    are too short for one are compared with every text; those and the anchors are broadcast behind a
-    check of their size.
+    between its first and last word (which may stand inside other words of a text). Runs meet anchors by ids alone; the
+    texts are joined with the pairs that are left. Truths that are too short for an anchor, if there are any, are compared
+    with every text. Truths, anchors and pairs are broadcast behind a check of their size.
     """
+    truth_id, text_id = truth_id or truths.columns[0], text_id or texts.columns[0]
     a = truths.withColumn("_truth", T.normal_for_matching(F.col(truth)))
     inner = F.split("_truth", " ")
     a = a.withColumn("_inner", F.slice(inner, 2, F.greatest(F.size(inner) - 2, F.lit(0)))).withColumn("_anchor", F.array_min(_runs("_inner"))).drop("_inner")
-    b = texts.withColumn("_text", T.normal_for_matching(F.col(text)))
-    short = b.join(small(a.where("_anchor is null"), SHORT_TRUTHS).drop("_anchor"), F.contains("_text", "_truth"))
-    words = b.withColumn("_words", F.split("_text", " "))
-    anchors = a.where("_anchor is not null")
-    run = words.withColumn("_run", F.explode(F.array_distinct(_runs("_words")))).drop("_words")
-    long = run.join(small(anchors), F.col("_run") == F.col("_anchor")).where(F.contains("_text", "_truth")).drop("_run", "_anchor")
-    return short.unionByName(long)
+    normal = T.normal_for_matching(F.col(text))
+    words = texts.select(text_id, F.split(normal, " ").alias("_words"))
+    anchors = a.where("_anchor is not null").select(truth_id, "_anchor")
+    run = words.select(text_id, F.explode(_runs("_words")).alias("_run"))
+    pairs = run.join(small(anchors), F.col("_run") == F.col("_anchor")).select(text_id, truth_id).distinct()
+    near = texts.join(pairs, text_id).join(small(a.drop("_anchor")), truth_id)
+    found = near.where(F.contains(normal, F.col("_truth")))
+    short = a.where("_anchor is null").drop("_anchor")
+    if short.limit(1).count():
+        found = found.unionByName(texts.join(small(short, SHORT_TRUTHS), F.contains(normal, F.col("_truth"))))
+    return found
 
 
 def weight(priority: Column) -> Column:

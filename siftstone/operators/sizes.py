@@ -16,6 +16,19 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+#: A table of fewer bytes for each core is dealt out anew before work on its texts.
+SPREAD_BYTES = 32 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """The table, dealt over all cores if it is small: a file of one row group is one task, however many cores there are.
+
+    Tables of SPREAD_BYTES a core and more have enough row groups and are left as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) < SPREAD_BYTES * cores else df
+
+
 def blocks_of(df: DataFrame, key: str, rows: int) -> list[DataFrame]:
     """The table in broadcast blocks of about `rows` rows each."""
     n = max(1, -(-df.count() // rows))

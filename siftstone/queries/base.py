@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.sizes import spread
+
 REGISTRY: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
 
+#: Tables whose rows cost much more to work on than to move.
+TEXTS = ("documents",)
+
 
 class Tables:
     """The tables of a folder, by name."""
@@ -16,7 +21,8 @@ class Tables:
         self._spark, self._folder = spark, folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        df = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return spread(df) if name in TEXTS else df
 
 
 def query(sql: str | None = None):

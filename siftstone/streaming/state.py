@@ -7,8 +7,6 @@ batches the state carries on. Checkpoints and results live in the shared folder
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -16,22 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..sources.scratch import folder
 from ..operators.analytics import BURST, LIMIT, WINDOW_SECONDS
 
 MEMORY, MEMORY_SECONDS = 10, 1800
 
 
-def work_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a local one only where that is unset on a local master."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="siftstone-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """A table, one file or a folder, as a stream; a path in the form of a pattern may be a single file."""
     return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]")
@@ -39,7 +27,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def run_available(stream: DataFrame, complete: bool = False) -> DataFrame:
     """All that is there now, run to its end; with `complete` each batch replaces the result of the one before."""
-    spark, place = stream.sparkSession, work_dir(stream.sparkSession)
+    spark, place = stream.sparkSession, folder(stream.sparkSession, "stream")
     writer = stream.writeStream.option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True)
     if complete:
         writer = writer.outputMode("complete").foreachBatch(lambda df, n: df.write.mode("overwrite").parquet(f"{place}/result"))
