@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..functions.fuzzy import may_reach, ratio
+from .likeness import alike
 from .sizes import small
 
 PUNCTUATION = ".,!?;:()[]{}\"'-"
@@ -116,9 +116,8 @@ def matched_teams(queries: DataFrame, table: DataFrame, id_col: str, text_col: s
 def fuzzy_teams(queries: DataFrame, names: DataFrame, id_col: str, text_col: str, name: str, least: float = TEAM_RATIO) -> DataFrame:
     """(id, word, team): for each word of MIN_WORD and more the best name of enough ratio, cases told apart."""
     words = queries.select(id_col, F.explode(F.array_distinct(F.split(F.lower(T.squeeze(F.col(text_col))), " "))).alias("word")).where(F.length("word") >= MIN_WORD)
-    distinct = words.select("word").distinct()
-    near = distinct.join(small(names.select(F.col(name).alias("team")).distinct(), 100_000), may_reach(F.col("word"), F.col("team"), least))
-    best = near.withColumn("r", ratio(F.col("word"), F.col("team"))).where(F.col("r") >= least).groupBy("word").agg(F.max_by("team", F.struct("r", "team")).alias("team"))
+    near = alike(words, names.select(F.col(name).alias("team")), "word", "team", least)
+    best = near.groupBy("word").agg(F.max_by("team", F.struct("r", "team")).alias("team"))
     return words.join(best, "word").select(id_col, "word", "team")
 
 
@@ -126,7 +125,7 @@ def header_lookup(titles: DataFrame, headers: DataFrame, id_col: str, title: str
     """(id, chunk, score): the first chunk of the header that is most like the title, if like enough."""
     first = headers.groupBy(F.lower(F.trim(header)).alias("h")).agg(F.min_by(chunk_id, ordinal).alias("chunk"), F.min(ordinal).alias("o"))
     asked = titles.select(id_col, F.lower(F.trim(title)).alias("q"))
-    near = first.join(small(asked, 100_000), may_reach(F.col("q"), F.col("h"), least)).withColumn("r", ratio(F.col("q"), F.col("h"))).where(F.col("r") >= least)
+    near = asked.where("q <> ''").join(alike(asked, first, "q", "h", least), "q").join(first, "h")
     return near.groupBy(id_col).agg(F.max_by("chunk", F.struct("r", -F.col("o"))).alias("chunk"), F.round(F.max("r") / 100, 6).alias("score"))
 
 
@@ -138,8 +137,7 @@ def alias_teams(queries: DataFrame, aliases: DataFrame, id_col: str, text_col: s
     words = lambda x: F.filter(F.array_distinct(F.split(F.trim(x), r"\s+")), lambda w: (F.length(w) >= MIN_WORD) & ~w.isin(STOP_WORDS))
     asked = low.select(id_col, F.explode(words("_q")).alias("word"))
     parts = known.select("team", F.explode(F.filter(F.split("_a", r"\s+"), lambda w: F.length(w) >= MIN_WORD)).alias("part"))
-    pairs = asked.select("word").distinct().join(small(parts.select("part").distinct(), 100_000), may_reach(F.col("word"), F.col("part"), least))
-    like = pairs.where(ratio(F.col("word"), F.col("part")) >= least)
+    like = alike(asked, parts, "word", "part", least).select("word", "part")
     return exact.union(asked.join(like, "word").join(parts, "part").select(id_col, "team")).distinct()
 
 

@@ -243,15 +243,17 @@ def entity_match_abilities(t: Tables) -> DataFrame:
 
 @query()
 def fuzzy_header_match(t: Tables) -> DataFrame:
-    """The document whose first line is most like a benchmark text's first line."""
+    """The document whose first line is most like that of every twentieth document without each seventh character, at a likeness of 85."""
     heads = t.documents.select("doc_id", _first_line().alias("h"))
-    return terms.header_lookup(t.benchmark.select("item_id", _first_line().alias("q")), heads, "item_id", "q", "doc_id", "h", "doc_id", 60)
+    asked = heads.where("doc_id % 20 = 0").select("doc_id", F.regexp_replace("h", "(.{6}).", "$1").alias("q"))
+    return terms.header_lookup(asked, heads.withColumnRenamed("doc_id", "chunk_id"), "doc_id", "q", "chunk_id", "h", "chunk_id")
 
 
 @query()
 def fuzzy_team_names(t: Tables) -> DataFrame:
-    """Words of benchmark texts that are like words of parts' names."""
-    return terms.fuzzy_teams(t.benchmark, t.part.select(F.explode(F.split("p_name", " ")).alias("name")), "item_id", "text", "name", 60)
+    """Words of every twentieth part's name without their third letter, and the words of all names that are like them at 80."""
+    asked = t.part.where("p_partkey % 20 = 0").select("p_partkey", F.regexp_replace("p_name", r"(\w\w)\w(\w)", "$1$2").alias("text"))
+    return terms.fuzzy_teams(asked, t.part.select(F.explode(F.split("p_name", " ")).alias("name")), "p_partkey", "text", "name")
 
 
 @query()
