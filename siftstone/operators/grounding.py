@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.fuzzy import ratio, windows
+from ..functions.places import spans
 
 
 def grounded(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, key: str, text_id: str, text: str, least: float = 0.85) -> DataFrame:
@@ -30,6 +31,17 @@ def grounded(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, key
     return best.select(quote_id, "part", "source", score.alias("score"), (score >= least).alias("valid"))
 
 
+def located(quotes: DataFrame, texts: DataFrame, quote_id: str, quote: str, key: str, text_id: str, text: str) -> DataFrame:
+    """(quote_id, part, source, start, end, shown): parts of quotes as grounded() cuts them, with their place in each text of their key that has them.
+
+    Whether a text has a part is asked in normal form by Spark; only pairs that fit go on to the map of places.
+    """
+    parts = quotes.select(quote_id, key, F.posexplode(F.split(quote, r"\[\.\.\.\]")).alias("part", "_p")).withColumn("_p", T.normal_quote(F.col("_p"))).where("_p <> ''")
+    own = texts.select(key, F.col(text_id).alias("source"), F.col(text).alias("_raw"))
+    both = parts.join(own, key).where(F.contains(T.normal_quote(F.col("_raw")), F.col("_p")))
+    return both.withColumn("_s", spans(F.col("_p"), F.col("_raw"))).select(quote_id, "part", "source", "_s.start", "_s.end", "_s.shown")
+
+
 def faithfulness(parts: DataFrame, quote_id: str, key: str, least: float = 0.98) -> DataFrame:
     """(key, quotes, quote_faithfulness) from grounded(): the share of a key's quotes all parts of which score enough."""
     whole = parts.groupBy(key, quote_id).agg(F.min("score").alias("score"))

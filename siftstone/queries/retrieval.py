@@ -264,6 +264,17 @@ def quote_grounding(t: Tables) -> DataFrame:
     return grounding.grounded(t.benchmark.select("item_id", "text"), texts.select("item_id", "doc_id", "text").withColumnRenamed("text", "body"), "item_id", "text", "item_id", "doc_id", "body")
 
 
+@query(r"""WITH q AS (SELECT item_id, '(?is)\s*' || array_to_string(list_transform(string_split_regex(trim(text, ' ' || chr(10)), '\s+'), lambda x: regexp_escape(x)), '\s+') AS p FROM benchmark),
+f AS (SELECT item_id, doc_id, regexp_extract(text, p || '.{0,100}') AS shown, text FROM q, documents WHERE regexp_matches(text, p))
+SELECT item_id, doc_id, strpos(text, shown) - 1 AS start, shown FROM f""")
+def quote_spans(t: Tables) -> DataFrame:
+    """Where each document has a benchmark text, and what is shown of it."""
+    pairs = metrics.found_in(t.benchmark.select("item_id", F.col("text").alias("quote")), t.documents.select("doc_id", "text"), "quote", "text")
+    both = pairs.select("item_id", "quote", "doc_id", "text").withColumn("key", F.struct("item_id", "doc_id"))
+    found = grounding.located(both.select("item_id", "quote", "key"), both.select("key", "doc_id", "text"), "item_id", "quote", "key", "doc_id", "text")
+    return found.select("item_id", F.col("source").alias("doc_id"), "start", "shown")
+
+
 @query(f"""WITH {bm25_sql(k=15)}, h0 AS (SELECT *, 0 AS hop FROM bm), miss AS (SELECT query_id FROM h0 GROUP BY 1 HAVING max(score) < 60),
 a2 AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest(regexp_extract_all(lower(substr(text, 1, 60)), {TOK})) AS term FROM benchmark WHERE item_id IN (FROM miss)) GROUP BY ALL),
 s2 AS (SELECT query_id, id, round(sum(times * idf * tf * 2.6 / (tf + 1.6 * (1 - 0.8 + 0.8 * size / mean_size))), 6) AS score FROM a2 JOIN terms USING (term) JOIN post USING (term), tot GROUP BY ALL),
