@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from . import shapes
 from .metrics import weight
 
 CUT, SHOWN = 500, 120
 MERGE = " [...] "
-QUOTES = "array<struct<quote_title: string, quote_text: string, chunk_id: string>>"
 ANSWER = "smalltalk boolean, short_answer string, persona_short_answer string, quotes string, explanation string, persona_afterword string"
 
 #: Fixed: what an error's text has, and what a user is told; the first that fits.
@@ -52,15 +52,12 @@ def titles(text: Column) -> Column:
 
 
 def parsed(rows: DataFrame, json: str) -> DataFrame:
-    """Adds the fields of an answer and `valid`, whether all six are there; quotes may be a list or the JSON text of one."""
-    df = rows.withColumn("_a", F.from_json(json, ANSWER))
-    names = [x.split(" ")[0] for x in ANSWER.split(", ")]
-    quotes = F.from_json("_a.quotes", QUOTES)
-    full = [F.col(f"_a.{x}").isNotNull() for x in names if x != "quotes"] + [quotes.isNotNull()]
-    valid = full[0]
-    for x in full[1:]:
-        valid = valid & x
-    return df.select(*rows.columns, *(F.col(f"_a.{x}").alias(x) for x in names if x != "quotes"), quotes.alias("quotes"), F.coalesce(valid, F.lit(False)).alias("valid"))
+    """Adds the fields of an answer, `faults` and `valid`: whether it has the shape of an answer, see shapes.shaped."""
+    df = shapes.shaped(rows.withColumn("_json", F.col(json)), "_json").withColumn("_a", F.try_parse_json("_json"))
+    names = [x.split(" ") for x in ANSWER.split(", ")]
+    fields = [F.try_variant_get("_a", f"$.{x}", kind).alias(x) for x, kind in names if x != "quotes"]
+    quote = lambda q: F.struct(*(F.try_variant_get(q, f"$.{k}", "string").alias(k) for k in ("quote_title", "quote_text")), F.coalesce(F.try_variant_get(q, "$.chunk_id", "string"), F.lit("")).alias("chunk_id"))
+    return df.select(*rows.columns, *fields, F.transform("quotes", quote).alias("quotes"), "faults", (F.size("faults") == 0).alias("valid"))
 
 
 def merged_quotes(answers: DataFrame, key: str) -> DataFrame:
@@ -129,9 +126,12 @@ def missing_truths(truths: DataFrame, texts: DataFrame, key: str, truth: str, te
     return left.select(*truths.columns, F.when(F.length(truth) > SHOWN, F.concat(F.substring(truth, 1, SHOWN), F.lit("..."))).otherwise(F.col(truth)).alias("shown"))
 
 
-def judged(scores: DataFrame, answers: DataFrame, test: str, key: str, score: str, priority: str) -> DataFrame:
-    """(test, answer_correctness): the judge's scores, weighted by the priority of the answer with that key in any case; other keys are left out."""
-    known = answers.select(F.col(test).alias("_test"), F.lower(key).alias("_key"), weight(F.col(priority)).alias("_w"))
+def judged(scores: DataFrame, answers: DataFrame, test: str, key: str, score: str, priority: str, order: str | None = None) -> DataFrame:
+    """(test, answer_correctness): the judge's scores, weighted by the priority of the answer with that key in any case; other keys are left out.
+
+    Of a test's answers whose keys differ by case only, the last by `order` counts, by default the greatest key.
+    """
+    known = answers.groupBy(F.col(test).alias("_test"), F.lower(key).alias("_key")).agg(F.max_by(weight(F.col(priority)), F.struct(order or key, priority)).alias("_w"))
     hit = scores.join(known, (F.col(test) == F.col("_test")) & (F.lower(key) == F.col("_key")), "left")
     total = F.sum("_w")
     return hit.groupBy(test).agg(F.round(F.coalesce(F.try_divide(F.sum(F.col(score) * F.col("_w")), total), F.lit(0.0)), 6).alias("answer_correctness"))

@@ -88,6 +88,13 @@ def chunks(docs: DataFrame, id_col: str, text_col: str, level: int = 2) -> DataF
     )
 
 
+def chunk_count(text: Column, level: int = 2) -> Column:
+    """How many chunks chunks() makes of a text; null for null."""
+    body = without_front(text)
+    starts = F.size(F.filter(F.slice(F.split(body, "\n"), 2, 1_000_000_000), lambda x: header_level(x).between(2, level)))
+    return F.when(text.isNull(), None).when(body.rlike(rf"(?m)^#{{2,{level}}} .+$"), starts + 1).otherwise(1)
+
+
 def with_ids(chunked: DataFrame, document_id: str) -> DataFrame:
     """Adds chunk_id: the uuid5 of position and header in the document's id."""
     return chunked.withColumn("chunk_id", T.uuid5_in(F.col(document_id), F.concat(F.col("position").cast("string"), F.lit(":"), F.col("header"))))

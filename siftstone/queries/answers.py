@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import answers as A
-from ..operators import chunking, evaluation, hierarchy, terms
+from ..operators import chunking, evaluation, hierarchy, shapes, terms
 from ..operators import invariants as I
 from .base import Tables, query
 from .texts import NORMAL
@@ -72,6 +72,59 @@ def answer_markdown(t: Tables) -> DataFrame:
     return good.select("conv_id", F.md5(A.markdown(c("short_answer"), c("persona_short_answer"), c("quotes"), c("explanation"), c("persona_afterword"))).alias("digest"))
 
 
+#: Answers with faults: what to do to a good one, by doc_id modulo their number, and what is said of it.
+BROKEN = [
+    ("", ""), ("cut", "json"), ("drop:explanation", "missing:explanation"), ("drop:quotes", "missing:quotes"), ("quotes:{}", "quotes:list"), ("quotes:\"[]\"", ""), ("quotes:\"[1,\"", "quotes:json"), ("quotes:[{\"quote_text\":\"x\"}]", "quote:0"),
+    ("quotes:[{\"quote_text\":\"x\",\"quote_title\":\" \"},{\"quote_text\":5,\"quote_title\":\"t\"}]", "blank:0:quote_title,blank:1:quote_text"), ("quotes:[3]", "quote:0"), ("short_answer:\"\"", "blank:short_answer"), ("persona_afterword:null", "blank:persona_afterword"),
+    ("quotes:null", "quotes:list"), ("smalltalk:null", ""), ("explanation:[]", ""), ("quotes:\"[] ,\"", ""),
+]
+
+
+def _broken(t: Tables) -> DataFrame:
+    """An answer in JSON for each document with keys in order, with the fault of its turn."""
+    k = (c("doc_id") % len(BROKEN)).cast("int")
+    q = F.array(F.struct(c("source").alias("chunk_id"), c("text").alias("quote_text"), c("lang").alias("quote_title")))
+    plain = {"explanation": F.to_json(F.array("text")), "persona_afterword": F.lit('"Done."'), "persona_short_answer": F.lit('"So."'), "quotes": F.to_json(q), "short_answer": F.lit('"Yes."'), "smalltalk": F.lit("false")}
+    plain["explanation"] = F.regexp_replace(plain["explanation"], r"^\[|\]$", "")
+    fault = F.get(F.array(*(F.lit(x) for x, _ in BROKEN)), k)
+    name, value = F.substring_index("fault", ":", 1), F.expr("substring(fault, instr(fault, ':') + 1)")
+    rows = t.documents.select("doc_id", "text", fault.alias("fault"), *(x.alias(f"_{n}") for n, x in plain.items()))
+    field = lambda n: F.when(c("fault") == f"drop:{n}", None).otherwise(F.concat(F.lit(f'"{n}":'), F.when(name == n, value).otherwise(c(f"_{n}"))))
+    whole = F.concat(F.lit("{"), F.concat_ws(",", *(field(n) for n in plain)), F.when(c("fault") == "cut", "").otherwise("}"))
+    return rows.select("doc_id", "text", whole.alias("json"))
+
+
+@query(f"""WITH f(i, x) AS (VALUES {", ".join(f"({k}, '{x}')" for k, (_, x) in enumerate(BROKEN))}) SELECT doc_id, x AS faults, x = '' AS valid, CASE WHEN x IN ('', 'missing:explanation') OR x LIKE 'blank%' OR x LIKE 'quote:%' THEN CASE doc_id % {len(BROKEN)} WHEN 5 THEN 0 WHEN 15 THEN 0 WHEN 8 THEN 2 ELSE 1 END END::INT AS quotes FROM documents JOIN f ON i = doc_id % {len(BROKEN)}""")
+def answer_faults(t: Tables) -> DataFrame:
+    """What is wrong with the shape of each answer, and how many quotes it has."""
+    out = A.parsed(_broken(t), "json")
+    return out.select("doc_id", F.array_join("faults", ",").alias("faults"), "valid", F.size("quotes").alias("quotes"))
+
+
+@query(r"""WITH j AS (SELECT doc_id, to_json({'explanation': text, 'quotes': [{'chunk_id': source, 'quote_text': text, 'quote_title': lang}], 'short_answer': 'Yes.', 'smalltalk': false}) AS x FROM documents WHERE doc_id % 16 = 0)
+SELECT doc_id, md5(x::VARCHAR) AS digest FROM j""")
+def judge_inputs(t: Tables) -> DataFrame:
+    """Good answers as a judge sees them."""
+    return _broken(t).where(c("doc_id") % len(BROKEN) == 0).select("doc_id", F.md5(shapes.for_judge(c("json"))).alias("digest"))
+
+
+PLAIN = [(r"(?s)```(.*?)```", r"\1"), (r"`([^`]+)`", r"\1"), (r"\*\*(.+?)\*\*", r"\1"), (r"__(.+?)__", r"\1"), (r"\*(.+?)\*", r"\1"), (r"_(.+?)_", r"\1"), (r"\[([^\]]+)\]\([^\)]+\)", r"\1"), (r"(?m)^#+\s+", ""), (r"(?m)^>\s+", ""), (r"(?m)^[*\-_]{3,}\s*$", "")]
+MARKED = "'# ' || replace(replace(text, '. ', '.' || chr(10) || '> **'), ', ', '** _, ``` ') || chr(10) || '---' || chr(10) || '[a](b) `c`'"
+
+
+def _plain_sql(column: str) -> str:
+    for pattern, by in PLAIN:
+        column = f"regexp_replace({column}, '{pattern}', '{by}', 'g')"
+    return column
+
+
+@query(f"SELECT doc_id, md5({_plain_sql('(' + MARKED + ')')}) AS digest FROM documents")
+def plain_markdown(t: Tables) -> DataFrame:
+    """Documents with marks put in, and taken off again as for a judge."""
+    marked = F.concat(F.lit("# "), F.replace(F.replace("text", F.lit(". "), F.lit(".\n> **")), F.lit(", "), F.lit("** _, ``` ")), F.lit("\n---\n[a](b) `c`"))
+    return t.documents.select("doc_id", F.md5(shapes.plain_markdown(marked)).alias("digest"))
+
+
 FAULTS = ["Quota is gone", "Authentication failed", "Too Many Requests", "content policy", "policy alone", "HTTP 503", "Credit balance; rate limit", "else"]
 
 

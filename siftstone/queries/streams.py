@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import hierarchy
-from ..streaming import state
+from ..sources.scratch import folder
+from ..streaming import ingestion, state
 from . import analytics  # noqa: F401  its SQL serves the streams too
 from .base import REGISTRY, Tables, query
 
@@ -48,6 +49,35 @@ def stream_vote_counts(t: Tables) -> DataFrame:
     return held.groupBy("target").agg(F.count_if(c("vote") == "click").alias("ups"), F.count_if(c("vote") == "purchase").alias("downs"))
 
 
+KIND = "CASE WHEN doc_id % 11 = 3 AND {k} = 1 THEN 'x' ELSE 'faq' END"
+BODY = "replace(text, '. ', '.' || chr(10) || '## ')"
+
+
+def _run_sql(k: int) -> str:
+    """Files of listing k, and the record that follows from the one before."""
+    listed = f"""l{k} AS (SELECT doc_id, 'a/' || doc_id || '.md' AS path, {BODY} || CASE WHEN doc_id % 5 = {k} THEN '!' ELSE '' END AS body, {KIND.format(k=k)} AS kind FROM documents WHERE (doc_id + {k}) % 7 <> 0),
+c{k} AS (SELECT path, kind = 'faq' AS fine, sha256('---' || chr(10) || 'source: s' || chr(10) || 'last_update_date: 2024-01-01' || chr(10) || 'document_type: ' || kind || chr(10) || '---' || chr(10) || body) AS hash, 1 + len(regexp_extract_all(body, '(?m)^## ')) AS chunks FROM l{k})"""
+    before = f"(SELECT * FROM s{k - 1} WHERE hash IS NOT NULL)" if k else "(SELECT NULL::VARCHAR AS path, NULL::VARCHAR AS hash, NULL::BIGINT AS chunks WHERE false)"
+    fresh = "c.hash IS NOT NULL AND fine AND (b.hash IS NULL OR b.hash <> c.hash)"
+    return f"""{listed}, s{k} AS (SELECT {k}::BIGINT AS run, coalesce(c.path, b.path) AS path, CASE WHEN c.hash IS NULL THEN 'removed' WHEN b.hash = c.hash THEN 'unchanged' WHEN NOT fine THEN 'invalid' WHEN b.hash IS NULL THEN 'new' ELSE 'changed' END AS state,
+CASE WHEN c.hash IS NULL THEN NULL WHEN {fresh} THEN c.hash ELSE b.hash END AS hash, CASE WHEN c.hash IS NULL THEN NULL WHEN {fresh} THEN c.chunks ELSE b.chunks END::BIGINT AS chunks FROM c{k} c FULL JOIN {before} b ON b.path = c.path)"""
+
+
+@query(f"WITH {', '.join(map(_run_sql, range(3)))} SELECT run, path, state, hash, chunks FROM s0 UNION ALL SELECT run, path, state, hash, chunks FROM s1 UNION ALL SELECT run, path, state, hash, chunks FROM s2")
+def stream_ingestion(t: Tables) -> DataFrame:
+    """Three listings of all documents as files, between which files come, change, go and become invalid."""
+    spark, place = t._spark, folder(t._spark, "listings")
+    d = t.documents.withColumn("body", F.replace("text", F.lit(". "), F.lit(".\n## ")))
+    for k in range(3):
+        kind = F.when((c("doc_id") % 11 == 3) & F.lit(k == 1), "x").otherwise("faq")
+        text = F.concat(F.lit("---\nsource: s\nlast_update_date: 2024-01-01\ndocument_type: "), kind, F.lit("\n---\n"), "body", F.when(c("doc_id") % 5 == k, "!").otherwise(""))
+        d.where((c("doc_id") + k) % 7 != 0).select(F.concat(F.lit("a/"), "doc_id", F.lit(".md")).alias("path"), text.alias("text")).write.parquet(f"{place}/run-{k}")
+        spark.createDataFrame([(k, f"{place}/run-{k}")], "run long, listing string").coalesce(1).write.mode("append").json(f"{place}/notices")
+    own = ingestion.Ingestion(spark, f"{place}/records", "tree")
+    own.ingest(ingestion.notices(spark, f"{place}/notices"))
+    return own.states().select("run", "path", "state", "hash", "chunks")
+
+
 MD = "list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN i % 2 = 1 THEN repeat('#', 2 + ((i * 7 + doc_id) % 3)::INT) || ' **' || x || '**' ELSE x END)"
 TREE = f"""ln AS (SELECT doc_id, unnest({MD}) AS line, generate_subscripts({MD}, 1) - 1 AS node FROM documents),
 hd AS (SELECT doc_id, node, length(regexp_extract(line, '^(#{{2,6}}) ', 1)) AS level, trim(replace(regexp_replace(line, '^#+\\s*', ''), '*', ''), ' ' || chr(9) || chr(10) || chr(13)) AS title FROM ln WHERE regexp_matches(line, '^#{{2,6}} ')),
