@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import hierarchy
 from ..sources.scratch import folder
-from ..streaming import ingestion, state
+from ..streaming import ingestion, state, timers
 from . import analytics  # noqa: F401  its SQL serves the streams too
 from .base import REGISTRY, Tables, query
 
@@ -41,6 +41,16 @@ def stream_conversation_memory(t: Tables) -> DataFrame:
     return last.select("conv_id", F.md5(F.array_join("m", "\n")).alias("digest"), F.size("m").cast("long").alias("n"))
 
 
+@query("""WITH g AS (SELECT *, ts - lag(ts) OVER w > INTERVAL 30 MINUTE AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, count_if(cut) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS s FROM g),
+l AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS n, max(s) OVER (PARTITION BY user_id) AS last FROM s)
+SELECT user_id, count(*)::BIGINT AS n, string_agg(event_type || ': ' || event_id, ',' ORDER BY ts, event_id) AS messages, max(ts) + INTERVAL 90 MINUTE < (SELECT max(ts) FROM events) AS expired FROM l WHERE s = last AND n <= 10 GROUP BY user_id""")
+def stream_memory_timers(t: Tables) -> DataFrame:
+    """What is remembered of each user's events, and whether it is forgotten by the end: half an hour's pause, an hour late."""
+    out = timers.run_available(timers.memory(_stream(t, "events"), "user_id", "ts", "event_id", "event_type", "event_id"))
+    last = out.groupBy("user_id").agg(F.max_by("messages", F.struct("at", ~c("expired"))).alias("m"), F.max("expired").alias("expired"))
+    return last.select("user_id", F.size("m").cast("long").alias("n"), F.array_join("m", ",").alias("messages"), "expired")
+
+
 @query("""WITH v AS (SELECT user_id, event_id, event_id % 40 AS target, event_type AS vote FROM events WHERE event_type IN ('click', 'purchase')), l AS (SELECT target, user_id, arg_max(vote, event_id) AS vote FROM v GROUP BY ALL)
 SELECT target, count_if(vote = 'click')::BIGINT AS ups, count_if(vote = 'purchase')::BIGINT AS downs FROM l GROUP BY target""")
 def stream_vote_counts(t: Tables) -> DataFrame:
