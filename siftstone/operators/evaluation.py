@@ -54,3 +54,24 @@ def confidence_summary(rows: DataFrame, confidence: str, relevance: str, passed:
 
 def error_counts(rows: DataFrame, key: str, error: Column, recovered: Column) -> DataFrame:
     return rows.groupBy(key).agg(F.count("*").alias("n"), F.count_if(error).alias("errors"), F.count_if(error & recovered).alias("recovered"))
+
+
+#: Measures of a result: those with mean and deviation, and those with a mean alone.
+SPREAD = ["score", "seconds", "cost", "gross_cost", "quote_recall", "quote_precision", "quote_faithfulness", "explanation_faithfulness", "answer_correctness"]
+MEANS = ["multi_hop", "judge", "embedding", "batch_savings", "total_cost"]
+
+
+def summaries(results: DataFrame, keys: list[str], digits: int = 6) -> DataFrame:
+    """All measures of results by each of the keys, in one aggregation: (*keys, results, ...), where the keys of other groupings are null.
+
+    Means and population deviations are over the values that are there; a deviation of fewer than two is 0. The gross cost is that
+    before the savings of caches, whose share of it is cache_savings_pct; infrastructure is what hops, judge and embeddings cost.
+    """
+    df = results.withColumn("gross_cost", F.col("cost") + F.col("cache_savings"))
+    out = [F.count("*").alias("results")]
+    for x in SPREAD:
+        out += [F.round(F.avg(x), digits).alias(f"avg_{x}"), F.round(F.coalesce(F.stddev_pop(x), F.lit(0.0)), digits).alias(f"std_dev_{x}")]
+    out += [F.round(F.avg(x), digits).alias(f"avg_{x}") for x in MEANS]
+    out.append(F.round(F.coalesce(F.try_divide(F.avg("cache_savings"), F.avg("gross_cost")) * 100, F.lit(0.0)), digits).alias("avg_cache_savings_pct"))
+    out.append(F.round(F.avg("multi_hop") + F.avg("judge") + F.avg("embedding"), digits).alias("avg_infrastructure"))
+    return df.groupingSets([[F.col(k)] for k in keys], *(F.col(k) for k in keys)).agg(*out)

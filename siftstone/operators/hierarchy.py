@@ -97,3 +97,43 @@ def without_parent(title: Column, parent: Column) -> Column:
     inner = F.concat(F.lit(" - "), lead)
     rest = F.substring(title, F.call_function("locate", inner, title) + F.length(inner), F.lit(1_000_000))
     return F.when(parent.isNull(), title).when(F.startswith(title, lead), F.substring(title, F.length(lead) + 1, F.lit(1_000_000))).when(F.contains(title, inner), rest).otherwise(title)
+
+
+# -- names of teams in titles -----------------------------------------------------------------
+
+
+def spaced(text: Column) -> Column:
+    """Hyphens and underscores as blanks."""
+    return F.translate(text, "-_", "  ")
+
+
+def singular(text: Column) -> Column:
+    """The text with its last word's plural ending taken off; white space between words becomes one blank."""
+    words = T.squeeze(text)
+    last = F.element_at(F.split(words, " "), -1)
+    low, cut = F.lower(last), lambda n: F.substring(words, F.lit(1), F.length(words) - n)
+    y = F.when(F.right(last, F.lit(3)) == F.upper(F.right(last, F.lit(3))), "Y").otherwise("y")
+    es = F.when(low.rlike("(ch|sh|ss|x|z)es$"), cut(2)).otherwise(cut(1))
+    n = F.length(last)
+    return F.when(low.endswith("ies") & (n > 3), F.concat(cut(3), y)).when(low.endswith("es") & (n > 2), es).when(low.endswith("s") & (n > 1), cut(1)).otherwise(words)
+
+
+def readable_key(name: Column) -> Column:
+    """A file's name as a title: each run of letters begins with a capital, and has no other."""
+    runs = F.regexp_extract_all(spaced(name), F.lit(r"\p{L}+|\P{L}+"), 0)
+    return F.array_join(F.transform(runs, lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substring(w, 2, 1_000_000)))), "")
+
+
+def without_team(title: Column, team: Column) -> Column:
+    """What follows the last ' - ' of a title if what stands before it is the team's name, in any case, singular or plural, with any separators."""
+    lead, rest = F.regexp_extract(title, r"(?s)^(.*) - (.*)$", 1), F.regexp_extract(title, r"(?s)^(.*) - (.*)$", 2)
+    form = lambda x: F.upper(F.trim(spaced(x)))
+    same = (form(lead) == form(team)) | (singular(form(lead)) == singular(form(team)))
+    return F.when(F.contains(title, F.lit(" - ")) & same, rest).otherwise(title)
+
+
+def with_team_summary(titles: DataFrame, summaries: DataFrame, title: str, team: str, key: str, summary: str) -> DataFrame:
+    """Titles with the summary of their team whose key is the cleaned title without the team's name; of equal keys the greatest summary counts."""
+    asked = titles.withColumn("_key", without_team(cleaned(F.col(title)), F.upper(readable_key(F.col(team))))).withColumn("_team", F.upper(singular(spaced(F.col(team)))))
+    known = summaries.groupBy(F.upper(singular(spaced(F.col(team)))).alias("_team"), F.col(key).alias("_key")).agg(F.max(summary).alias(summary))
+    return asked.join(known, ["_team", "_key"], "left").drop("_team", "_key")

@@ -8,8 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed: the longest message, what pieces are packed to, the marker of prompts, how long a result is kept.
-MESSAGE_CHARS, PACKED_CHARS = 2000, 1900
+#: Fixed: the longest message, what pieces are packed to, the longest field, the marker of prompts, how long a result is kept.
+MESSAGE_CHARS, PACKED_CHARS, FIELD_CHARS = 2000, 1900, 1024
 CACHE_MARK = "<!--CACHE_BREAK-->"
 TTL_SECONDS = 300
 BLANK = " \t\n\r\x0b\x0c"
@@ -29,6 +29,32 @@ def packed(text: Column) -> Column:
     return F.when(F.length(text) <= MESSAGE_CHARS, F.array(text)).otherwise(runs)
 
 
+def _folded(parts: Column, size: int, joint: str, tidy) -> Column:
+    """Runs of parts of up to `size` characters; a longer part is cut hard, and stands alone."""
+    none = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+
+    def add(held: Column, part: Column) -> Column:
+        closed = F.when(held["now"] == "", held["done"]).otherwise(F.array_append(held["done"], tidy(held["now"])))
+        both = F.when(held["now"] == "", part).otherwise(F.concat(held["now"], F.lit(joint), part))
+        starts = F.sequence(F.lit(1), F.greatest(F.length(part), F.lit(1)), F.lit(size))
+        cut = F.struct(F.concat(closed, F.transform(starts, lambda k: tidy(F.substring(part, k, F.lit(size))))).alias("done"), F.lit("").alias("now"))
+        fits = F.struct(held["done"].alias("done"), both.alias("now"))
+        return F.when(F.length(part) > size, cut).when(F.length(both) <= size, fits).otherwise(F.struct(closed.alias("done"), part.alias("now")))
+
+    return F.aggregate(parts, none, add, lambda x: F.when(x["now"] == "", x["done"]).otherwise(F.array_append(x["done"], tidy(x["now"]))))
+
+
+def field_pieces(text: Column, size: int = FIELD_CHARS) -> Column:
+    """A field's pieces of up to `size` characters: runs of whole sentences, trimmed; a sentence that is too long is cut hard."""
+    parts = F.regexp_extract_all(text, F.lit(r"(?U)(?s:.*?)[.!?]+\s+|(?s:.+)"), 0)
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(_folded(parts, size, "", lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")))
+
+
+def quote_pieces(text: Column, size: int = FIELD_CHARS) -> Column:
+    """The same by lines, which keep their marks; a line that is too long is cut hard. Empty lines at a piece's beginning go."""
+    return F.when(F.length(text) <= size, F.array(text)).otherwise(_folded(F.split(text, "\n"), size, "\n", lambda x: x))
+
+
 def cache_blocks(text: Column) -> Column:
     """The blocks (text, cached) between a prompt's marks, but for empty ones; all that have a mark behind them can be cached."""
     parts = F.split(text, CACHE_MARK)

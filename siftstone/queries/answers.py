@@ -312,3 +312,38 @@ def team_filter(t: Tables) -> DataFrame:
     like = terms.fuzzy_teams(q, t.part.select(F.lower("p_brand").alias("b")).distinct(), "item_id", "text", "b").select("item_id", "team")
     teams = terms.all_teams([*named, alias, like], "item_id")
     return terms.structure_of(t.part.groupBy("p_brand").agg(F.count("*").alias("items")), teams, "p_brand")
+
+
+ENDINGS = ["", "s", "ies", "y", "es", "xes", "x", "sses"]
+_END = "[" + ", ".join(f"'{x}'" for x in ENDINGS) + "]"
+
+
+def _singular_sql(x: str) -> str:
+    last = f"string_split({x}, ' ')[-1]"
+    return f"""CASE WHEN {last} LIKE '%IES' AND length({last}) > 3 THEN left({x}, length({x}) - 3) || 'Y' WHEN {last} LIKE '%ES' AND length({last}) > 2 THEN CASE WHEN regexp_matches({last}, '(CH|SH|SS|X|Z)ES$') THEN left({x}, length({x}) - 2) ELSE left({x}, length({x}) - 1) END
+WHEN {last} LIKE '%S' AND length({last}) > 1 THEN left({x}, length({x}) - 1) ELSE {x} END"""
+
+
+@query(f"""WITH a AS (SELECT p_partkey, p_type, replace(p_name, ' ', '_') || {_END}[1 + p_partkey % 8] AS team, upper(replace(p_name, ' ', '-')) || upper({_END}[1 + (p_partkey // 8) % 8]) AS head FROM part),
+b AS (SELECT *, upper(replace(team, '_', ' ')) AS t, replace(head, '-', ' ') AS h FROM a), s AS (SELECT *, t = h OR ({_singular_sql("t")}) = ({_singular_sql("h")}) AS same FROM b)
+SELECT p_partkey, CASE WHEN same THEN p_type ELSE head || ' - ' || p_type END AS rest, array_to_string(list_transform(string_split(replace(team, '_', ' '), ' '), lambda w: upper(left(w, 1)) || lower(substr(w, 2))), ' ') AS key FROM s""")
+def team_prefixes(t: Tables) -> DataFrame:
+    """Headers that begin with a part's name in capitals with hyphens and some ending, for teams that are written with underscores and another."""
+    ending = lambda k: F.get(F.array(*map(F.lit, ENDINGS)), k.cast("int"))
+    k = c("p_partkey")
+    rows = t.part.select("p_partkey", "p_type", F.concat(F.translate("p_name", " ", "_"), ending(k % 8)).alias("team"), F.upper(F.concat(F.translate("p_name", " ", "-"), ending(F.floor(k / 8) % 8))).alias("head"))
+    key = hierarchy.readable_key(c("team"))
+    return rows.select("p_partkey", hierarchy.without_team(F.concat_ws(" - ", "head", "p_type"), key).alias("rest"), key.alias("key"))
+
+
+@query(f"""WITH a AS (SELECT p_partkey, p_type, p_size, replace(p_name, ' ', '_') || {_END}[1 + p_partkey % 2] AS team, upper(replace(p_name, ' ', '-')) || upper({_END}[1 + p_size % 2]) AS head FROM part),
+b AS (SELECT *, upper(replace(team, '_', ' ')) AS t, replace(head, '-', ' ') AS h FROM a), s AS (SELECT *, {_singular_sql("t")} AS st, {_singular_sql("h")} AS sh FROM b),
+k AS (SELECT st, p_type AS key, max('of ' || p_partkey) AS summary FROM s WHERE p_partkey % 3 = 0 GROUP BY ALL)
+SELECT p_partkey, summary FROM s LEFT JOIN k ON k.st = s.st AND key = CASE WHEN t = h OR s.st = sh THEN p_type ELSE head || ' - ' || p_type END""")
+def team_summaries(t: Tables) -> DataFrame:
+    """Headers with their team's name in front, joined with the summaries of teams that may be written in another way."""
+    ending = lambda k: F.get(F.array(*map(F.lit, ENDINGS)), (k % 2).cast("int"))
+    rows = t.part.select("p_partkey", "p_type", F.concat(F.translate("p_name", " ", "_"), ending(c("p_partkey"))).alias("team"), F.upper(F.concat(F.translate("p_name", " ", "-"), ending(c("p_size")))).alias("head"))
+    known = rows.where("p_partkey % 3 = 0").select("team", "p_type", F.concat(F.lit("of "), "p_partkey").alias("summary"))
+    titles = rows.select("p_partkey", "team", F.concat_ws(" - ", "head", "p_type").alias("title"))
+    return hierarchy.with_team_summary(titles, known, "title", "team", "p_type", "summary").select("p_partkey", "summary")

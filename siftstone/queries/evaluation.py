@@ -80,3 +80,20 @@ def answer_gate(t: Tables) -> DataFrame:
 
     ok, why = accepted(c("o_totalprice") / 500000, c("o_custkey") % 10 / 10, 0.3, 0.6)
     return t.orders.select("o_orderkey", ok.alias("ok"), why.alias("why"))
+
+
+RESULTS = {
+    "model": "l_returnflag", "test": "l_linenumber % 5", "score": "l_quantity * 2", "seconds": "l_linenumber * 1.5e0", "cost": "l_extendedprice / 1e6", "cache_savings": "l_tax / 10", "multi_hop": "l_tax / 100", "judge": "l_discount / 100",
+    "embedding": "l_linenumber * 1e-4", "batch_savings": "l_discount / 1000", "total_cost": "l_extendedprice / 1e6 + l_tax / 100", "quote_recall": "CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE l_discount * 10 END", "quote_precision": "l_tax * 10",
+    "quote_faithfulness": "CASE WHEN l_returnflag = 'R' THEN NULL ELSE l_tax * 5 END", "explanation_faithfulness": "CASE WHEN l_linenumber = 5 THEN NULL ELSE 0.5e0 END", "answer_correctness": "l_quantity / 50",
+}
+_SPREAD = ", ".join(f"round(avg({x}), 6) AS avg_{x}, round(coalesce(stddev_pop({x}), 0), 6) AS std_dev_{x}" for x in E.SPREAD)
+_MEANS = ", ".join(f"round(avg({x}), 6) AS avg_{x}" for x in E.MEANS)
+
+
+@query(f"""WITH r AS (SELECT {", ".join(f"({v}){'' if k in ('model', 'test') else '::DOUBLE'} AS {k}" for k, v in RESULTS.items())} FROM lineitem), g AS (SELECT *, cost + cache_savings AS gross_cost FROM r)
+SELECT model, test::INT AS test, count(*)::BIGINT AS results, {_SPREAD}, {_MEANS}, round(coalesce(avg(cache_savings) / nullif(avg(gross_cost), 0) * 100, 0), 6) AS avg_cache_savings_pct, round(avg(multi_hop) + avg(judge) + avg(embedding), 6) AS avg_infrastructure FROM g GROUP BY GROUPING SETS ((model), (test))""")
+def result_summaries(t: Tables) -> DataFrame:
+    """Line items as results of models and tests."""
+    rows = t.lineitem.select(*((F.expr(v) if k in ("model", "test") else F.expr(f"({v})").cast("double")).alias(k) for k, v in RESULTS.items()))
+    return E.summaries(rows.withColumn("test", F.col("test").cast("int")), ["model", "test"])

@@ -23,6 +23,39 @@ def message_chunks(t: Tables) -> DataFrame:
     return m.select("doc_id", F.size("m").alias("n"), F.md5(F.array_join("m", "|")).alias("digest"))
 
 
+def _folded_sql(parts: str, joint: str, tidy: str) -> str:
+    """Pieces of up to 1024 characters of a list of parts."""
+    last = tidy.format("a.now")
+    hard = tidy.format("substr(b.now, k, 1024)")
+    return f"""list_reduce({parts}, lambda a, b: CASE WHEN length(b.now) > 1024 THEN {{'done': list_concat(CASE WHEN a.now = '' THEN a.done ELSE list_append(a.done, {last}) END, list_transform(range(1, length(b.now)::BIGINT + 1, 1024), lambda k: {hard})), 'now': ''}}
+WHEN length(CASE WHEN a.now = '' THEN b.now ELSE a.now || {joint} || b.now END) <= 1024 THEN {{'done': a.done, 'now': CASE WHEN a.now = '' THEN b.now ELSE a.now || {joint} || b.now END}}
+ELSE {{'done': CASE WHEN a.now = '' THEN a.done ELSE list_append(a.done, {last}) END, 'now': b.now}} END, {{'done': []::VARCHAR[], 'now': ''}})"""
+
+
+def _pieces_sql(source: str, parts: str, joint: str, tidy: str) -> str:
+    return f"""WITH x AS ({source}), r AS (SELECT doc_id, text, {_folded_sql(f"list_transform({parts}, lambda s: {{'done': []::VARCHAR[], 'now': s}})", joint, tidy)} AS r FROM x),
+m AS (SELECT doc_id, CASE WHEN length(text) <= 1024 THEN [text] WHEN r.now = '' THEN r.done ELSE list_append(r.done, {tidy.format("r.now")}) END AS m FROM r)
+SELECT doc_id, len(m)::INT AS n, coalesce(list_max(list_transform(m, lambda p: length(p))), 0)::INT AS longest, md5(array_to_string(m, '|')) AS digest FROM m"""
+
+
+def _pieces(df: DataFrame, pieces) -> DataFrame:
+    m = df.select("doc_id", pieces(c("text")).alias("m"))
+    return m.select("doc_id", F.size("m").alias("n"), F.coalesce(F.array_max(F.transform("m", F.length)), F.lit(0)).alias("longest"), F.md5(F.array_join("m", "|")).alias("digest"))
+
+
+@query(_pieces_sql("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN replace(text, '.', '') ELSE text END AS text FROM documents", r"regexp_extract_all(text, '(?s).*?[.!?]+\s+|(?s).+')", "''", f"trim({{}}, {TRIM})"))
+def field_pieces(t: Tables) -> DataFrame:
+    """Documents as fields of messages; every third has no full stops and is cut hard."""
+    return _pieces(t.documents.select("doc_id", F.when(c("doc_id") % 3 == 0, F.replace("text", F.lit("."), F.lit(""))).otherwise(c("text")).alias("text")), M.field_pieces)
+
+
+@query(_pieces_sql("SELECT doc_id, '> ' || CASE WHEN doc_id % 3 = 0 THEN text ELSE replace(text, '. ', '.' || chr(10) || '> ') END AS text FROM documents", "string_split(text, chr(10))", "chr(10)", "{}"))
+def quote_pieces(t: Tables) -> DataFrame:
+    """Documents as quotes, a mark before each line."""
+    lines = F.when(c("doc_id") % 3 == 0, c("text")).otherwise(F.replace("text", F.lit(". "), F.lit(".\n> ")))
+    return _pieces(t.documents.select("doc_id", F.concat(F.lit("> "), lines).alias("text")), M.quote_pieces)
+
+
 @query(f"""WITH p AS (SELECT doc_id, replace(text, chr(10), '<!--CACHE_BREAK-->') AS x FROM documents), s AS (SELECT doc_id, x, string_split(x, '<!--CACHE_BREAK-->') AS p FROM p),
 b AS (SELECT doc_id, x, len(p) AS n, list_filter(list_transform(p, lambda v, i: {{'text': trim(v, {TRIM}), 'cached': i < len(p)}}), lambda v: v.text <> '') AS b FROM s),
 r AS (SELECT doc_id, x, CASE WHEN n = 1 OR len(b) = 0 THEN [{{'text': x, 'cached': false}}] ELSE b END AS b FROM b)
