@@ -35,6 +35,20 @@ def ranking_measures(truths: DataFrame, k_recall: int = 5, k_precision: int = 3)
     )
 
 
+def measures_of_hits(hits: DataFrame, totals: DataFrame, k_recall: int = 5, k_precision: int = 3) -> DataFrame:
+    """ranking_measures from the truths that were found, (query_id, rank), and how many there are, (query_id, truths): what was missed is no row."""
+    order = Window.partitionBy("query_id").orderBy("rank")
+    df = totals.join(hits.withColumn("_i", F.row_number().over(order)), "query_id", "left")
+    n, share = F.first("truths"), lambda x: F.round(x, 6)
+    return df.groupBy("query_id").agg(
+        share(F.coalesce(F.sum(F.col("_i") / F.col("rank")), F.lit(0.0)) / n).alias("average_precision"),
+        share(F.count_if(F.col("rank") <= k_recall) / n).alias("recall_at_k"),
+        share(F.count("rank") / n).alias("recall"),
+        share(F.count_if(F.col("rank") <= k_precision) / k_precision).alias("precision_at_k"),
+        share(F.coalesce(1 / F.min("rank"), F.lit(0.0))).alias("reciprocal_rank"),
+    )
+
+
 def macro(measures: DataFrame) -> DataFrame:
     names = [x for x in measures.columns if x != "query_id"]
     return measures.agg(F.count("*").alias("queries"), *(F.round(F.avg(x), 6).alias(f"mean_{x}") for x in names), *(F.round(F.coalesce(F.stddev_samp(x), F.lit(0.0)), 6).alias(f"std_{x}") for x in names))

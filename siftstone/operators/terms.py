@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from .likeness import alike
-from .sizes import small
 
 PUNCTUATION = ".,!?;:()[]{}\"'-"
 #: Fixed: words that say little, and words that many names share.
@@ -106,11 +105,26 @@ def abilities_match(query: Column) -> Column:
     return (F.size("words") > 0) & (F.size(hits) >= F.when(F.size("words") == 1, 1).otherwise(2))
 
 
+#: Characters by which a text is looked up that may stand inside another.
+GRAM = 4
+
+
+def _grams(text: Column) -> Column:
+    """All stretches of up to GRAM characters of a text, once."""
+    chars = F.split(text, "")
+    return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size(chars)), lambda i: F.array(*(F.array_join(F.slice(chars, i, k), "") for k in range(1, GRAM + 1))))))
+
+
 def matched_teams(queries: DataFrame, table: DataFrame, id_col: str, text_col: str, rule=names_match) -> DataFrame:
-    """(id, teams) sorted; the queries are a stated set that the entity table is compared with, broadcast behind a check of its size."""
-    low = small(queries.select(id_col, F.lower(F.col(text_col)).alias("_q")), 100_000)
-    found = table.join(low, rule(F.col("_q")))
-    return found.select(id_col, F.explode("teams").alias("team")).distinct().groupBy(id_col).agg(F.sort_array(F.collect_list("team")).alias("teams"))
+    """(id, teams) sorted. A query meets an entity by the first GRAM characters of one of its words, or of all its words in a row, that the
+    query has somewhere: each rule asks for one of these at least. Only such pairs go on to the rule."""
+    low = queries.select(F.col(id_col).alias("_i"), F.lower(F.col(text_col)).alias("_q"))
+    phrase = F.array_join("words", " ")
+    keys = F.array_union(F.transform(F.filter("words", lambda w: F.length(w) >= MIN_WORD), lambda w: F.left(w, F.lit(GRAM))), F.array(F.left(phrase, F.lit(GRAM))))
+    entities = table.select("entity", F.explode(F.filter(keys, lambda k: k != "")).alias("_g"))
+    pairs = low.select("_i", F.explode(_grams(F.col("_q"))).alias("_g")).join(entities, "_g").select("_i", "entity").distinct()
+    found = pairs.join(low, "_i").join(table, "entity").where(rule(F.col("_q")))
+    return found.select(F.col("_i").alias(id_col), F.explode("teams").alias("team")).distinct().groupBy(id_col).agg(F.sort_array(F.collect_list("team")).alias("teams"))
 
 
 def fuzzy_teams(queries: DataFrame, names: DataFrame, id_col: str, text_col: str, name: str, least: float = TEAM_RATIO) -> DataFrame:
@@ -133,7 +147,8 @@ def alias_teams(queries: DataFrame, aliases: DataFrame, id_col: str, text_col: s
     """(id, team): teams whose alias a query has, or of whose alias a word of MIN_WORD and more is like a query's word."""
     low = queries.select(id_col, F.lower(F.col(text_col)).alias("_q"))
     known = aliases.select(F.col(alias).alias("_a"), F.col(team).alias("team"))
-    exact = small(known, 100_000).join(low, F.contains("_q", "_a")).select(id_col, "team")
+    stretches = low.select(id_col, "_q", F.explode(_grams(F.col("_q"))).alias("_g"))
+    exact = stretches.join(known.withColumn("_g", F.left("_a", F.lit(GRAM))), "_g").where(F.contains("_q", "_a")).select(id_col, "team")
     words = lambda x: F.filter(F.array_distinct(F.split(F.trim(x), r"\s+")), lambda w: (F.length(w) >= MIN_WORD) & ~w.isin(STOP_WORDS))
     asked = low.select(id_col, F.explode(words("_q")).alias("word"))
     parts = known.select("team", F.explode(F.filter(F.split("_a", r"\s+"), lambda w: F.length(w) >= MIN_WORD)).alias("part"))

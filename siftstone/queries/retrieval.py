@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy
 from ..functions import text as T
-from ..operators import bm25, chunking, fusion, grounding, metrics, terms, vectors
+from ..operators import bm25, chunking, fusion, grounding, metrics, sizes, terms, vectors
 from ..plans import retrieval
 from .base import Tables, query
 from .texts import NORMAL
@@ -67,13 +67,19 @@ fu AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER B
 rel AS (SELECT *, round(0.45 + (rrf - min(rrf) OVER p) / CASE WHEN max(rrf) OVER p > min(rrf) OVER p THEN max(rrf) OVER p - min(rrf) OVER p ELSE 1 END * 0.55, 6) AS relevance FROM fu WINDOW p AS (PARTITION BY query_id))"""
 
 
+#: How many neighbours by id are looked at on each side.
+AROUND = 30
+
+
 def _fused(t: Tables) -> DataFrame:
-    e = t.embeddings
-    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    """Vectors fused with the nearest ids of the same label: those have places among their label, so a query meets AROUND rows on each side."""
     from pyspark.sql import Window
 
+    e = sizes.placed(t.embeddings.select(F.col("vec_id").alias("id"), "label"), ["label"], "id", F.lit(1)).withColumnRenamed("before", "at")
+    around = F.explode(F.sequence(F.col("at") - AROUND, F.col("at") + AROUND)).alias("at")
+    q = e.where("id % 20 = 0").select(F.col("id").alias("query_id"), "label", around)
     order = Window.partitionBy("query_id").orderBy(F.abs(F.col("query_id") - F.col("id")), "id")
-    near = e.select(F.col("vec_id").alias("id"), "label").join(q, "label").withColumn("rank", F.row_number().over(order)).where("rank <= 30").withColumn("score", F.lit(1.0))
+    near = q.join(e, ["label", "at"]).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= AROUND).withColumn("score", F.lit(1.0))
     return fusion.hybrid(_vectors(t), near, 15)
 
 
@@ -109,9 +115,12 @@ round(count_if(rank <= 3) / 3, 6) AS precision_at_k, round(coalesce(1 / min(rank
 
 
 def _measures(t: Tables) -> DataFrame:
+    """All vectors of a query's label are its truths: they are counted by label, and only hits are rows."""
     e = t.embeddings
-    truth = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label").join(e.select(F.col("vec_id").alias("id"), "label"), "label")
-    return metrics.ranking_measures(truth.join(_vectors(t).select("query_id", "id", "rank"), ["query_id", "id"], "left"))
+    q = e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    totals = q.join(e.groupBy("label").agg(F.count("*").alias("truths")), "label")
+    same = _vectors(t).join(e.select(F.col("vec_id").alias("id"), "label"), "id").join(q, ["query_id", "label"], "left_semi")
+    return metrics.measures_of_hits(same.select("query_id", "rank"), totals.select("query_id", "truths"))
 
 
 @query(f"{MEASURES} SELECT * FROM ms")
@@ -223,7 +232,8 @@ st AS (SELECT *, len(list_filter(hits, lambda w: length(w) >= 6 AND NOT list_con
 
 def _entity_queries(t: Tables) -> DataFrame:
     q = t.benchmark.select("item_id", "text")
-    near = q.join(t.part.select("p_partkey", "p_name"), F.col("p_partkey").between(F.col("item_id"), F.col("item_id") + 1)).groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), " ").alias("names"))
+    names = t.part.select("p_partkey", "p_name", F.explode(F.array(F.col("p_partkey"), F.col("p_partkey") - 1)).alias("item_id"))
+    near = q.join(names, "item_id").groupBy("item_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p_partkey", "p_name"))), lambda x: x["p_name"]), " ").alias("names"))
     return q.join(near, "item_id").select("item_id", F.concat_ws(" ", "text", "names").alias("text"))
 
 
