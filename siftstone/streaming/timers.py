@@ -44,17 +44,17 @@ class Memory(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         held = [tuple(x) for x in self.held.get()]
         for frame in rows:
-            held = latest([*held, *zip(frame["at"].tolist(), frame["id"].tolist(), frame["message"].tolist(), strict=True)], self.size, self.idle_us)
-        self.held.put(held)
+            held = sorted([*held, *zip(frame["at"].tolist(), frame["id"].tolist(), frame["message"].tolist(), strict=True)])[-self.size :]
+        self.held.put(held)  # a pause is cut off only in what is told, as later rows may still fill it
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer((held[-1][0] + self.idle_us) // 1000)
-        yield pd.DataFrame({"k": [key[0]], "expired": [False], "at": [held[-1][0]], "messages": [[x[2] for x in held]]})
+        yield pd.DataFrame({"k": [key[0]], "expired": [False], "at": [held[-1][0]], "messages": [[x[2] for x in latest(held, self.size, self.idle_us)]]})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         held = [tuple(x) for x in self.held.get()]
         self.held.clear()
-        yield pd.DataFrame({"k": [key[0]], "expired": [True], "at": [held[-1][0] if held else None], "messages": [[x[2] for x in held]]})
+        yield pd.DataFrame({"k": [key[0]], "expired": [True], "at": [held[-1][0] if held else None], "messages": [[x[2] for x in latest(held, self.size, self.idle_us)]]})
 
     def close(self) -> None:
         pass
