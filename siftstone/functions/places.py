@@ -51,23 +51,24 @@ def span(quote: str, text: str, form: tuple[str, np.ndarray] | None = None) -> t
     """Where the text first has the quote, which is in normal form: the leftmost stretch, and the shortest from there, whose own normal form it is.
 
     The map gives the stretch from the first to the last character; beyond it only what has no
-    character of its own in the normal form, or is white space around it, may be part of it.
+    character of its own in the normal form, or is white space around it, may be part of it. A stretch of more than three times the quote's
+    length gives way to a later one; if there is none, or marks reach beyond every stretch, the first counts from its first to its last character.
     """
     whole, places = form or normal(text)
-    at = whole.find(quote)
-    if at < 0 or not quote:
-        return None
-    last = at + len(quote) - 1
-    start, end = int(places[at]), int(places[last]) + 1
-    before = at - 2 if at and whole[at - 1] == " " else at - 1
-    low = int(places[before]) + 1 if before >= 0 else 0
-    high = int(places[last + 1]) if last + 1 < len(places) else len(text)
+    at = first = whole.find(quote) if quote else -1
     most = 3 * len(quote)
-    for s in range(max(low, end - most), start + 1):
-        for e in range(end, min(high, s + most) + 1):
-            if normal(text[s:e])[0] == quote:
-                return s, e
-    return start, end
+    while at >= 0:
+        last = at + len(quote) - 1
+        start, end = int(places[at]), int(places[last]) + 1
+        before = at - 2 if at and whole[at - 1] == " " else at - 1
+        low = int(places[before]) + 1 if before >= 0 else 0
+        high = int(places[last + 1]) if last + 1 < len(places) else len(text)
+        for s in range(max(low, end - most), start + 1):
+            for e in range(end, min(high, s + most) + 1):
+                if normal(text[s:e])[0] == quote:
+                    return s, e
+        at = whole.find(quote, at + 1)
+    return (int(places[first]), int(places[first + len(quote) - 1]) + 1) if first >= 0 else None
 
 
 def spans(quote: Column, text: Column) -> Column:

@@ -75,7 +75,7 @@ def plain_span(quote, text):
 def test_places_of_quotes():
     rng, found = random.Random(1), 0
     for _ in range(1500):
-        text = "".join(rng.choice(["Ab", "c", "`h`", "...", "[...]", "İx", "…", "k."]) + rng.choice([" ", "  ", "\n\t ", ""]) for _ in range(rng.randrange(1, 9)))
+        text = "".join(rng.choice(["Ab", "c", "`h`", "...", "[...]", "İx", "…", "k"]) + rng.choice([" ", "  ", "\n\t ", ""]) for _ in range(rng.randrange(1, 9)))
         form, places = normal(text)
         assert len(form) == len(places) and (places[1:] >= places[:-1]).all()
         if len(form) < 4:
