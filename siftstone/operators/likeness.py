@@ -4,7 +4,8 @@ A ratio of r means that the longest common subsequence of strings of n and m cha
 them. At most n - L characters go and m - L come; one that goes breaks two pairs of neighbours and one that comes breaks one,
 so at least n - 1 - 2 (n - L) - (m - L) pairs of neighbours are in both. Where that is none (short strings, or a low ratio) the
 strings still have L characters in common. Either way two bags share t tokens at least, so of all tokens in one order, the rarest
-first, each string's first (tokens - t + 1) must hold a common one: candidates come from an equi-join on those, and only they are compared.
+first, the first (tokens - t + k) of both hold k common ones, for every k up to t. With k as half of t the most frequent tokens are never looked
+up: candidates come from an equi-join on the others and are counted, and only those with k of them are compared.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fuzzy import may_reach, ratio
 from ..sources.scratch import saved
+from .sizes import small, spread
 
 #: Kinds of tokens: pairs of neighbours, and characters.
 PAIRS, CHARACTERS = "2", "1"
@@ -33,23 +35,30 @@ def _least(least: float, kind: str) -> Column:
     return F.array_min(F.transform(F.sequence(F.greatest(low, F.lit(1)), F.greatest(high, low, F.lit(1))), shared))
 
 
-def _tokens(strings: DataFrame, least: float) -> DataFrame:
-    """(sid, kind, token, most): numbered tokens of each string and how many of its kind are looked up."""
-    chars = F.split("s", "")
+def _needs(sides: list[DataFrame], least: float) -> DataFrame:
+    """The fewest shared tokens of each kind by length, for all lengths that are met: worked out once, over all cores."""
+    lengths = sides[0].select("n").union(sides[1].select("n")).where("n > 0").distinct()
+    lengths = lengths.repartition(lengths.sparkSession.sparkContext.defaultParallelism, "n")
+    return saved(lengths.select("n", _least(least, PAIRS).alias(PAIRS), _least(least, CHARACTERS).alias(CHARACTERS)))
+
+
+def _tokens(strings: DataFrame, needs: DataFrame) -> DataFrame:
+    """(sid, kind, token, most, k): numbered tokens of each string, how many of its kind are looked up and how many of these have to be shared."""
+    known = strings.join(small(needs), "n").withColumn("c", F.split("s", ""))
     rows = []
     for kind in (PAIRS, CHARACTERS):
-        some = strings.withColumn("need", _least(least, kind)).where("need is not null").withColumn("c", chars)
+        need, size = F.col(kind), F.col("n") - (1 if kind == PAIRS else 0)
         parts = F.zip_with("c", F.slice("c", 2, F.greatest(F.col("n") - 1, F.lit(1))), lambda x, y: F.concat(x, y)) if kind == PAIRS else F.col("c")
-        n = F.col("n") - (1 if kind == PAIRS else 0)
-        bag = some.select("sid", (n - F.col("need") + 1).alias("most"), F.explode(parts).alias("t")).where("t is not null").groupBy("sid", "most", "t").agg(F.count("*").alias("k"))
-        rows.append(bag.select("sid", F.lit(kind).alias("kind"), "most", F.explode(F.transform(F.sequence(F.lit(1), "k"), lambda i: F.concat("t", F.lit("#"), i.cast("string")))).alias("token")))
+        k = F.ceil(need / 2)
+        bag = known.where(need.isNotNull()).select("sid", (size - need + k).alias("most"), k.alias("k"), F.explode(parts).alias("t")).where("t is not null").groupBy("sid", "most", "k", "t").agg(F.count("*").alias("times"))
+        rows.append(bag.select("sid", F.lit(kind).alias("kind"), "most", "k", F.explode(F.transform(F.sequence(F.lit(1), "times"), lambda i: F.concat("t", F.lit("#"), i.cast("string")))).alias("token")))
     return rows[0].union(rows[1])
 
 
 def _prefixes(tokens: DataFrame, counts: DataFrame) -> DataFrame:
     order = Window.partitionBy("sid", "kind").orderBy("df", "token")
     ranked = tokens.join(counts, ["kind", "token"], "left").withColumn("df", F.coalesce("df", F.lit(0))).withColumn("at", F.row_number().over(order))
-    return ranked.where("at <= most").select("sid", "kind", "token")
+    return ranked.where("at <= most").select("sid", "kind", "token", "k")
 
 
 def alike(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> DataFrame:
@@ -60,11 +69,13 @@ def alike(left: DataFrame, right: DataFrame, a: str, b: str, least: float) -> Da
     sides = []
     for df, name in ((left, a), (right, b)):
         own = df.select(F.col(name).alias("s")).where("s is not null").distinct()
-        sides.append(saved(own.select(F.monotonically_increasing_id().alias("sid"), "s", F.length("s").alias("n"))))
-    tokens = [saved(_tokens(x.where("n > 0"), least)) for x in sides]
+        sides.append(spread(saved(own.select(F.monotonically_increasing_id().alias("sid"), "s", F.length("s").alias("n")))))
+    needs = _needs(sides, least)
+    tokens = [saved(_tokens(x.where("n > 0"), needs)) for x in sides]
     counts = saved(tokens[1].groupBy("kind", "token").agg(F.count("*").alias("df")))
-    first, second = (_prefixes(x, counts).withColumnRenamed("sid", k) for x, k in zip(tokens, ("l", "r"), strict=True))
-    pairs = first.join(second, ["kind", "token"]).select("l", "r").distinct()
+    first, second = (_prefixes(x, counts).select("kind", "token", F.col("sid").alias(name), F.col("k").alias(f"k{name}")) for x, name in zip(tokens, ("l", "r"), strict=True))
+    shared = first.join(second, ["kind", "token"]).groupBy("l", "r", "kind").agg(F.count("*").alias("shared"), F.min(F.least("kl", "kr")).alias("k"))
+    pairs = shared.where("shared >= k").select("l", "r").distinct()
     near = pairs.join(sides[0].select(F.col("sid").alias("l"), F.col("s").alias(a)), "l").join(sides[1].select(F.col("sid").alias("r"), F.col("s").alias(b)), "r")
     found = near.where(may_reach(F.col(a), F.col(b), least)).select(a, b, ratio(F.col(a), F.col(b)).alias("r")).where(F.col("r") >= least)
     empty = sides[0].where("n = 0").select(F.col("s").alias(a)).join(sides[1].where("n = 0").select(F.col("s").alias(b)), F.col(a) == F.col(b)).select(a, b, F.lit(100.0).alias("r"))
