@@ -39,14 +39,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return small_batches(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
+@functools.cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="siftstone-")
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one only where that is unset on a local master."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="siftstone-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/siftstone-{uuid.uuid4().hex}"
 
 

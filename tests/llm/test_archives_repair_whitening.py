@@ -246,3 +246,18 @@ def test_eigen(size):
 def test_large_deviations():
     z = np.array([[3_000_000_000, 3_000_000_000, 4]], np.int64)
     assert int(whitening.deviations(z)[0].as_py()) == 2 * 3_000_000_000**2 + 16
+
+
+def test_shared_folder_without_a_setting(spark):
+    """On a local master a folder of its own is used, and no setting of the session is touched."""
+
+    class Bare:
+        sparkContext = spark.sparkContext
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    a, b = common.shared_dir(Bare), common.shared_dir(Bare)
+    assert a != b and a.rsplit("/", 1)[0] == b.rsplit("/", 1)[0]
