@@ -21,10 +21,16 @@ def discount(backend: Column) -> Column:
     return out
 
 
-def priced(calls: DataFrame, book: DataFrame, model: str) -> DataFrame:
-    """Adds prompt_rate, completion_rate, cache_ratio and separate_cache; a model's #effort plays no part."""
+def priced(calls: DataFrame, book: DataFrame, model: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Adds prompt_rate, completion_rate, cache_ratio and separate_cache; a model's #effort plays no part.
+
+    An alias is priced as the model it stands for, also where the book has a price of its own; aliases are not followed twice.
+    """
+    name = base_model(F.col(model))
+    if aliases:
+        name = F.coalesce(F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))[name], name)
     rates = book.select(F.col("model").alias("_m"), F.col("prompt").alias("_p"), F.col("completion").alias("_c"), F.col("ratio").alias("_r"), F.col("separate").alias("_s"))
-    both = calls.join(rates, base_model(F.col(model)) == F.col("_m"), "left")
+    both = calls.join(rates, name == F.col("_m"), "left")
     return both.select(*calls.columns, F.coalesce("_p", F.lit(FALLBACK["prompt"])).alias("prompt_rate"), F.coalesce("_c", F.lit(FALLBACK["completion"])).alias("completion_rate"), F.coalesce("_r", F.lit(FALLBACK["ratio"])).alias("cache_ratio"), F.coalesce("_s", F.lit(False)).alias("separate_cache"))
 
 
@@ -53,3 +59,11 @@ def hop_tokens(prompt: Column, completion: Column, total: Column) -> tuple[Colum
     """Prompt and completion tokens of a hop; 70 / 30 of the total, cut to whole numbers, if neither is known."""
     none = (prompt == 0) & (completion == 0)
     return F.when(none, F.floor(total * 0.7)).otherwise(prompt), F.when(none, F.floor(total * 0.3)).otherwise(completion)
+
+
+def hop_costs(hops: DataFrame, book: DataFrame, prompt: str, completion: str, total: str, read: str, written: str, served: str, asked: str, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Adds the costs of hops' judge calls, by the model that served them, or the asked one where that is null or blank; never a batch."""
+    a, b = hop_tokens(F.col(prompt), F.col(completion), F.col(total))
+    calls = hops.select("*", a.alias("_prompt"), b.alias("_completion"), F.coalesce(F.nullif(F.col(served), F.lit("")), F.col(asked)).alias("_priced"))
+    done = breakdown(priced(calls, book, "_priced", aliases), "_prompt", "_completion", read, written, F.lit(False), F.lit(None).cast("string"))
+    return done.select(*hops.columns, "prompt_cost", "completion_cost", "read_cost", "write_cost", "total_cost", "cache_savings")

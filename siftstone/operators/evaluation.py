@@ -43,6 +43,17 @@ def confidence(logprobs: Column, default: float = 0.7) -> Column:
     return F.when(F.size(F.coalesce(logprobs, F.array().cast("array<double>"))) > 0, total / F.size(logprobs)).otherwise(default)
 
 
+#: Fixed: the confidence that a safety rating stands for, and that of an unknown one.
+SAFETY, SAFETY_DEFAULT = {"NEGLIGIBLE": 0.9, "LOW": 0.8, "MEDIUM": 0.7, "HIGH": 0.5}, 0.7
+
+
+def safety_confidence(ratings: Column) -> Column:
+    """The mean confidence of a list of safety ratings; that of an unknown rating where there are none."""
+    known = F.create_map(*(F.lit(x) for pair in SAFETY.items() for x in pair))
+    total = F.aggregate(ratings, F.lit(0.0), lambda acc, x: acc + F.coalesce(known[x], F.lit(SAFETY_DEFAULT)))
+    return F.when(F.size(F.coalesce(ratings, F.array().cast("array<string>"))) > 0, total / F.size(ratings)).otherwise(SAFETY_DEFAULT)
+
+
 def token_summary(rows: DataFrame, keys: list[str], tokens: str, cost: str) -> DataFrame:
     """Totals and means of tokens and cost by the keys, such as operation and provider."""
     return rows.groupBy(*keys).agg(F.count("*").alias("requests"), F.sum(tokens).alias("total_tokens"), F.round(F.sum(cost), 4).alias("total_cost"), F.round(F.avg(tokens), 6).alias("mean_tokens"), F.round(F.avg(cost), 6).alias("mean_cost"))

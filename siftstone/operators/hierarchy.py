@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
+#: Fixed: archetypes, in the order in which they are looked for.
 ARCHETYPES = ["SEEK & DESTROY", "SECURITY", "INFILTRATION", "RECON"]
 #: Fixed: what a category's titles have, in order; titles of operatives have a dash and none of NO_OPERATIVE.
 CATEGORIES = [("Operative Selection", "OPERATIVE SELECTION"), ("Faction Rules", "FACTION RULE"), ("Strategy Ploys", "STRATEGY PLOY"), ("Firefight Ploys", "FIREFIGHT PLOY"), ("Faction Equipment", "FACTION EQUIPMENT")]

@@ -39,14 +39,14 @@ def accepted(confidence: Column, relevance: Column, least_confidence: float = 0.
 
 
 #: Fixed: marks of errors that do not pass by themselves, then of those that do; the first that fits tells why.
-PERMANENT = (
-    "authentication|invalid_api_key|invalid api key|unauthorized|401|permission|forbidden|403|invalid_request|invalid request|malformed|schema|unprocessable|"
-    "content_filter|content filter|content_policy|content policy|blocked|safety|recitation|refusal|not_found|not found|404|canceled|cancelled"
-).split("|")
-TRANSIENT = (
-    "rate limit|rate_limit|ratelimit|429|too many requests|overloaded|529|503|500|502|service unavailable|unavailable|server_error|server error|api_error|internal|"
-    "timeout|timed out|expired|connection|insufficient credits|insufficient_credits|insufficient_quota|insufficient quota|quota|billing|payment"
-).split("|")
+PERMANENT = [
+    "authentication", "invalid_api_key", "invalid api key", "unauthorized", "401", "permission", "forbidden", "403", "invalid_request", "invalid request", "malformed", "schema", "unprocessable",
+    "content_filter", "content filter", "content_policy", "content policy", "blocked", "safety", "recitation", "refusal", "not_found", "not found", "404", "canceled", "cancelled",
+]
+TRANSIENT = [
+    "rate limit", "rate_limit", "ratelimit", "429", "too many requests", "overloaded", "529", "503", "500", "502", "service unavailable", "unavailable", "server_error", "server error", "api_error", "internal",
+    "timeout", "timed out", "expired", "connection", "insufficient credits", "insufficient_credits", "insufficient_quota", "insufficient quota", "quota", "billing", "payment",
+]
 
 
 def error_reason(message: Column) -> Column:

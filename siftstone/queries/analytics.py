@@ -116,6 +116,7 @@ def latency_components(t: Tables) -> DataFrame:
     return t.lineitem.groupBy((c("l_linenumber") % 4).alias("part")).agg(F.count("*").alias("n"), F.round(m("l_tax") * 1000, 6).alias("judge_ms"), F.round(other, 6).alias("other_ms"))
 
 
+#: Fixed: models with the prices of a thousand prompt and completion tokens, the share that a cached token costs, and whether the cache is priced apart.
 BOOK = [("gpt-5", 0.00125, 0.01, 0.1, False), ("claude-sonnet-4-6", 0.003, 0.006, 0.1, True), ("deepseek-v4-pro", 0.000435, 0.00087, 0.1, False), ("glm-5", 0.0005, 0.0025, 1.0, False)]
 CALLS = f"""book(model, prompt, completion, ratio, separate) AS (VALUES {", ".join("('%s', %r::DOUBLE, %r::DOUBLE, %r::DOUBLE, %s)" % x for x in BOOK)}),
 calls AS (SELECT l_orderkey, l_linenumber, (l_quantity * 100)::BIGINT AS p, l_linenumber * 37 AS k, (l_quantity * 30)::BIGINT AS r, l_linenumber * 11 AS w, l_linestatus = 'O' AS batch, CASE WHEN l_returnflag = 'A' THEN 'x::m' ELSE 'openai' END AS backend,
