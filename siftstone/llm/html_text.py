@@ -244,9 +244,15 @@ def _place(url: str):
 
 
 def _shared_prefix(a: str, b: str):
-    """Characters that two paths begin with alike."""
+    """Characters that two paths begin with alike, 0 if one is null: pieces of halving length are compared, each behind those that were equal."""
     n = F.least(F.length(a), F.length(b))
-    return F.when(F.col(a) == F.col(b), F.length(a)).otherwise(F.coalesce(F.aggregate(F.sequence(F.lit(1), n + 1), F.lit(0), lambda acc, k: F.when((acc == k - 1) & (k <= n) & (F.substring(a, F.lit(1), k) == F.substring(b, F.lit(1), k)), k).otherwise(acc)), F.lit(0)))
+    halves = F.sequence(F.floor(F.log2(F.greatest(n, F.lit(1)))).cast("int") + 1, F.lit(0), F.lit(-1))
+
+    def longer(known, p):
+        k = F.pow(F.lit(2), p).cast("int")
+        return F.when((known + k <= n) & (F.substring(a, known + 1, k) == F.substring(b, known + 1, k)), known + k).otherwise(known)
+
+    return F.when(F.col(a) == F.col(b), F.length(a)).otherwise(F.coalesce(F.aggregate(halves, F.lit(0), longer), F.lit(0)))
 
 
 def nearest_lines(outline: DataFrame) -> DataFrame:
