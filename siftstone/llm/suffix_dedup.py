@@ -28,8 +28,8 @@ in the mean, and besides them those of its largest key: under HEAVY_BYTES, or wi
 equal. Those must meet, but of equal phrases in a task's flush of FLUSH_BYTES only one is sent.
 
 Rows: null text is empty; rows with a null id are returned as they are and mark nothing;
-rows of one id (repeats too) never mark each other. Texts under `length` bytes stay whole.
-An empty table gives an empty result.
+rows of one id (repeats too) never mark each other. Ids that are no whole numbers are an error. Texts under `length` bytes stay whole. A very
+long text is parsed in pieces, whose windows are those of the whole. Other columns play no part, whatever their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -50,6 +50,8 @@ LENGTH = 50
 WIDTH = 8
 RANGE_BYTES = 2_000_000
 HEAVY_BYTES = 2 * RANGE_BYTES
+#: From this many times HEAVY_BYTES on a key is heavy only with its share of the corpus, so the driver's list does not grow further.
+HEAVY_KEYS = 4_000_000
 FLUSH_BYTES = 32 << 20
 #: Text whose marks meet in one bucket, in the mean.
 BUCKET_BYTES = 16_000_000
@@ -218,14 +220,18 @@ def _count(total: int, least: int, length: int, heavy: tuple[np.ndarray, np.ndar
 
 
 def heavy_keys(texts: DataFrame, total: int, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """All triggers, and all keys around these, with HEAVY_BYTES windows or more; at most 2 * total / HEAVY_BYTES of each."""
+    """All triggers, and all keys around these, with HEAVY_BYTES windows or more, or total / HEAVY_KEYS if that is more.
+
+    There are at most 2 * HEAVY_KEYS of each (12 bytes of both), whatever the corpus. Keys decide where windows meet, not which.
+    """
+    least = max(HEAVY_BYTES, total // HEAVY_KEYS)
 
     def find(heavy: tuple[np.ndarray, np.ndarray] | None) -> np.ndarray:
-        counts = texts.mapInArrow(_count(total, HEAVY_BYTES, length, heavy), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-        return np.sort(np.array([r["key"] for r in counts.where(F.col("n") >= HEAVY_BYTES / 2).select("key").collect()], np.int64).astype(U64))
+        counts = texts.mapInArrow(_count(total, least, length, heavy), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+        return np.sort(counts.where(F.col("n") >= least / 2).select("key").toArrow().column(0).to_numpy().astype(U64))
 
     none = np.zeros(0, U64)
-    triggers = find(None).astype(np.uint32) if total >= HEAVY_BYTES else none
+    triggers = find(None).astype(np.uint32) if total >= least else none
     return triggers, find((triggers, none)) if len(triggers) else none
 
 
@@ -456,6 +462,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     `tag` tells apart rows that share an id: it is 0 if no id is repeated, else a hash of
     the text. A span is start * 2**32 + end; spans ascend and do not touch.
     """
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise ValueError("ids have to be whole numbers")
     doc, text = F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).cast("binary")
     total = docs.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first()["b"] or 0
     again = docs.where(doc.isNotNull()).groupBy(doc).count().where("count > 1").limit(1).count() > 0
