@@ -8,15 +8,18 @@ from pyspark.sql import functions as F
 RRF_K, TEXT_WEIGHT, LOW, HIGH = 60, 0.5, 0.45, 1.0
 
 
-def reciprocal_rank(vector: DataFrame, text: DataFrame, k: int, rrf_k: int = RRF_K, text_weight: float = TEXT_WEIGHT) -> DataFrame:
+def reciprocal_rank(vector: DataFrame, text: DataFrame, k: int, rrf_k: int = RRF_K, text_weight: float = TEXT_WEIGHT, near: bool = False) -> DataFrame:
     """Weighted reciprocal rank fusion of (query_id, id, rank, ...) lists: the best k of each query.
 
     `relevance` stretches the kept scores to 0.45..1. A hit of the text list alone has a null similarity.
+    With `near`, queries without any vector hit have no result.
     """
     v = vector.select("query_id", "id", F.col("rank").alias("vector_rank"), "similarity")
     x = text.select("query_id", "id", F.col("rank").alias("text_rank"), F.col("score").alias("text_score"))
     part = lambda w, rank: F.coalesce(w / (rrf_k + F.col(rank)), F.lit(0.0))
     both = v.join(x, ["query_id", "id"], "full").withColumn("rrf", F.round(part(1 - text_weight, "vector_rank") + part(text_weight, "text_rank"), 9))
+    if near:
+        both = both.withColumn("_near", F.min("vector_rank").over(Window.partitionBy("query_id"))).where("_near is not null").drop("_near")
     order = Window.partitionBy("query_id").orderBy(F.desc("rrf"), "id")
     kept = both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     own = Window.partitionBy("query_id")
@@ -27,7 +30,7 @@ def reciprocal_rank(vector: DataFrame, text: DataFrame, k: int, rrf_k: int = RRF
 
 def hybrid(vector: DataFrame, text: DataFrame, k: int, **options) -> DataFrame:
     """Fusion for queries that have a vector hit at all; the others have no result."""
-    return reciprocal_rank(vector, text.join(vector.select("query_id").distinct(), "query_id", "left_semi"), k, **options)
+    return reciprocal_rank(vector, text, k, near=True, **options)
 
 
 def gated(hits: DataFrame, score: str, least: float) -> DataFrame:
