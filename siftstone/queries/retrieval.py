@@ -101,11 +101,9 @@ SELECT query_id, id, score, rank::INT AS rank FROM (SELECT *, row_number() OVER
 def final_rerank_top20(t: Tables) -> DataFrame:
     """The fused list, part of it again from a second hop, and other ids, once each and cut at 20."""
     f = _fused(t)
-    parts = [(f, 0, 0.0, 0), (f.where("rank % 2 = 0"), 0, 0.01, 1000), (f, 1_000_000, 0.02, 2000)]
-    hits = None
-    for df, shift, less, at in parts:
-        own = df.select("query_id", (F.col("id") + shift).alias("id"), F.round(F.col("relevance") - less, 6).alias("score"), (F.col("rank") + at).alias("ordinal"))
-        hits = own if hits is None else hits.union(own)
+    parts = [(F.lit(True), 0, 0.0, 0), (F.col("rank") % 2 == 0, 0, 0.01, 1000), (F.lit(True), 1_000_000, 0.02, 2000)]
+    own = (F.when(there, F.struct((F.col("id") + shift).alias("id"), F.round(F.col("relevance") - less, 6).alias("score"), (F.col("rank") + at).alias("ordinal"))) for there, shift, less, at in parts)
+    hits = f.select("query_id", F.explode(F.array(*own)).alias("hit")).where("hit is not null").select("query_id", "hit.*")
     return fusion.reranked(hits, "score", "ordinal", 20).select("query_id", "id", "score", "rank")
 
 
