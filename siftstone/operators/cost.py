@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import base_model
+from .sizes import small
 
 #: Fixed: multipliers, discounts and the rate of unknown models.
 SEPARATE_READ, SEPARATE_WRITE = 0.1, 1.25
@@ -25,12 +26,13 @@ def priced(calls: DataFrame, book: DataFrame, model: str, aliases: dict[str, str
     """Adds prompt_rate, completion_rate, cache_ratio and separate_cache; a model's #effort plays no part.
 
     An alias is priced as the model it stands for, also where the book has a price of its own; aliases are not followed twice.
+    The book is broadcast behind a check of its size, so calls stay where they are: all of one model would meet in one task.
     """
     name = base_model(F.col(model))
     if aliases:
         name = F.coalesce(F.create_map(*(F.lit(x) for pair in aliases.items() for x in pair))[name], name)
     rates = book.select(F.col("model").alias("_m"), F.col("prompt").alias("_p"), F.col("completion").alias("_c"), F.col("ratio").alias("_r"), F.col("separate").alias("_s"))
-    both = calls.join(rates, name == F.col("_m"), "left")
+    both = calls.join(small(rates), name == F.col("_m"), "left")
     return both.select(*calls.columns, F.coalesce("_p", F.lit(FALLBACK["prompt"])).alias("prompt_rate"), F.coalesce("_c", F.lit(FALLBACK["completion"])).alias("completion_rate"), F.coalesce("_r", F.lit(FALLBACK["ratio"])).alias("cache_ratio"), F.coalesce("_s", F.lit(False)).alias("separate_cache"))
 
 
