@@ -20,7 +20,7 @@ Provider = Callable[[list[str], list[str]], list[str]]
 
 
 def hop(queries: DataFrame, index: bm25.Index, k: int, hop_number: int) -> DataFrame:
-    found = bm25.ranked(bm25.scores(queries, index, "query_id", "text"), k)
+    found = bm25.best(queries, index, "query_id", "text", k).drop("setting")
     return found.withColumn("hop", F.lit(hop_number))
 
 
@@ -29,13 +29,13 @@ def multi_hop(queries: DataFrame, index: bm25.Index, judge: Judge, k: int = 15,
 
     `judge` takes the queries and what they have so far, and returns (query_id, text) of what is still missing, a row
     for each query that cannot be answered yet. The loop is over hops, which are few and bounded; the
-    queries of a hop run together.
+    queries of a hop run together. What a hop has found is saved, so it is searched for once.
     """
-    have = hop(queries, index, k, 0)
+    have = saved(hop(queries, index, k, 0))
     for n in range(1, max_hops + 1):
         missing = judge(queries, have)
         fresh = hop(missing, index, hop_k, n).join(have.select("query_id", "id"), ["query_id", "id"], "left_anti")
-        have = have.unionByName(fresh)
+        have = saved(have.unionByName(fresh))
     return fusion.reranked(have.withColumn("ordinal", F.col("hop") * 1_000_000 + F.col("rank")).drop("rank"), "score", "ordinal", final_k).drop("ordinal")
 
 
@@ -51,7 +51,7 @@ def header_hop(missing: DataFrame, chunks: DataFrame, index: bm25.Index | None,
     heads = saved(terms.header_lookup(asked, chunks, "key", "title", chunk, header, chunk))
     hits = heads.select("key.query_id", F.col("chunk").alias("id"), F.round(F.col("score") - 0.01, 6).alias("score"), F.col("key.at").alias("order"))
     rest = asked.join(heads.select("key"), "key", "left_anti").groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "title"))), lambda x: x["title"]), ", ").alias("text"))
-    found = search(rest) if search else bm25.ranked(bm25.scores(rest, index, "query_id", "text"), k)
+    found = search(rest) if search else bm25.best(rest, index, "query_id", "text", k)
     more = found.select("query_id", "id", "score", (F.col("rank") + 1_000_000).alias("order"))
     first = Window.partitionBy("query_id", "id").orderBy("order")
     once = hits.union(more).withColumn("_n", F.row_number().over(first)).where("_n = 1")
@@ -81,7 +81,7 @@ def retrieve(queries: DataFrame, over: Corpus, embed: Embed, k: int, least: floa
     A query without any vector hit has no result.
     """
     near = vectors.at_least(vectors.nearest(embed(queries), over.chunks, k, "query_id", "vector", "id", "vector"), least)
-    text = bm25.ranked(bm25.scores(queries, over.index, "query_id", "text"), 2 * k)
+    text = bm25.best(queries, over.index, "query_id", "text", 2 * k)
     return fusion.hybrid(near, text, k).select("query_id", "id", F.col("relevance").alias("score"), "rank")
 
 
