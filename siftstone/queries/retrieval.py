@@ -9,6 +9,7 @@ from ..functions import fuzzy
 from ..functions import text as T
 from ..operators import bm25, chunking, fusion, grounding, metrics, sizes, terms, vectors
 from ..plans import retrieval
+from ..sources.scratch import saved
 from .base import Tables, query
 from .texts import NORMAL
 
@@ -312,15 +313,11 @@ def param_grid_best(t: Tables) -> DataFrame:
     """Recall of the ground truth among five hits over a grid of BM25 parameters, as one plan."""
     from pyspark.sql import Window
 
-    spark = t.benchmark.sparkSession
-    grid = spark.createDataFrame([(k1, b, f"k1_{k1}_b_{b:.2f}") for k1 in (1.2, 1.6) for b in (0.45, 0.8)], "k1 double, b double, config string")
-    i = bm25.index(t.documents, "doc_id", "text")
-    hit = bm25.hits(t.benchmark, i, "item_id", "text").crossJoin(F.broadcast(grid))
-    part = F.expr("times * idf * tf * (k1 + 1) / (tf + k1 * (1 - b + b * size / mean_size))")
-    sc = hit.groupBy("config", "query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
-    order = Window.partitionBy("config", "query_id").orderBy(F.desc("score"), "id")
-    rk = sc.withColumn("rank", F.row_number().over(order)).where("rank <= 5 and score > 0")
-    texts = rk.join(t.documents.select(F.col("doc_id").alias("id"), "text"), "id").join(_truths(t).select(F.col("item_id").alias("query_id"), "truth"), "query_id")
+    grid = [(k1, b, f"k1_{k1}_b_{b:.2f}") for k1 in (1.2, 1.6) for b in (0.45, 0.8)]
+    names = F.array(*(F.lit(name) for _, _, name in grid))
+    rk = bm25.best(t.benchmark, bm25.index(t.documents, "doc_id", "text"), "item_id", "text", 5, tuple((k1, b) for k1, b, _ in grid))
+    rk = sizes.small(saved(rk.select(F.get(names, F.col("setting")).alias("config"), "query_id", "id")))
+    texts = t.documents.select(F.col("doc_id").alias("id"), "text").join(rk, "id").join(_truths(t).select(F.col("item_id").alias("query_id"), "truth"), "query_id")
     found = F.contains(T.normal_for_matching(F.col("text")), T.normal_for_matching(F.col("truth"))).cast("int")
     per = texts.groupBy("config", "query_id").agg(F.max(found).alias("found")).groupBy("config").agg(F.round(F.avg("found"), 6).alias("recall_at_5"), F.count("*").alias("queries"))
     return per.withColumn("place", F.row_number().over(Window.orderBy(F.desc("recall_at_5"), "config")))
