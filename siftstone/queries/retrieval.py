@@ -367,10 +367,21 @@ def _stub_judge(queries: list[str], contexts: list[str]) -> list[str]:
     return [json.dumps({"can_answer": len(q) % 3 == 0, "reasoning": "by length", "missing_query": f"{title}, {body}"}) for q, (body, _, title) in zip(queries, parts, strict=True)]
 
 
+#: The longest common subsequence of `a` and `h`, a row of its table for each character of `a`; likeness is asked only of pairs that edits allow.
+LCS = """list_max(list_reduce(list_prepend(list_transform(string_split(h, ''), lambda y: 0), list_transform(string_split(a, ''), lambda x: list_transform(string_split(h, ''), lambda y: (x = y)::INT))),
+lambda old, same: list_transform(range(1, len(same) + 1), lambda j: greatest(old[j], list_max(list_transform(range(1, j + 1), lambda i: CASE WHEN same[i] = 1 THEN coalesce(old[i - 1], 0) + 1 ELSE 0 END))))))"""
+
+
 @query(f"""WITH {HOPS}, {_retrieve_sql("h0", "q", 15)},
 asks AS (SELECT * FROM q WHERE length(text) % 3 <> 0), hd AS (SELECT lower(trim(header)) AS h, min(id) AS id FROM dd GROUP BY 1),
-hit AS (SELECT query_id, id FROM asks JOIN hd ON h = lower(title) WHERE title <> ''), rest AS (SELECT query_id, body AS text FROM asks), {_retrieve_sql("h1", "rest", 5)},
-hop AS (SELECT query_id, id, 0.99 AS score, 0 AS o FROM hit UNION ALL SELECT query_id, id, score, 1000000 + rank FROM h1),
+tt AS (SELECT query_id, o, trim(x, '"' || chr(39)) AS title FROM (SELECT query_id, o, regexp_replace(x, '^\\s+|\\s+$', '', 'g') AS x FROM (SELECT query_id, unnest([title, body]) AS x, unnest([0, 1]) AS o FROM asks)) WHERE x <> ''),
+ta AS MATERIALIZED (SELECT DISTINCT lower(trim(title)) AS a, length(lower(trim(title))) AS n, regexp_replace(lower(trim(title)), '[^\\x01-\\x7F]', '?', 'g') AS aa FROM tt WHERE trim(title) <> ''),
+th AS MATERIALIZED (SELECT h, id, length(h) AS m, regexp_replace(h, '[^\\x01-\\x7F]', '?', 'g') AS hh FROM hd WHERE length(h) <= (SELECT max(n) FROM ta) * 1.36),
+near AS (SELECT a, h, id FROM ta, th WHERE CASE WHEN 200 * least(n, m) >= 85 * (n + m) THEN 20 * levenshtein(aa, hh) <= 3 * (n + m) ELSE false END),
+lk AS (SELECT a, id, CASE WHEN a = h THEN 100.0::DOUBLE ELSE 200.0::DOUBLE * {LCS} / (length(a) + length(h)) END AS r FROM near),
+hit AS (SELECT query_id, o, arg_max(id, (r, -id)) AS id, round(max(r) / 100, 6) AS score FROM tt JOIN lk ON a = lower(trim(title)) WHERE r >= 85 GROUP BY ALL),
+rest AS (SELECT query_id, string_agg(title, ', ' ORDER BY o) AS text FROM tt ANTI JOIN hit USING (query_id, o) GROUP BY 1), {_retrieve_sql("h1", "rest", 5)},
+hop AS (SELECT query_id, id, round(score - 0.01, 6) AS score, o FROM hit UNION ALL SELECT query_id, id, score, 1000000 + rank FROM h1),
 once AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id, id ORDER BY o) AS n FROM hop) WHERE n = 1),
 al AS (SELECT query_id, id, score, 0 AS hop, rank AS o FROM h0 UNION ALL SELECT query_id, id, score, 1, 1000000 + place FROM once ANTI JOIN h0 USING (query_id, id))
 SELECT query_id, id, score::DOUBLE AS score, hop::INT AS hop, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o) AS rank FROM al) WHERE rank <= 20""")

@@ -89,3 +89,20 @@ def test_calls_of_one_model_do_not_meet_in_one_task(spark):
     df = cost.priced(calls, book, "m")
     assert sorted((r.m or "", r.prompt_rate) for r in df.collect()) == [("", 0.002), ("gpt-5#high", 1.0), ("unknown", 0.002)]
     assert "BroadcastHashJoin" in plan(df) and "SortMergeJoin" not in plan(df)
+
+
+def test_hops_and_their_statement_meet_headers_by_likeness(spark, tmp_path):
+    """A header that is like a benchmark text, and not only like a title, is a hit of the second hop in the query and in its SQL."""
+    import duckdb
+
+    from siftstone import queries as core
+
+    body = "red fox over the blue hill and the green river to the old mill"
+    docs = [(3, "Alpha\nred fox", "a"), (6, "Beta\nblue hill", "a"), (9, f"{body} far\ntext", "b"), (12, "Owl\nowl and cat", "b"), *((20 + k, f"{body} {k}x {k}y {k}z more of it\n", "c") for k in range(25))]
+    spark.createDataFrame(docs, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, body), (2, f"{body}s"), (4, f"{body} x")], "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    db = duckdb.connect()
+    for name in ("documents", "benchmark"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    want = {tuple(r) for r in db.execute(core.oracle_sql()["hybrid_hops"]).fetchall()}
+    assert {tuple(r) for r in core.queries()["hybrid_hops"](spark, str(tmp_path)).select("query_id", "id", "score", "hop", "rank").collect()} == want
