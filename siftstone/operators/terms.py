@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from .likeness import alike
+from ..sources.scratch import saved
+from .likeness import alike, most_alike
 
 PUNCTUATION = ".,!?;:()[]{}\"'-"
 #: Fixed: words that say little, and words that many names share.
@@ -137,9 +138,9 @@ def fuzzy_teams(queries: DataFrame, names: DataFrame, id_col: str, text_col: str
 
 def header_lookup(titles: DataFrame, headers: DataFrame, id_col: str, title: str, chunk_id: str, header: str, ordinal: str, least: float = HEADER_RATIO) -> DataFrame:
     """(id, chunk, score): the first chunk of the header that is most like the title, if like enough."""
-    first = headers.groupBy(F.lower(F.trim(header)).alias("h")).agg(F.min_by(chunk_id, ordinal).alias("chunk"), F.min(ordinal).alias("o"))
+    first = saved(headers.groupBy(F.lower(F.trim(header)).alias("h")).agg(F.min_by(chunk_id, ordinal).alias("chunk"), F.min(ordinal).alias("o")))
     asked = titles.select(id_col, F.lower(F.trim(title)).alias("q"))
-    near = asked.where("q <> ''").join(alike(asked, first, "q", "h", least), "q").join(first, "h")
+    near = asked.where("q <> ''").join(most_alike(asked, first, "q", "h", least), "q").join(first, "h")
     return near.groupBy(id_col).agg(F.max_by("chunk", F.struct("r", -F.col("o"))).alias("chunk"), F.round(F.max("r") / 100, 6).alias("score"))
 
 

@@ -254,9 +254,9 @@ def entity_match_abilities(t: Tables) -> DataFrame:
 def fuzzy_header_match(t: Tables) -> DataFrame:
     """The document whose first line is most like, at 85, the first line of a benchmark text, or that of every twentieth document without
     each seventh character; the latter are asked under -1 less the document's id."""
-    heads = t.documents.select("doc_id", _first_line().alias("h"))
+    heads = saved(t.documents.select("doc_id", _first_line().alias("h")))
     damaged = heads.where("doc_id % 20 = 0").select((-1 - F.col("doc_id")).alias("item_id"), F.regexp_replace("h", "(.{6}).", "$1").alias("q"))
-    asked = t.benchmark.select("item_id", _first_line().alias("q")).union(damaged)
+    asked = saved(t.benchmark.select("item_id", _first_line().alias("q")).union(damaged))
     return terms.header_lookup(asked, heads, "item_id", "q", "doc_id", "h", "doc_id")
 
 

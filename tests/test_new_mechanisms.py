@@ -6,10 +6,11 @@ import json
 import random
 import time
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from siftstone.functions.fuzzy import ratio_of
+from siftstone.functions.fuzzy import lcs_length, lcs_lengths, ratio_of
 from siftstone.functions.places import normal, span
 from siftstone.operators import answers, bm25, chunking, evaluation, grounding, hierarchy, messages, metrics, shapes, terms
 from siftstone.operators.likeness import alike
@@ -45,6 +46,50 @@ def test_likeness_finds_all_pairs(spark, least):
     assert {(r.a, r.b) for r in df.collect()} == {(x, y) for x in set(a) for y in set(b) if ratio_of(x, y) >= least}
 
 
+def _sentences(rng, n, words=60, long=30):
+    known = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randrange(2, 8))) for _ in range(words)]
+    return [" ".join(rng.choice(known) for _ in range(long)) for _ in range(n)]
+
+
+def test_likeness_moves_strings_and_not_pairs(spark):
+    """Strings that share most of their pairs of neighbours, but are not alike: a few times their bytes are shuffled, however many pairs there are."""
+    shuffled = lambda: spark.sparkContext._jsc.sc().statusStore().executorList(True).head().totalShuffleWrite()
+    rng = random.Random(5)
+    texts = [_sentences(rng, 1200) for _ in "ab"]
+    both = [spark.createDataFrame([(x,) for x in side], f"{name} string") for name, side in zip("ab", texts, strict=True)]
+    before = shuffled()
+    assert alike(*both, "a", "b", 85).count() == 0
+    time.sleep(1)
+    assert shuffled() - before < 6 * sum(len(x) for side in texts for x in side)
+
+
+def test_most_alike_finds_the_best_of_all_pairs_over_blocks(spark, monkeypatch):
+    from siftstone.operators import likeness
+
+    monkeypatch.setattr(likeness, "LEFT", 11)
+    monkeypatch.setattr(likeness, "RIGHT", 40)
+    rng = random.Random(11)
+    given = _sentences(rng, 120)
+    given += [x[:k] + x[k + 5 :] for x in given[:40] for k in (3, 40)] + [given[0][:k] + "\U0001f600" + given[0][k:] for k in range(40)] + ["", "q", "qq"]
+    asked = [x[2:60] + x[66:] for x in given[:70]] + given[100:110] + _sentences(rng, 10) + ["", "q", "z", "qqq"]
+    for least in (60, 85):
+        df = likeness.most_alike(spark.createDataFrame([*((x,) for x in asked), (None,)], "a string"), spark.createDataFrame([*((x,) for x in given), (None,)], "b string"), "a", "b", least)
+        want = set()
+        for x in set(asked):
+            best = max(ratio_of(x, y) for y in given)
+            want |= {(x, y, best) for y in given if best >= least and ratio_of(x, y) == best}
+        assert {tuple(r) for r in df.collect()} == want and len(want) > 70
+
+
+def test_lengths_of_many_common_subsequences():
+    rng = random.Random(3)
+    code = lambda s: np.array([ord(x) for x in s], "<u4")
+    for n in (1, 62, 63, 64, 126, 300):
+        a = "".join(rng.choice("abcé\U0001f600") for _ in range(n))
+        others = ["".join(rng.choice("abcéx") for _ in range(rng.randrange(200))) for _ in range(30)] + [a, a[1:], ""]
+        assert lcs_lengths(code(a), [code(b) for b in others]).tolist() == [lcs_length(a, b) for b in others]
+
+
 def test_entities_meet_by_stretches(spark):
     """The same as every query with every entity."""
     rng = random.Random(2)
