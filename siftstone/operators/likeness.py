@@ -24,7 +24,7 @@ from ..functions.fuzzy import lcs_length, lcs_lengths
 from ..sources.scratch import saved
 
 #: Strings of a block of the left and of the right, and characters of either.
-LEFT, RIGHT, CHARS = 16_384, 8_192, 1 << 23
+LEFT, RIGHT, CHARS = 16_384, 4_096, 1 << 23
 #: Characters with a number of their own, and columns for them and for pairs of neighbours; rarer ones share these.
 KNOWN, SINGLES, PAIRS = 1000, 64, 512
 #: Left and right strings that are multiplied at once, characters of the latter, and pairs that are counted at once.
