@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -351,8 +354,13 @@ def _retrieve_sql(name: str, queries: str, k: int) -> str:
 
 
 def _letters(df: DataFrame) -> DataFrame:
-    low = F.lower("text")
-    n = F.array(*((F.length(low) - F.length(F.replace(low, F.lit(a), F.lit("")))).cast("double") for a in LETTERS))
+    @F.arrow_udf("array<double>")
+    def counts(texts: pa.Array) -> pa.Array:
+        flat = pa.concat_arrays([pc.count_substring(texts, a) for a in LETTERS]).cast(pa.float64())
+        by_text = flat.take(pa.array(np.arange(len(flat)).reshape(len(LETTERS), -1).T.ravel()))
+        return pa.FixedSizeListArray.from_arrays(by_text, len(LETTERS)).cast(pa.list_(pa.float64()))
+
+    n = counts(F.lower("text"))
     size = lambda v: F.greatest(F.lit(1.0), F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)))
     return df.withColumn("_n", n).withColumn("vector", F.transform("_n", lambda x: x / size(F.col("_n")))).drop("_n")
 
