@@ -128,3 +128,15 @@ def test_hops_make_vectors_once(spark):
     queries = spark.createDataFrame([(k, f"fox {k}") for k in range(5)], "query_id long, text string")
     assert retrieval.hybrid_hops(queries, over, embed, judge, k=4, hop_k=2).count() == 5 * 5
     assert (made.value, embedded.value) == (12, 10)
+
+
+def test_letters_of_any_text(spark):
+    from siftstone.queries.retrieval import LETTERS, _letters
+
+    texts = ["Tea Oats tEE", "", None, "été İt\n\0tea", "xyz", "e"]
+    got = {r.id: r.vector for r in _letters(spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(3)).collect()}
+    assert got[2] == [None] * len(LETTERS)
+    for k, t in enumerate(texts):
+        if t is not None:
+            n = [t.lower().count(a) for a in LETTERS]
+            assert got[k] == [x / max(1.0, math.sqrt(sum(y * y for y in n))) for x in n]
